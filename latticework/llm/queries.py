@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import decontaminate, line_dedup, packing, simhash
+from latticework.llm import chat, chunks, decontaminate, line_dedup, packing, simhash, spans
 from latticework.llm.common import table
 
 
@@ -19,6 +19,10 @@ def op2_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat.render(table(spark, sf_dir, "conversations"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -28,6 +32,14 @@ def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None)
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer or packing.default_tokenizer())
 
 
+def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunks.edited_likeness(table(spark, sf_dir, "documents"))
+
+
+def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 _OP6 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -45,8 +57,9 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op1_decontaminate": op1_decontaminate, "op2_simhash_bk": op2_simhash_bk, "op6_line_dedup": op6_line_dedup, "op7_packing": op7_packing}
+    found = (op1_decontaminate, op2_simhash_bk, op4_chat, op6_line_dedup, op7_packing, op8_chunk_fingerprints, op9_sentence_spans)
+    return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op6_line_dedup": _OP6}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op4_chat": chat.ORACLE, "op6_line_dedup": _OP6, "op9_sentence_spans": spans.ORACLE}
