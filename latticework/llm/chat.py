@@ -23,14 +23,16 @@ def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
     ).withColumn("block", F.floor(F.col("turn") / block))
+    # hashed before the first shuffle, so that the search for prefixes moves no text
+    rows = rows.withColumn("a", F.xxhash64(F.lit(1), "role", F.lit(1), "text")).withColumn("b", F.xxhash64(F.lit(2), "text", F.lit(2), "role"))
     rows = rows.where("conv_id IS NOT NULL")
     counts = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
     whole, before = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     placed = counts.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"))
-    inner = Window.partitionBy("conv_id", "block").orderBy("turn", "role", "text")
+    inner = Window.partitionBy("conv_id", "block").orderBy("turn", "a", "b")
     numbered = rows.withColumn("k", F.row_number().over(inner)).join(placed, ["conv_id", "block"]).withColumn("position", (F.col("skip") + F.col("k")).cast("long"))
     for name, mark in (("h1", 1), ("h2", 2)):
-        numbered = numbered.withColumn(name, F.xxhash64(F.lit(mark), "position", "role", F.lit(mark), "text"))
+        numbered = numbered.withColumn(name, F.xxhash64(F.lit(mark), "position", "a", F.lit(mark), "b"))
     totals = numbered.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("t1"), F.bit_xor("h2").alias("t2"))
     starts = totals.select("conv_id", "block", *[F.coalesce(F.bit_xor(f"t{i}").over(before), F.lit(0)).alias(f"s{i}") for i in (1, 2)])
     running = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
@@ -49,7 +51,7 @@ def render(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, position, n_turns, role, rendered) for all turns of maximal conversations(conv_id, turn, role, text).
 
     Concatenated by position, rendered is the conversation in chat markup. Turns are
-    ordered by turn (null first), then role and text; positions count from 1, so gaps in
+    ordered by turn (null first), equal ones by their hash; positions count from 1, so gaps in
     turn do not matter. Null roles and texts count as empty; turns without a conv_id are
     left out. Repeated rows are turns of their own. No rows, no result.
     """

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.llm import chat, chunks, decontaminate, line_dedup, packing, simhash, spans
+from latticework.llm import chat, chunks, decontaminate, lang_id, line_dedup, packing, pii, quality, simhash, spans
 from latticework.llm.common import table
 
 
@@ -19,10 +19,20 @@ def op2_simhash_bk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def op5_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = pii.find(table(spark, sf_dir, "documents"))
+    counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(pii.to_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.to_text(F.col("spans")).alias("spans"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = line_dedup.dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
     return done.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
@@ -40,6 +50,10 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lang_id.label_documents(table(spark, sf_dir, "documents"))
+
+
 _OP6 = r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents
@@ -57,7 +71,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_simhash_bk, op4_chat, op6_line_dedup, op7_packing, op8_chunk_fingerprints, op9_sentence_spans)
+    found = (op1_decontaminate, op2_simhash_bk, op3_quality_crf, op4_chat, op5_pii_contexts, op6_line_dedup, op7_packing, op8_chunk_fingerprints, op9_sentence_spans, op10_language)
     return {f.__name__: f for f in found}
 
 
