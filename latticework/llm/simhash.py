@@ -211,10 +211,3 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) ->
     lowest = named.groupBy("component").agg(F.min("rep").alias("component_id"))
     labels = named.select("fp", "component").join(lowest, "component").select("fp", "component_id")
     return marked.join(labels, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = RADIUS) -> DataFrame:
-    """docs without the rows whose doc_id is not its component's smallest; of rows that repeat a kept doc_id all stay."""
-    found = near_duplicates(docs, shingle, radius)
-    losers = found.where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, docs["doc_id"].cast("long") == losers["_loser"], "left_anti")
