@@ -6,14 +6,18 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from latticework.plans import points
+
+_PLANS = (points,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return next(iter(queries().values()))(spark, sf_dir)
+    return points.chordless_rings(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+    return {f.__name__: f for plan in _PLANS for f in plan.FIXED}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for plan in _PLANS for name, sql in plan.SQL.items()}
