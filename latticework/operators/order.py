@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.pbc import cross, delta, dot, legendre, norm, scale, vec
+from latticework.operators.checkpoints import checkpoint
 from latticework.operators.graphs import K, both_ways, components, degrees, largest_component
 from latticework.operators.neighbors import cross_cutoff_pairs, self_cutoff_pairs
 
@@ -79,6 +80,7 @@ def ql(nodes: DataFrame, edges: DataFrame, degrees_: tuple[int, ...] = (6, 12),
 
 def _cluster(frames: DataFrame, eligible: DataFrame, edges: DataFrame) -> DataFrame:
     """(K, largest, eligible, members) of the components of eligible nodes."""
+    eligible = checkpoint(eligible)
     inner = edges.join(eligible.withColumnRenamed("node", "u"), [*K, "u"], "left_semi").join(eligible.withColumnRenamed("node", "v"), [*K, "v"], "left_semi")
     top = largest_component(components(eligible, inner))
     count = eligible.groupBy(*K).agg(F.count("*").alias("eligible"))
@@ -129,7 +131,7 @@ def dhop_counts(edges: DataFrame, angle: float = 35.0) -> DataFrame:
 def dhop(frames: DataFrame, nodes: DataFrame, edges: DataFrame, angle: float = 35.0, counts: tuple[int, ...] = (11, 12), least: int = 3) -> DataFrame:
     """Largest cluster of waters whose event count is in counts and that have least or more such neighbours, with their neighbours."""
     events = nodes.select(*K, "node").join(dhop_counts(edges, angle), [*K, "node"], "left").withColumn("events", F.coalesce("events", F.lit(0)))
-    qualified = events.where(F.col("events").isin(*counts)).select(*K, "node")
+    qualified = checkpoint(events.where(F.col("events").isin(*counts)).select(*K, "node"))
     way = both_ways(edges)
     inner = way.join(qualified.withColumnRenamed("node", "a"), [*K, "a"], "left_semi").join(qualified.withColumnRenamed("node", "b"), [*K, "b"], "left_semi")
     seeds = inner.groupBy(*K, "a").agg(F.count("*").alias("n")).where(F.col("n") >= least).select(*K, "a")

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from latticework.functions.pbc import delta, vec
+from latticework.operators.checkpoints import checkpoint
 from latticework.operators.graphs import K, both_ways
 
 SIZES = (4, 5, 6)
@@ -45,7 +46,7 @@ def find_rings(edges: DataFrame, sizes: tuple[int, ...] = SIZES, chordless: bool
         paths = step.select(*K, "start", "closing", F.concat("path", F.array("next")).alias("path"), F.col("next").alias("last"), F.array_union("inner", "around").alias("inner"))
     rings = reduce(DataFrame.unionByName, found)
     if shortest:
-        rings = _shortest(rings, edges)
+        rings = _shortest(checkpoint(rings), edges)
     order = Window.partitionBy(*K, "size").orderBy("nodes")
     number = F.row_number().over(order)
     return rings.select(*K, F.format_string("ring%d_%05d", "size", number).alias("ring_id"), F.col("size").cast("int").alias("size"), "nodes")

@@ -6,13 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.operators import graphs, neighbors, order, rings
-from latticework.operators.graphs import K, joined
+from latticework.operators.checkpoints import checkpoint
+from latticework.operators.graphs import joined
 from latticework.sources.adapters import cutoff, frames, points
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     nodes = points(spark, sf_dir)
-    return nodes, neighbors.oo_edges(nodes, cutoff(spark, sf_dir))
+    return nodes, checkpoint(neighbors.oo_edges(nodes, cutoff(spark, sf_dir)))  # every operator reads the edges several times
 
 
 def _guests(nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -105,7 +106,7 @@ def order_mcg(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes = points(spark, sf_dir)
     guests, waters = _guests(nodes)
     r = cutoff(spark, sf_dir)
-    edges = order.mcg_edges(guests, waters, 3 * r, 2.5 * r, 60.0, 2)
+    edges = checkpoint(order.mcg_edges(guests, waters, 3 * r, 2.5 * r, 60.0, 2))
     made = [order.mcg(frames(nodes), edges, k).select(F.lit(f"MCG-{k}").alias("name"), "frame_index", "largest", "eligible", joined("members").alias("members")) for k in (1, 3)]
     return made[0].unionByName(made[1])
 

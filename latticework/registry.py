@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.plans import points
+from latticework.plans import points, polyhedra
 
-_PLANS = (points,)
+_PLANS = (points, polyhedra)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
