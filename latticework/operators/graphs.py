@@ -12,8 +12,13 @@ K = ["group_key", "frame_index"]
 
 def both_ways(edges: DataFrame, *extra: str) -> DataFrame:
     """(K, a, b) for both directions of every edge."""
-    there = edges.select(*K, F.col("u").alias("a"), F.col("v").alias("b"), *extra)
-    return there.union(edges.select(*K, F.col("v").alias("a"), F.col("u").alias("b"), *extra))
+    return _swapped(edges, "u", "v", *extra)
+
+
+def _swapped(edges: DataFrame, a: str, b: str, *extra: str) -> DataFrame:
+    """Both directions in one pass; a union would read the edges twice."""
+    ends = F.explode(F.array(F.struct(F.col(a).alias("a"), F.col(b).alias("b")), F.struct(F.col(b).alias("a"), F.col(a).alias("b"))))
+    return edges.select(*K, ends.alias("_e"), *extra).select(*K, "_e.a", "_e.b", *extra)
 
 
 def canonical_edges(pairs: DataFrame, u: str = "u", v: str = "v") -> DataFrame:
@@ -35,12 +40,12 @@ def degrees(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """One contraction: neighbours above (large) or at and below (small) a node move to the least of its neighbourhood."""
     if large:
-        two = edges.unionByName(edges.select(*K, F.col("b").alias("a"), F.col("a").alias("b")))
+        two = _swapped(edges, "a", "b")
         least = two.groupBy(*K, "a").agg(F.min("b").alias("m")).withColumn("m", F.least("a", "m"))
         return two.where("b > a").join(least, [*K, "a"]).select(*K, F.col("b").alias("a"), F.col("m").alias("b"))
     least = edges.groupBy(*K, "a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, [*K, "a"]).where("b <> m").select(*K, F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b"))
-    return moved.unionByName(least.withColumnRenamed("m", "b"))
+    moved = F.explode(F.array(F.struct(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")), F.struct("a", F.col("m").alias("b"))))
+    return edges.join(least, [*K, "a"]).select(*K, moved.alias("_e")).select(*K, "_e.a", "_e.b").where("a <> b")
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
