@@ -81,3 +81,36 @@ def test_empty_input(spark):
     points = frame(spark, [(0.0, 0.0, 0.0)]).limit(0)
     edges, found, shells = analysed(points)
     assert (edges.count(), found.count(), shells.count()) == (0, 0, 0)
+
+
+def with_box(found, points):
+    box = points.select("group_key", "frame_index", "lx", "ly", "lz").distinct()
+    return rings.ring_centers(found, points).join(box, ["group_key", "frame_index"])
+
+
+def test_patches_of_polyhedra(spark):
+    from latticework.operators import patches
+
+    points = frame(spark, shape(2))
+    _, found, shells = analysed(points)
+    got = patches.find_patches(found, with_box(found, points)).cache()
+    assert {(r.patch_type, r.kind): r["count"] for r in got.groupBy("patch_type", "kind").count().collect()} == {("hc_5r_5⁵", "half"): 12}
+    assert patches.free_patches(got, shells).count() == 0
+    points = frame(spark, shape(3))
+    _, found, _ = analysed(points)
+    got = patches.find_patches(found, with_box(found, points), base_sizes=(4, 6), side_sizes=(4, 6))
+    assert {(r.patch_type, r.kind): r["count"] for r in got.groupBy("patch_type", "kind").count().collect()} == {("qc_4r_6⁴₆₆₆₆", "quasi"): 6, ("qc_6r_4³6³₄₆₄₆₄₆", "quasi"): 8}
+
+
+def test_phases_of_structure_one(spark):
+    from latticework.operators import patches, phases
+
+    coordinates, box = structure_one(2)
+    points = frame(spark, coordinates, box)
+    _, found, shells = analysed(points)
+    rows = phases.phase_domains(shells, found).collect()
+    assert {(r.phase, r.status) for r in rows} == {("sI", "classified")} and len({r.domain for r in rows}) == 1
+    lone = phases.phase_domains(shells.where("cage_id = '512_00001'"), found).collect()
+    assert [(r.phase, r.status) for r in lone] == [(None, "unclassified")]
+    got = {r.patch_type: r["count"] for r in patches.find_patches(found, with_box(found, points)).groupBy("patch_type").count().collect()}
+    assert got["hc_5r_5⁵"] > 0 and got["hc_6r_5⁶"] == 96
