@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators import cages, neighbors, rings
+from latticework.operators import cages, neighbors, reports, rings
 from latticework.operators.checkpoints import checkpoint
 from latticework.operators.graphs import K
 from latticework.sources.adapters import polyhedra
@@ -79,7 +79,13 @@ def frame_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.join(by, "frame_index", "left").na.fill(0)
 
 
-FIXED = (cage_list, cage_table, cage_isomers, cage_centers, cage_occupancy, cage_occupancy_center, cage_clusters, ring_table, frame_summary)
+def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Least, mean and largest of the summary's metrics."""
+    made = reports.dashboard(frame_summary(spark, sf_dir), ["waters", "guests", "edges", "rings", "cages", "empty"])
+    return made.select("metric", "frames", "min", F.round("mean", 6).alias("mean"), "max")
+
+
+FIXED = (cage_list, cage_table, cage_isomers, cage_centers, cage_occupancy, cage_occupancy_center, cage_clusters, ring_table, frame_summary, dashboard)
 
 _SITES = """WITH shapes(shape, cage_type, faces, waters, edges, rings4, rings5, rings6, free6, isomer) AS (VALUES
   (0, '4^6', 6, 8, 12, 6, 0, 4, 4, NULL), (1, '4^6-6^2', 8, 12, 18, 6, 0, 2, 0, '2x6sep'), (2, '512', 12, 20, 30, 0, 12, 0, 0, NULL), (3, '4^6-6^8', 14, 24, 36, 6, 0, 8, 0, '6n8e12d33333333')),
@@ -97,3 +103,4 @@ SQL = {
     "ring_table": _SITES + "SELECT frame_index, " + ", ".join(f"sum(rings{n})::BIGINT AS rings_{n}" for n in (4, 5, 6)) + ", 0::BIGINT AS free_4, 0::BIGINT AS free_5, sum(free6)::BIGINT AS free_6" + _FRAME,
     "frame_summary": _SITES + "SELECT frame_index, sum(waters)::BIGINT AS waters, sum(guests)::BIGINT AS guests, sum(edges)::BIGINT AS edges, sum(rings4 + rings5 + rings6)::BIGINT AS rings, count(*) AS cages, " + ", ".join(f"count(*) FILTER (occupancy = '{k}') AS {k}" for k in ("empty", "single", "multi")) + _FRAME,
 }
+SQL["dashboard"] = f"WITH summary AS ({SQL['frame_summary']}) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) AS frames, min({m})::DOUBLE AS min, round(avg({m}), 6) AS mean, max({m})::DOUBLE AS max FROM summary" for m in ("waters", "guests", "edges", "rings", "cages", "empty"))
