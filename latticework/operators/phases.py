@@ -22,6 +22,37 @@ def _ideal(cages: DataFrame) -> DataFrame:
     return F.broadcast(cages.sparkSession.createDataFrame(rows, "phase string, cage_type string, neighbor string, face int, ideal int"))
 
 
+def composite_seeds(faces: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(K, left, right) and (K, node): pairs of large sH cages, and all members of their surroundings.
+
+    faces are (K, u, v, u_type, v_type, face). Two 51268 that don't touch share exactly six
+    512 over five-faces; exactly six 435663 touch one of the two and one of those; and two
+    of these touch each other, one beside each large cage.
+    """
+    ends = lambda a, b: faces.select(*K, F.col(a).alias("a"), F.col(b).alias("b"), F.col(f"{a}_type").alias("a_type"), F.col(f"{b}_type").alias("b_type"), "face")
+    way = ends("u", "v").union(ends("v", "u"))
+    touch = checkpoint(way.select(*K, "a", "b", "b_type").distinct())
+    small = way.where("a_type = '51268' AND b_type = '512' AND face = 5").select(*K, F.col("a").alias("large"), F.col("b").alias("small")).distinct()
+    one, two = (small.withColumnRenamed("large", n) for n in ("left", "right"))
+    common = checkpoint(one.join(two, [*K, "small"]).where("left < right"))
+    six = common.groupBy(*K, "left", "right").agg(F.count("*").alias("n")).where("n = 6").drop("n")
+    apart = six.join(touch.select(*K, F.col("a").alias("left"), F.col("b").alias("right")), [*K, "left", "right"], "left_anti")
+    common = common.join(apart, [*K, "left", "right"], "left_semi")
+    medium = touch.where("b_type = '435663'").select(*K, "a", F.col("b").alias("medium"))
+    large = apart.select(*K, "left", "right", F.explode(F.array("left", "right")).alias("a")).join(medium, [*K, "a"]).select(*K, "left", "right", "medium", F.col("a").alias("beside"))
+    by_small = common.select(*K, "left", "right", F.col("small").alias("a")).join(medium, [*K, "a"]).select(*K, "left", "right", "medium").distinct()
+    around = checkpoint(large.join(by_small, [*K, "left", "right", "medium"], "left_semi").distinct())
+    count = around.groupBy(*K, "left", "right").agg(F.countDistinct("medium").alias("n")).where("n = 6").drop("n")
+    first = around.where("beside = left").select(*K, "left", "right", F.col("medium").alias("a"))
+    last = around.where("beside = right").select(*K, "left", "right", F.col("medium").alias("b"))
+    bridge = first.join(touch.select(*K, "a", "b"), [*K, "a"]).join(last, [*K, "left", "right", "b"], "left_semi").select(*K, "left", "right").distinct()
+    pairs = checkpoint(count.join(bridge, [*K, "left", "right"], "left_semi"))
+    members = pairs.select(*K, F.explode(F.array("left", "right")).alias("node"))
+    for df, column in ((common, "small"), (around, "medium")):
+        members = members.union(df.join(pairs, [*K, "left", "right"], "left_semi").select(*K, F.col(column).alias("node")))
+    return pairs, members.distinct()
+
+
 def phase_domains(cages: DataFrame, rings: DataFrame) -> DataFrame:
     """(K, cage_id, cage_type, phase, domain, status): classified, boundary, ambiguous or unclassified.
 
@@ -59,7 +90,9 @@ def phase_domains(cages: DataFrame, rings: DataFrame) -> DataFrame:
     large = labels.groupBy(*K, "component").agg(F.count("*").alias("n"), F.avg("score").alias("mean")).where((F.col("n") >= SIZE) & (F.col("mean") >= MEAN)).join(firm, [*K, "component"], "left_semi")
     cores = checkpoint(labels.join(large.select(*K, "component"), [*K, "component"], "left_semi"))
 
-    claimed = checkpoint(strict.union(around).union(cores.select(*K, "node")).distinct())
+    pairs, paired = composite_seeds(faces)
+    pairs, paired = (checkpoint(df.withColumn("group_key", F.concat_ws("|", "group_key", F.lit("sH")))) for df in (pairs, paired))
+    claimed = checkpoint(strict.union(around).union(cores.select(*K, "node")).union(paired.select(*K, "node")).distinct())
     seen = fingerprints(base, rings)
     partial = seen.join(ideal, ["cage_type", "neighbor", "face"]).groupBy(*K, "cage_id", "phase").agg(F.bool_and(F.col("n") <= F.col("ideal") + 1).alias("ok")).where("ok")
     open_ = checkpoint(partial.join(kinds.select(*K, "cage_id", "node"), [*K, "cage_id"]).select(tagged.alias("group_key"), "frame_index", "node"))
@@ -78,7 +111,9 @@ def phase_domains(cages: DataFrame, rings: DataFrame) -> DataFrame:
     parts = checkpoint(components(alone, inner))
     anchor = reduce(lambda c, p: c | ((phase_of == p[0]) & F.col("cage_type").isin(p[1])), ANCHORS.items(), F.lit(False))
     whole = cores.where(anchor).join(parts.select(*K, "node", F.col("component").alias("domain")), [*K, "node"], "left").groupBy(*K, "component").agg(F.countDistinct("domain").alias("n"), F.bool_and(F.col("domain").isNotNull()).alias("all"), F.min("domain").alias("domain")).where("`all` AND n = 1").select(*K, "domain")
-    seeded = whole.union(strict.join(parts, [*K, "node"]).select(*K, F.col("component").alias("domain"))).distinct()
+    inside = lambda c: parts.select(*K, F.col("node").alias(c), F.col("component").alias(f"{c}_in"))
+    joint = pairs.join(inside("left"), [*K, "left"]).join(inside("right"), [*K, "right"]).where("left_in = right_in").select(*K, F.col("left_in").alias("domain"))
+    seeded = whole.union(joint).union(strict.join(parts, [*K, "node"]).select(*K, F.col("component").alias("domain"))).distinct()
     domains = parts.withColumnRenamed("component", "domain").join(seeded, [*K, "domain"], "left_semi").select(group.alias("group_key"), "frame_index", "node", phase_of.alias("phase"), "domain")
     domains = checkpoint(domains)
     beside = both_ways(faces).join(domains.select(*K, F.col("node").alias("a")), [*K, "a"], "left_semi").select(*K, F.col("b").alias("node")).distinct().withColumn("beside", F.lit(True))

@@ -114,3 +114,32 @@ def test_phases_of_structure_one(spark):
     assert [(r.phase, r.status) for r in lone] == [(None, "unclassified")]
     got = {r.patch_type: r["count"] for r in patches.find_patches(found, with_box(found, points)).groupBy("patch_type").count().collect()}
     assert got["hc_5r_5⁵"] > 0 and got["hc_6r_5⁶"] == 96
+
+
+def test_composite_seed_makes_a_domain(spark):
+    from latticework.operators import phases
+
+    names = {"L": "51268", "R": "51268"} | {f"S{k}": "512" for k in range(6)} | {f"M{k}": "435663" for k in range(6)}
+    ties = [(x, f"S{k}", 5) for x in "LR" for k in range(6)] + [("L" if k < 3 else "R", f"M{k}", 6) for k in range(6)] + [(f"S{k}", f"M{k}", 5) for k in range(6)] + [("M0", "M3", 4)]
+
+    def domains(ties):
+        found = spark.createDataFrame([("A", 0, f"ring{n}_{k:05d}", n, [k]) for k, (_, _, n) in enumerate(ties)], "group_key string, frame_index int, ring_id string, size int, nodes array<long>")
+        own = {c: [f"ring{n}_{k:05d}" for k, (a, b, n) in enumerate(ties) if c in (a, b)] for c in names}
+        shells = spark.createDataFrame([("A", 0, c, t, own[c], [0]) for c, t in names.items()], "group_key string, frame_index int, cage_id string, cage_type string, rings array<string>, waters array<long>")
+        return {(r.phase, r.status) for r in phases.phase_domains(shells, found).collect()}
+
+    assert domains(ties) == {("sH", "classified")}
+    assert domains(ties[:-1]) == {(None, "unclassified")}
+
+
+def test_ring_and_cage_geometry(spark):
+    from latticework.operators import geometry
+
+    points = frame(spark, [((x + 2.9) % 3.0, y % 3.0, z % 3.0) for x, y, z in rotated(shape(0))], 3.0)
+    _, found, shells = analysed(points)
+    rows = geometry.ring_geometry(found, points).collect()
+    squares = [r for r in rows if r.ring_id.startswith("ring4")]
+    assert all(r.planarity < 1e-9 and r.edge_cv < 1e-9 and abs(r.area - 0.28**2) < 1e-9 for r in squares) and len(squares) == 6
+    assert all(r.planarity > 0.05 for r in rows if r.ring_id.startswith("ring6"))
+    assert abs(geometry.cage_volumes(shells, found, points).first().volume - 0.28**3) < 1e-9
+    assert geometry.sound_cages(shells, found, points).count() == 1 and geometry.sound_cages(shells, found, points, volume=1.0).count() == 0
