@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -48,13 +51,52 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return edges.join(least, [*K, "a"]).select(*K, moved.alias("_e")).select(*K, "_e.a", "_e.b").where("a <> b")
 
 
+#: Nodes that a task holds while it contracts edges before the first shuffle.
+HELD = 500_000
+
+
+def _contract(edges: DataFrame) -> DataFrame:
+    """(K, a, b): each partition's edges as stars on the least node; at most HELD nodes are held at a time."""
+
+    held = HELD
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        root: dict[tuple, tuple] = {}
+        schema = None
+
+        def top(x: tuple) -> tuple:
+            while (up := root.setdefault(x, x)) != x:
+                root[x] = root[up]
+                x = up
+            return x
+
+        def stars() -> pa.RecordBatch:
+            rows = [(*x, top(x)[2]) for x in root if top(x) != x]
+            root.clear()
+            return pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], f.type) for k, f in enumerate(schema)], schema=schema)
+
+        for batch in batches:
+            schema = batch.schema
+            for g, f, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                x, y = top((g, f, a)), top((g, f, b))
+                if x != y:
+                    root[max(x, y)] = min(x, y)
+            if len(root) > held:
+                yield stars()
+        if root:
+            yield stars()
+
+    return edges.mapInArrow(kernel, edges.schema)
+
+
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(K, node, component): component is the least node that edges reach; isolated nodes are their own.
 
     Alternating star contraction over all frames at once: rounds grow with the logarithm
     of the largest component, and no component is gathered in one place.
     """
-    now = checkpoint(edges.select(*K, F.greatest("u", "v").alias("a"), F.least("u", "v").alias("b")).where("a <> b").distinct())
+    loops_left_out = edges.select(*K, F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b")
+    now = checkpoint(_contract(loops_left_out).distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*K, "a", "b"))).first())
     before = None
     while (state := mark(now)) != before and state[0]:

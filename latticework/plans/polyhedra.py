@@ -5,10 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from latticework.operators import cages, neighbors, reports, rings
+from latticework.operators import cages, geometry, neighbors, patches, phases, reports, rings
 from latticework.operators.checkpoints import checkpoint
 from latticework.operators.graphs import K
 from latticework.sources.adapters import polyhedra
+from latticework.sources.files import membership
 
 
 def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
@@ -85,7 +86,42 @@ def dashboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("metric", "frames", "min", F.round("mean", 6).alias("mean"), "max")
 
 
-FIXED = (cage_list, cage_table, cage_isomers, cage_centers, cage_occupancy, cage_occupancy_center, cage_clusters, ring_table, frame_summary, dashboard)
+def half_cages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Open patches by type; every face of a dodecahedron is the base of one."""
+    waters, _, found, shells = _found(spark, sf_dir)
+    none = [F.lit(None).cast("double").alias(f"l{c}") for c in "xyz"]
+    open_ = patches.find_patches(found, rings.ring_centers(found, waters).select("*", *none))
+    free = patches.free_patches(open_, shells).select(*K, "patch_id", F.lit(1).alias("free"))
+    return open_.join(free, [*K, "patch_id"], "left").groupBy("frame_index", "kind", "patch_type").agg(F.count("*").alias("patches"), F.count("free").alias("free"))
+
+
+def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Area and flatness of four- and five-faces."""
+    waters, _, found, _ = _found(spark, sf_dir)
+    faces = geometry.ring_geometry(found, waters).join(found.where("size < 6"), [*K, "ring_id"])
+    return faces.groupBy("frame_index", "size").agg(F.count("*").alias("faces"), F.round(F.sum("area"), 6).alias("area"), F.round(F.max("edge_cv"), 6).alias("uneven"), F.round(F.max("planarity"), 6).alias("bent"))
+
+
+def cage_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waters, _, found, shells = _found(spark, sf_dir)
+    sound = geometry.sound_cages(shells, found, waters)
+    made = geometry.cage_volumes(sound, found, waters).join(sound, [*K, "cage_id"])
+    return made.groupBy("frame_index", "cage_type").agg(F.count("*").alias("cages"), F.round(F.sum("volume"), 6).alias("volume"))
+
+
+def phase_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Single cages belong to no phase."""
+    _, _, found, shells = _found(spark, sf_dir)
+    return phases.phase_domains(shells, found).groupBy("frame_index", "status").agg(F.count("*").alias("cages"), F.countDistinct("domain").alias("domains"))
+
+
+def membership_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    waters, guests, found, shells = _found(spark, sf_dir)
+    rows = membership(found, shells, cages.occupancy(shells, found, waters, guests))
+    return rows.groupBy("frame_index", "record").agg(F.count("*").alias("members"), F.countDistinct("object_id").alias("objects"))
+
+
+FIXED = (cage_list, cage_table, cage_isomers, cage_centers, cage_occupancy, cage_occupancy_center, cage_clusters, ring_table, frame_summary, dashboard, half_cages, ring_areas, cage_volumes, phase_status, membership_counts)
 
 _SITES = """WITH shapes(shape, cage_type, faces, waters, edges, rings4, rings5, rings6, free6, isomer) AS (VALUES
   (0, '4^6', 6, 8, 12, 6, 0, 4, 4, NULL), (1, '4^6-6^2', 8, 12, 18, 6, 0, 2, 0, '2x6sep'), (2, '512', 12, 20, 30, 0, 12, 0, 0, NULL), (3, '4^6-6^8', 14, 24, 36, 6, 0, 8, 0, '6n8e12d33333333')),
@@ -104,3 +140,12 @@ SQL = {
     "frame_summary": _SITES + "SELECT frame_index, sum(waters)::BIGINT AS waters, sum(guests)::BIGINT AS guests, sum(edges)::BIGINT AS edges, sum(rings4 + rings5 + rings6)::BIGINT AS rings, count(*) AS cages, " + ", ".join(f"count(*) FILTER (occupancy = '{k}') AS {k}" for k in ("empty", "single", "multi")) + _FRAME,
 }
 SQL["dashboard"] = f"WITH summary AS ({SQL['frame_summary']}) " + " UNION ALL ".join(f"SELECT '{m}' AS metric, count(*) AS frames, min({m})::DOUBLE AS min, round(avg({m}), 6) AS mean, max({m})::DOUBLE AS max FROM summary" for m in ("waters", "guests", "edges", "rings", "cages", "empty"))
+SQL |= {
+    "half_cages": _SITES + "SELECT frame_index, 'half' AS kind, 'hc_5r_5⁵' AS patch_type, 12 * count(*) AS patches, 0::BIGINT AS free FROM sites WHERE cage_type = '512' GROUP BY frame_index",
+    "ring_areas": _SITES + """SELECT frame_index, size, n AS faces, round(n * unit * 0.28 * 0.28, 6)::DOUBLE AS area, 0.0::DOUBLE AS uneven, 0.0::DOUBLE AS bent FROM (
+  SELECT frame_index, 4 AS size, sum(rings4)::BIGINT AS n, 1.0::DOUBLE AS unit FROM sites GROUP BY frame_index UNION ALL SELECT frame_index, 5, sum(rings5)::BIGINT, sqrt(25 + 10 * sqrt(5)) / 4 FROM sites GROUP BY frame_index) WHERE n > 0""",
+    "cage_volumes": _SITES + "SELECT frame_index, cage_type, count(*) AS cages, round(count(*) * pow(0.28, 3) * any_value(CASE shape WHEN 0 THEN 1.0 WHEN 1 THEN 1.5 * sqrt(3) WHEN 2 THEN (15 + 7 * sqrt(5)) / 4 ELSE 8 * sqrt(2) END), 6) AS volume FROM sites GROUP BY frame_index, cage_type",
+    "phase_status": _SITES + "SELECT frame_index, 'unclassified' AS status, count(*) AS cages, 0::BIGINT AS domains" + _FRAME,
+    "membership_counts": _SITES + """SELECT frame_index, 'R' AS record, sum(4 * rings4 + 5 * rings5 + 6 * rings6)::BIGINT AS members, sum(rings4 + rings5 + rings6)::BIGINT AS objects FROM sites GROUP BY frame_index
+UNION ALL SELECT frame_index, 'M', sum(waters)::BIGINT, count(*) FROM sites GROUP BY frame_index UNION ALL SELECT frame_index, 'G', sum(guests)::BIGINT, count(*) FROM sites WHERE guests > 0 GROUP BY frame_index""",
+}
