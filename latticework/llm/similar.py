@@ -3,10 +3,16 @@
 Copies of similarity 0.8 differ in about 15 % of SimHash bits, too many for shards cut from
 the fingerprint itself. Here a shard is one MinHash band: texts of 0.8 share one of 16
 bands of four values with a chance of 0.9998. Within a shard a BK-tree of 256-bit SimHash
-fingerprints links each text to the nearest earlier one within ``RADIUS`` bits (mean plus
-four deviations at 0.8); links are verified by the exact similarity of the shingle sets
-and closed to components. Texts of equal shingle sets are one node throughout, and each
-node has one link for each of its shards at most, so links grow in proportion to texts.
+fingerprints finds all texts within ``RADIUS`` bits (mean plus four deviations at 0.8), and
+a spanning forest of these candidates leaves the shard. Its components are candidate
+groups, which hold every link that bands and radius admit.
+
+Each group's shingle sets then meet once, in cells of at most two chunks of ``SHARD`` texts
+and ``CELL_BYTES``; a group of more than a chunk's texts is parted by its bands instead, so
+that cells grow with texts and not with their square. There a BK-tree search is checked by
+exact similarity, and a spanning forest of the links that hold is closed to components. No
+candidate is passed over but those between texts that are linked already. Texts of equal
+shingle sets are one node throughout.
 """
 
 from __future__ import annotations
@@ -16,7 +22,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import checkpoint
@@ -25,6 +31,8 @@ from latticework.llm.simhash import SHARD, BKTree, bit_counts
 
 BANDS, ROWS = 16, 4
 RADIUS = 64
+#: Bytes of shingle sets in a chunk of a cell, but for a single set that is larger.
+CELL_BYTES = 32 << 20
 #: Linked documents whose ids are broadcast when their texts are fetched; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(20)
@@ -82,48 +90,92 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
     return source.mapInArrow(kernel, "doc_id long, digest binary, sim binary, bands binary")
 
 
-def nearest_links(tree_of: list[tuple[int, int]], probes: list[tuple[int, int]], radius: int) -> list[tuple[int, int]]:
-    """(probe, nearest) of (id, fingerprint) items: probes against tree_of, or without probes each item against those before it."""
-    tree, ids, links = BKTree(), [], []
+class Forest:
+    """Which items are linked already."""
 
-    def nearest(doc: int, sim: int) -> None:
-        found = tree.within(sim, radius)
-        if found:
-            at = min(found, key=lambda k: ((sim ^ tree.items[k]).bit_count(), ids[k]))
-            links.append((doc, ids[at]))
+    def __init__(self) -> None:
+        self.root: dict[int, int] = {}
 
-    for doc, sim in tree_of:
-        if not probes:
-            nearest(doc, sim)
-        if tree.add(sim) == len(ids):
-            ids.append(doc)
-    for doc, sim in probes:
-        nearest(doc, sim)
-    return links
+    def top(self, x: int) -> int:
+        root = self.root
+        while root.setdefault(x, x) != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
 
+    def tie(self, a: int, b: int) -> bool:
+        """Link a and b; whether they were apart."""
+        a, b = self.top(a), self.top(b)
+        self.root[max(a, b)] = min(a, b)
+        return a != b
 
-def candidate_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Distinct (a, b) links to nearest nodes(rep, sim, bands) over all shards."""
 
-    @F.arrow_udf("array<long>")
-    def keys(bands: pa.Array) -> pa.Array:
-        return pa.array([np.frombuffer(b, "<i8") for b in bands.to_pylist()], pa.list_(pa.int64()))
+class Overlap:
+    """Exact similarity of a set to each of several sets."""
+
+    def __init__(self, sets: list[np.ndarray]) -> None:
+        self.sizes = np.array([len(s) for s in sets], np.int64)
+        hashes = np.concatenate(sets)
+        order = np.argsort(hashes, kind="stable")
+        self.hashes, self.owners = hashes[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+
+    def jaccard(self, s: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.hashes, s), np.searchsorted(self.hashes, s, "right")
+        met = high - low
+        at = np.arange(met.sum()) + np.repeat(low - np.cumsum(met) + met, met)
+        common = np.bincount(self.owners[at], minlength=len(self.sizes))
+        return common / np.maximum(self.sizes + len(s) - common, 1)
 
-    keyed = nodes.select("rep", "sim", F.explode(keys("bands")).alias("shard"))
-    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n")).where("n > 1")
+
+def forest_links(tree_of: list[tuple], probes: list[tuple], radius: int, similarity: float | None = None) -> list[tuple[int, int]]:
+    """Spanning links of (id, fingerprint, set) items within radius: probes against tree_of, or without probes tree_of in itself.
+
+    With a similarity, links are between sets of that exact Jaccard similarity or more.
+    """
+    tree, slots, forest, links, exact = BKTree(), [], Forest(), [], None
+
+    def add(k: int) -> None:
+        at = tree.add(tree_of[k][1])
+        if at == len(slots):
+            slots.append([])
+        slots[at].append(k)
+
+    for k in range(len(tree_of) if probes else 0):
+        add(k)
+    for n, item in enumerate(probes or tree_of):
+        near = [k for at in tree.within(item[1], radius) for k in slots[at]]
+        if not probes:
+            add(n)
+        near = [k for k in near if forest.top(tree_of[k][0]) != forest.top(item[0])]
+        if near and similarity is not None:
+            if len(near) == 1:
+                there = {near[0]: Overlap([tree_of[near[0]][2]]).jaccard(item[2])[0]}
+            else:
+                exact = exact or Overlap([t[2] for t in tree_of])
+                there = exact.jaccard(item[2])
+            near = [k for k in near if there[k] >= similarity - 1e-9]
+        links += [(item[0], tree_of[k][0]) for k in near if forest.tie(item[0], tree_of[k][0])]
+    return links
+
+
+def cell_links(keyed: DataFrame, radius: int, similarity: float | None = None, sets: DataFrame | None = None, shard: int = SHARD, cell_bytes: int = CELL_BYTES) -> DataFrame:
+    """Links (a, b) of keyed(shard, rep, sim, weight), a spanning forest for each cell of two chunks of a shard; weight is the bytes of a rep's set in sets(rep, set)."""
+    sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).where("n > 1")
+    chunks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / shard), F.ceil(F.col("bytes") / cell_bytes)).cast("long"))
     cells = (
-        keyed.join(sizes.select("shard", F.ceil(F.col("n") / shard).alias("chunks")), "shard")
+        keyed.join(sizes.select("shard", chunks.alias("chunks")), "shard")
         .withColumn("own", F.pmod(F.xxhash64("rep"), "chunks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
         .select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("probe"), "rep", "sim")
     )
+    cells = cells.withColumn("set", F.lit(b"")) if sets is None else cells.join(sets, "rep").select(*cells.columns, "set")
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, tree, probes, out = None, [], [], set()
 
         def close() -> None:
             if tree and (probes or (key[1] == key[2] and len(tree) > 1)):
-                out.update((max(p), min(p)) for p in nearest_links(tree, probes, radius))
+                out.update((max(p), min(p)) for p in forest_links(tree, probes, radius, similarity))
 
         def rows() -> pa.RecordBatch:
             both = np.array(sorted(out), np.int64).reshape(-1, 2)
@@ -131,11 +183,11 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD)
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for s, i, j, probe, rep, sim in zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True):
+            for s, i, j, probe, rep, sim, members in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
                 if (s, i, j) != key:
                     close()
                     key, tree, probes = (s, i, j), [], []
-                (probes if probe else tree).append((rep, int.from_bytes(sim, "little")))
+                (probes if probe else tree).append((rep, int.from_bytes(sim, "little"), np.frombuffer(members, np.uint64)))
             if len(out) > 100_000:
                 yield rows()
         close()
@@ -145,30 +197,41 @@ def candidate_links(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD)
     return dealt.mapInArrow(kernel, "a long, b long").distinct()
 
 
-def verified(links: DataFrame, docs: DataFrame, shingle: int, similarity: float) -> DataFrame:
-    """Those links whose documents' shingle sets have a Jaccard similarity of at least similarity."""
-    ends = links.select(F.explode(F.array("a", "b")).alias("_end")).distinct()
+def _band_keys(bands: str) -> Column:
+    @F.arrow_udf("array<long>")
+    def keys(column: pa.Array) -> pa.Array:
+        return pa.array([np.frombuffer(b, "<i8") for b in column.to_pylist()], pa.list_(pa.int64()))
+
+    return keys(bands)
+
+
+def candidate_groups(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(rep, grp) for those nodes(rep, sim, bands) that have a candidate; grp is the smallest rep that candidates reach."""
+    keyed = nodes.select("rep", "sim", F.explode(_band_keys("bands")).alias("shard"), F.lit(0).cast("long").alias("weight"))
+    tied = connected_components(checkpoint(cell_links(keyed, radius, shard=shard)))
+    return tied.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
+
+
+def verified_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """Links (a, b) within groups(rep, grp) of shingle sets with a Jaccard similarity of at least similarity: a spanning forest for each cell."""
+    sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
+    wanted = checkpoint(nodes.join(groups.join(sizes, "grp"), "rep"))
+    ends = wanted.select("rep", "digest")
     if ends.count() <= BROADCAST_IDS:
         ends = F.broadcast(ends)
 
     @F.arrow_udf("binary")
     def as_set(texts: pa.Array) -> pa.Array:
-        return pa.array([shingle_set(t, shingle).tobytes() for t in texts.to_pylist()], pa.binary())
-
-    @F.arrow_udf("double")
-    def jaccard(x: pa.Array, y: pa.Array) -> pa.Array:
-        out = []
-        for s, t in zip(x.to_pylist(), y.to_pylist(), strict=True):
-            p, q = np.frombuffer(s, np.uint64), np.frombuffer(t, np.uint64)
-            common = len(np.intersect1d(p, q, assume_unique=True))
-            whole = len(p) + len(q) - common
-            out.append(common / whole if whole else 1.0)
-        return pa.array(out, pa.float64())
+        found = [shingle_set(t, shingle).tobytes() for t in texts.to_pylist()]
+        return pa.array([xxhash.xxh3_128_digest(s) + s for s in found], pa.binary())
 
-    linked = docs.select(F.col("doc_id").cast("long").alias("id"), F.col("text").cast("binary").alias("text")).join(ends, F.col("id") == F.col("_end"), "left_semi")
-    sets = checkpoint(linked.select("id", as_set("text").alias("set")))
-    pairs = links.join(sets.select(F.col("id").alias("a"), F.col("set").alias("x")), "a").join(sets.select(F.col("id").alias("b"), F.col("set").alias("y")), "b")
-    return pairs.where(jaccard("x", "y") >= similarity - 1e-9).select("a", "b")
+    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(ends, "rep")
+    marked = texts.select("rep", "digest", as_set("text").alias("set")).where(F.substring("set", 1, 16) == F.col("digest"))
+    sets = checkpoint(marked.select("rep", F.expr("substring(set, 17)").alias("set")))
+    parted = F.transform(_band_keys("bands"), lambda k: F.xxhash64(k, F.col("grp")))
+    keyed = wanted.join(sets.select("rep", F.length("set").cast("long").alias("weight")), "rep")
+    keyed = keyed.select("rep", "sim", "weight", F.explode(F.when(F.col("n") <= shard, F.array("grp")).otherwise(parted)).alias("shard"))
+    return cell_links(keyed, radius, similarity, sets, shard)
 
 
 def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
@@ -182,8 +245,8 @@ def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -
         raise ValueError("bands and radius are laid out for a similarity of 0.8 or more")
     marked = checkpoint(sketches(docs, shingle))
     nodes = checkpoint(marked.where("doc_id IS NOT NULL").groupBy("digest", "sim", "bands").agg(F.min("doc_id").alias("rep")))
-    links = checkpoint(candidate_links(nodes))
-    tied = connected_components(verified(links, docs, shingle, similarity))
+    groups = checkpoint(candidate_groups(nodes))
+    tied = connected_components(checkpoint(verified_links(nodes, groups, docs, shingle, similarity)))
     named = nodes.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
     joined = marked.join(named, "digest", "left")
     return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))

@@ -4,6 +4,7 @@ from collections import Counter
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from latticework.llm import similar, simhash
 
@@ -111,3 +112,60 @@ def test_similar_groups_match_exact_jaccard(docs):
     kept = similar.drop_similar(docs(texts).withColumnRenamed("lang", "rep")).collect()
     assert sorted(r.doc_id for r in kept) == sorted(i for i in tied if tied[i] == i)
     assert similar.similar_groups(docs([])).collect() == []
+
+
+def _brute_groups(texts, similarity=0.8):
+    sets = [set(similar.shingle_set(t.encode(), 5).tolist()) for t in texts]
+    root = list(range(len(texts)))
+
+    def top(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for b in range(len(texts)):
+        for a in range(b):
+            whole = len(sets[a] | sets[b])
+            if (len(sets[a] & sets[b]) / whole if whole else 1.0) >= similarity - 1e-9:
+                root[max(top(a), top(b))] = min(top(a), top(b))
+    return [top(x) for x in range(len(texts))]
+
+
+def test_borderline_groups_equal_brute_force(spark):
+    """Many texts whose similarities lie on both sides of 0.8."""
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(4000)}" for _ in range(160)]
+    texts = []
+    for n in range(120):
+        words = list(base)
+        for _ in range(rng.choice([1, 2, 3, 4])):
+            words[rng.randrange(len(words))] = f"x{n}y{rng.randrange(9)}"
+        texts.append(" ".join(words))
+    want = _brute_groups(texts)
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    assert [r[1] for r in sorted(similar.similar_groups(rows).collect())] == want
+
+
+def test_large_groups_are_parted_by_bands_and_chunks(spark):
+    rng = random.Random(5)
+    base = [f"w{rng.randrange(4000)}" for _ in range(200)]
+    texts = [" ".join(base[:k] + [f"z{k}"] + base[k + 1 :]) for k in range(40)] + [" ".join(f"u{n}v{k}" for k in range(50)) for n in range(10)]
+    rows = spark.createDataFrame([(n, t) for n, t in enumerate(texts)], "doc_id long, text string")
+    marked = similar.sketches(rows, 5)
+    nodes = marked.groupBy("digest", "sim", "bands").agg(F.min("doc_id").alias("rep"))
+    groups = similar.candidate_groups(nodes, shard=8)
+    links = {(r.a, r.b) for r in similar.verified_links(nodes, groups, rows, 5, 0.8, shard=8).collect()}
+    want, forest = _brute_groups(texts), similar.Forest()
+    for a, b in links:
+        forest.tie(a, b)
+    assert [forest.top(n) for n in range(len(texts))] == want
+
+
+def test_overlap_is_the_exact_similarity():
+    rng = random.Random(3)
+    sets = [similar.shingle_set(" ".join(rng.choices("abcdefgh", k=rng.randrange(1, 60))).encode(), 2) for _ in range(30)]
+    exact = similar.Overlap(sets)
+    for s in sets:
+        for got, t in zip(exact.jaccard(s), sets, strict=True):
+            x, y = set(s.tolist()), set(t.tolist())
+            assert abs(got - len(x & y) / len(x | y)) < 1e-12
