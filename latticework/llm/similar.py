@@ -32,7 +32,9 @@ from latticework.llm.simhash import SHARD, BKTree, bit_counts
 BANDS, ROWS = 16, 4
 RADIUS = 64
 #: Bytes of shingle sets in a chunk of a cell, but for a single set that is larger.
-CELL_BYTES = 32 << 20
+CELL_BYTES = 8 << 20
+#: Shared hashes counted at a time when a set is compared with a cell.
+_COUNTED = 1 << 20
 #: Linked documents whose ids are broadcast when their texts are fetched; beyond it they are joined by a shuffle.
 BROADCAST_IDS = 1_000_000
 _RNG = np.random.default_rng(20)
@@ -115,15 +117,20 @@ class Overlap:
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         self.sizes = np.array([len(s) for s in sets], np.int64)
-        hashes = np.concatenate(sets)
-        order = np.argsort(hashes, kind="stable")
-        self.hashes, self.owners = hashes[order], np.repeat(np.arange(len(sets)), self.sizes)[order]
+        self.hashes = np.concatenate(sets)
+        order = np.argsort(self.hashes)
+        self.hashes = self.hashes[order]
+        self.owners = np.repeat(np.arange(len(sets), dtype=np.int32), self.sizes)[order]
 
     def jaccard(self, s: np.ndarray) -> np.ndarray:
-        low, high = np.searchsorted(self.hashes, s), np.searchsorted(self.hashes, s, "right")
-        met = high - low
-        at = np.arange(met.sum()) + np.repeat(low - np.cumsum(met) + met, met)
-        common = np.bincount(self.owners[at], minlength=len(self.sizes))
+        low = np.searchsorted(self.hashes, s)
+        met = np.searchsorted(self.hashes, s, "right") - low
+        common = np.zeros(len(self.sizes), np.int64)
+        step = max(1, _COUNTED // len(self.sizes))  # each hash is in every set once at most
+        for k in range(0, len(s), step):
+            n, start = met[k : k + step], low[k : k + step]
+            at = np.arange(n.sum()) + np.repeat(start - np.cumsum(n) + n, n)
+            common += np.bincount(self.owners[at], minlength=len(common))
         return common / np.maximum(self.sizes + len(s) - common, 1)
 
 
@@ -183,11 +190,12 @@ def cell_links(keyed: DataFrame, radius: int, similarity: float | None = None, s
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            for s, i, j, probe, rep, sim, members in zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True):
+            sets = batch.column(6)
+            for n, (s, i, j, probe, rep, sim) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
                 if (s, i, j) != key:
                     close()
                     key, tree, probes = (s, i, j), [], []
-                (probes if probe else tree).append((rep, int.from_bytes(sim, "little"), np.frombuffer(members, np.uint64)))
+                (probes if probe else tree).append((rep, int.from_bytes(sim, "little"), np.frombuffer(sets[n].as_buffer(), np.uint64).copy()))
             if len(out) > 100_000:
                 yield rows()
         close()
@@ -212,6 +220,10 @@ def candidate_groups(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD)
     return tied.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
 
 
+def _marked(members: bytes) -> bytes:
+    return xxhash.xxh3_128_digest(members) + members
+
+
 def verified_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) within groups(rep, grp) of shingle sets with a Jaccard similarity of at least similarity: a spanning forest for each cell."""
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
@@ -222,8 +234,7 @@ def verified_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, shingle
 
     @F.arrow_udf("binary")
     def as_set(texts: pa.Array) -> pa.Array:
-        found = [shingle_set(t, shingle).tobytes() for t in texts.to_pylist()]
-        return pa.array([xxhash.xxh3_128_digest(s) + s for s in found], pa.binary())
+        return pa.array([_marked(shingle_set(t.as_py(), shingle).tobytes()) for t in texts], pa.binary())
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(ends, "rep")
     marked = texts.select("rep", "digest", as_set("text").alias("set")).where(F.substring("set", 1, 16) == F.col("digest"))
