@@ -17,6 +17,7 @@ shingle sets are one node throughout.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -42,6 +43,14 @@ _MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) +
 _SPREAD = _RNG.integers(0, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
+def give_back() -> None:
+    """Return freed memory to the system: Python workers outlive their task and would keep it."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words: the whole sequence; none: nothing."""
     words = (text or b"").lower().split()
@@ -87,6 +96,8 @@ def sketches(docs: DataFrame, shingle: int) -> DataFrame:
         for batch in batches:
             made = [sketch(shingle_set(t, shingle)) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[k] for m in made], pa.binary()) for k in range(3)]], names=["doc_id", "digest", "sim", "bands"])
+            del made
+            give_back()
 
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
     return source.mapInArrow(kernel, "doc_id long, digest binary, sim binary, bands binary")
@@ -200,6 +211,9 @@ def cell_links(keyed: DataFrame, radius: int, similarity: float | None = None, s
                 yield rows()
         close()
         yield rows()
+        tree.clear()
+        probes.clear()
+        give_back()
 
     dealt = cells.repartition("shard", "i", "j").sortWithinPartitions("shard", "i", "j", "probe", "rep")
     return dealt.mapInArrow(kernel, "a long, b long").distinct()
@@ -234,7 +248,9 @@ def verified_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, shingle
 
     @F.arrow_udf("binary")
     def as_set(texts: pa.Array) -> pa.Array:
-        return pa.array([_marked(shingle_set(t.as_py(), shingle).tobytes()) for t in texts], pa.binary())
+        found = pa.array([_marked(shingle_set(t.as_py(), shingle).tobytes()) for t in texts], pa.binary())
+        give_back()
+        return found
 
     texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(ends, "rep")
     marked = texts.select("rep", "digest", as_set("text").alias("set")).where(F.substring("set", 1, 16) == F.col("digest"))
