@@ -50,6 +50,11 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op9_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every repeated run of the thresholds' size; the SQL of op9_sentence_spans has the shortest run from each start alone."""
+    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+
+
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lang_id.label_documents(table(spark, sf_dir, "documents"))
 
@@ -71,7 +76,7 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_simhash_bk, op3_quality_crf, op4_chat, op5_pii_contexts, op6_line_dedup, op7_packing, op8_chunk_fingerprints, op9_sentence_spans, op10_language)
+    found = (op1_decontaminate, op2_simhash_bk, op3_quality_crf, op4_chat, op5_pii_contexts, op6_line_dedup, op7_packing, op8_chunk_fingerprints, op9_sentence_spans, op9_repeated_runs, op10_language)
     return {f.__name__: f for f in found}
 
 

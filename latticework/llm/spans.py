@@ -10,6 +10,12 @@ but the first of equal ones (by doc_id, then position) go, with every sentence t
 Repeats within a document are settled there, so a document counts once for a span. Counts
 and smallest doc_ids are summed before the shuffle; the join back is an equi-join whose
 partitions can be split.
+
+That rule, which the SQL has, leaves the end of a repeated passage whose last sentences meet
+no threshold by themselves. ``whole`` adds the shortest span that ends at every sentence. The
+two together remove what hashing every run of the thresholds' size would: a repeated run's
+first and last sentences are in its first span and its last, and if a sentence between is
+before the last span, the span that starts there ends within the run.
 """
 
 from __future__ import annotations
@@ -61,14 +67,42 @@ def spans(text: bytes) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
     return pieces, where, ends, digests
 
 
-def _postings(docs: DataFrame) -> DataFrame:
+def _enough(sentences: int, words: int) -> bool:
+    return words >= MANY_WORDS or (sentences >= SENTENCES and words >= LEAST_WORDS)
+
+
+def runs(text: bytes) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
+    """Pieces of the text; which of them are sentences; (first, last sentence, digest) of the shortest spans from and up to each sentence, in order."""
+    pieces, where, ends, digests = spans(text)
+    found = {(i, end): d for i, (end, d) in enumerate(zip(ends, digests, strict=True))}
+    normal = [b" ".join(pieces[k].lower().split()) for k in where]
+    sizes = [s.count(b" ") + 1 for s in normal]
+    start, total = 0, 0  # sentences start to j have total words
+    for j, size in enumerate(sizes):
+        total += size
+        while start < j and _enough(j - start, total - sizes[start]):
+            total -= sizes[start]
+            start += 1
+        if _enough(j - start + 1, total) and (start, j) not in found:
+            found[start, j] = xxhash.xxh3_128_digest(b"\n".join(normal[start : j + 1]))
+    return pieces, where, [(i, j, found[i, j]) for i, j in sorted(found)]
+
+
+def _found(text: bytes, whole: bool) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
+    if whole:
+        return runs(text)
+    pieces, where, ends, digests = spans(text)
+    return pieces, where, [(i, end, d) for i, (end, d) in enumerate(zip(ends, digests, strict=True))]
+
+
+def _postings(docs: DataFrame, whole: bool = False) -> DataFrame:
     """(doc_id, h1, h2): the spans of each document, each once."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, counts = [], []
             for text in batch.column(1).to_pylist():
-                own = set(spans(text)[3]) if text else ()
+                own = {d for *_, d in _found(text, whole)[2]} if text else ()
                 found += own
                 counts.append(len(own))
             h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
@@ -78,35 +112,35 @@ def _postings(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(kernel, "doc_id long, h1 long, h2 long")
 
 
-def dedup_spans(docs: DataFrame) -> DataFrame:
+def dedup_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
     """docs with covered sentences cut out of text, and two more columns, n_sentences (before) and n_removed.
 
     A null text stays null and has no sentences. Of equal spans the one in the smallest
     doc_id stays (null ids come last), in it the first. All rows of that doc_id keep it.
     Columns of docs with the names n_sentences and n_removed are replaced; others stay.
-    No rows, no result.
+    No rows, no result. whole takes the spans that end at a sentence besides those that start.
     """
 
     @F.arrow_udf("struct<text: string, n_sentences: long, n_removed: long>")
     def cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
         kept, before, lost = [], [], []
         for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
-            pieces, where, ends, digests = spans(text or b"")
+            pieces, where, held = _found(text or b"", whole)
             gone: set[int] = set()
             seen = set(drop or ())
             covered = 0
-            for i, (end, d) in enumerate(zip(ends, digests, strict=True)):
+            for i, end, d in held:
                 h1 = int.from_bytes(d[:8], "little", signed=True)
                 if h1 in seen:
                     gone.update(where[max(i, covered) : end + 1])
-                    covered = end + 1
+                    covered = max(covered, end + 1)
                 seen.add(h1)
             kept.append(text if not gone else b"".join(p for k, p in enumerate(pieces) if k not in gone))
             before.append(len(where))
             lost.append(len(gone))
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(lost, pa.int64())], names=["text", "n_sentences", "n_removed"])
 
-    held = _postings(docs)
+    held = _postings(docs, whole)
     first = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("h1", "h2", "first")
     again = held.join(first, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
     drops = again.groupBy("doc_id").agg(F.collect_list("h1").alias("_span_hashes")).withColumnRenamed("doc_id", "_span_doc")  # at most the document's own spans

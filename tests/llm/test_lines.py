@@ -114,6 +114,47 @@ def test_spans_match_brute_force(docs):
     assert got == brute_spans(texts, range(len(texts)))
 
 
+def brute_runs(texts):
+    """Texts without any later copy of any run of the thresholds' size."""
+    import re
+
+    seen, out = set(), {}
+    for i, t in enumerate(texts):
+        p = re.findall(r"[^.!?\n]+[.!?]*|[.!?\n]+", t)
+        where = [k for k, x in enumerate(p) if x[0] not in ".!?\n" and x.split()]
+        s = [" ".join(p[k].lower().split()) for k in where]
+        gone = set()
+        for a in range(len(s)):
+            n = 0
+            for b in range(a + 1, len(s) + 1):
+                n += len(s[b - 1].split())
+                if n >= 25 or (b - a >= 3 and n >= 8):
+                    run = tuple(s[a:b])
+                    if run in seen:
+                        gone.update(where[a:b])
+                    seen.add(run)
+        out[i] = "".join(x for k, x in enumerate(p) if k not in gone)
+    return out
+
+
+def test_whole_runs_match_brute_force_over_all_runs(docs):
+    rng = random.Random(9)
+    sentence = lambda: words(rng, rng.choice((1, 2, 5, 8, 12, 30)), 50).capitalize() + rng.choice((". ", "! ", ".\n", "... "))
+    passages = ["".join(sentence() for _ in range(rng.randint(2, 6))) for _ in range(6)]
+    texts = ["".join(rng.choice(passages) if rng.random() < 0.4 else sentence() for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    texts += ["", "Same. Same. Same. Same words again here. " * 20, "no end", " \n "]
+    got = as_dict(spans.dedup_spans(docs(texts), whole=True))
+    assert got == brute_runs(texts)
+
+
+def test_repeated_passage_goes_whole(docs):
+    rng = random.Random(10)
+    passage = "".join(words(rng, n, 10**6) + ". " for n in (30, 12, 10))
+    texts = [passage + words(rng, 20, 10**6) + ".", words(rng, 20, 10**6) + ". " + passage, passage]
+    got = as_dict(spans.dedup_spans(docs(texts), whole=True))
+    assert got[0] == texts[0] and not got[2].strip() and got[1].strip(" ") == texts[1][: len(texts[1]) - len(passage)].strip(" ")
+
+
 def test_spans_of_odd_rows(docs):
     assert spans.dedup_spans(docs([])).collect() == []
     text = words(__import__("random").Random(1), 40) + "."
