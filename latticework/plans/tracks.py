@@ -46,6 +46,12 @@ def track_guest_residence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.guest_residence(seen, guests).drop("group_key")
 
 
+def track_member_residence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Stays of all members; the SQL of track_guest_residence has those of one id in 50. Without SQL, tested by brute force."""
+    seen, _ = _seen(spark, sf_dir)
+    return tracking.guest_residence(seen, seen.select(*K, "cage_id", F.explode("waters").alias("guest"))).drop("group_key")
+
+
 def track_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tracks when a cage may be missing for a frame; folded in order, so without SQL."""
     seen, _ = tracking.track(snapshots(spark, sf_dir), tracking.TrackingConfig(gap_frame=1))
@@ -64,6 +70,11 @@ def frame_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tracking.check_order(snapshots(spark, sf_dir).where("frame_index % 2 = 0")).select("frame_index", "fault")
 
 
+def frame_order_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults in the order of all snapshots."""
+    return tracking.check_order(snapshots(spark, sf_dir)).select("frame_index", "fault")
+
+
 def time_sampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     frames = snapshots(spark, sf_dir).select(*K, "time_ps").distinct()
     return select.sample_times(frames, 36.0).select("frame_index", "time_ps")
@@ -112,7 +123,7 @@ def _pairs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return nodes, table(spark, sf_dir, "lineitem").select(*key, F.col("l_suppkey").alias("u"), (F.col("l_partkey") % 128).alias("v"))
 
 
-FIXED = (track_candidates, track_observations, track_events, track_lifetimes, track_lifetime_distribution, track_population, track_guest_residence, track_gaps, track_splits, frame_order, time_sampling, molecule_blocks, molecule_waters, molecule_counts, topology_groups, pair_edges, pair_unknown)
+FIXED = (track_candidates, track_observations, track_events, track_lifetimes, track_lifetime_distribution, track_population, track_guest_residence, track_member_residence, track_gaps, track_splits, frame_order, frame_order_all, time_sampling, molecule_blocks, molecule_waters, molecule_counts, topology_groups, pair_edges, pair_unknown)
 
 _SNAPS = """WITH RECURSIVE steps AS (SELECT DISTINCT floor(epoch(ts - TIMESTAMP '2024-01-01') / 43200)::INTEGER AS s, event_type AS c, user_id AS w FROM events WHERE ts >= TIMESTAMP '2024-01-01'),
 members AS (SELECT DISTINCT s + k AS f, c, w FROM steps, (SELECT unnest([0, 1]) AS k) WHERE s + k <= (SELECT max(s) FROM steps)),

@@ -1,9 +1,13 @@
 import itertools
 import random
+from collections import defaultdict
+from datetime import datetime, timedelta, timezone
 
 import pytest
 
 from latticework.operators import select, tracking
+from latticework.plans import tracks
+from latticework.sources.adapters import snapshots
 from latticework.streaming.tracks import dump, load, track_stream
 
 SNAPSHOTS = "group_key string, frame_index int, time_ps double, cage_id string, cage_type string, waters array<long>"
@@ -85,6 +89,37 @@ def test_order_and_sampling(spark):
         tracking.TrackingConfig(gap_frame=-1)
 
 
+@pytest.fixture
+def gapped(spark, tmp_path):
+    """Events of two types over steps 0 to 9 without 4 to 6, so that frames 5 and 6 are missing; users come and go."""
+    rng = random.Random(3)
+    start = datetime(2024, 1, 1, 1, tzinfo=timezone.utc)
+    rows = [(start + timedelta(hours=12 * s), u, c) for s in (0, 1, 2, 3, 7, 8, 9) for c, first in (("a", 1), ("b", 101)) for u in range(first, first + 30) if rng.random() < 0.75]
+    spark.createDataFrame(rows, "ts timestamp, user_id long, event_type string").write.parquet(str(tmp_path / "events.parquet"))
+    return str(tmp_path)
+
+
+def test_member_residence_matches_brute_force(spark, gapped):
+    track = {(r.frame_index, r.cage_id): r.track for r in tracks.track_observations(spark, gapped).collect()}
+    frames_of = defaultdict(list)
+    for r in snapshots(spark, gapped).orderBy("frame_index").collect():
+        for guest in r.waters:
+            frames_of[track[r.frame_index, r.cage_id], guest].append(r.frame_index)
+    want = set()
+    for (name, guest), held in frames_of.items():
+        stays = [[held[0]]]
+        for f in held[1:]:
+            stays[-1].append(f) if f == stays[-1][-1] + 1 else stays.append([f])
+        want |= {(name, guest, k, s[0], s[-1], len(s), 12.0 * (s[-1] - s[0])) for k, s in enumerate(stays, 1)}
+    got = [tuple(r) for r in tracks.track_member_residence(spark, gapped).select("track", "guest", "episode", "start_frame", "end_frame", "observed", "residence").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert {g for _, g, *_ in got} == {g for _, g in frames_of} and any(e > 1 for _, _, e, *_ in got)
+
+
+def test_order_of_all_snapshots_with_a_gap(spark, gapped):
+    assert [tuple(r) for r in tracks.frame_order_all(spark, gapped).collect()] == [(7, "gap")]
+
+
 def test_graph_mode(spark):
     make = lambda *n: spark.createDataFrame([([1] * k,) for k in n], "hydrogens array<int>")
     assert (select.graph_mode(make(2, 2)), select.graph_mode(make(0, 0))) == ("hbond", "oo")
