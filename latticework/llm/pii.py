@@ -8,6 +8,10 @@ instance's score combines its patterns' confidences; a few rounds of joins and s
 both from the seeds. Tokens of a kind's shape that trusted patterns, or the same
 identifier's matches elsewhere, name with a high score become spans of that kind.
 
+Numbers written with single blanks between their groups of digits are tokens as a whole,
+besides the groups that are tokens by themselves; of overlapping discoveries the longest
+stays. A run of groups with more than 19 digits is no such token.
+
 DataFrame functions only. Texts are read once and never shuffled: what crosses a shuffle
 are spans and their contexts. Patterns are possessive or guarded by what comes before, so
 that long runs are scanned once.
@@ -35,8 +39,11 @@ FORMS = {
 _OCTET = r"0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
 #: Tokens that may be identifiers.
 TOKEN = r"(?<![A-Za-z0-9._%+@-])(?:[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]++|\+?[0-9(][0-9().:/-]{4,}+)"
+_GROUP = r"\(?[0-9]++(?:[().-]++[0-9]++)*+\)?+(?![:/]?[A-Za-z0-9_%@+])"
+#: Groups of digits over single blanks that may be one identifier.
+JOINED = rf"(?<![A-Za-z0-9._%+@-])\+?{_GROUP}(?:\x20{_GROUP})++"
 #: Shape that a token must have to be taken for a kind.
-SHAPES = {"email": r"^[^@]+@[^@]*[A-Za-z0-9]$", "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "card": r"^(?:[-]?[0-9]){12,19}$", "phone": r"^\+?(?:[().-]*[0-9]){7,15}$"}
+SHAPES = {"email": r"^[^@]+@[^@]*[A-Za-z0-9]$", "ip": r"^[0-9]{1,3}(?:\.[0-9]{1,3}){3}$", "card": r"^(?:[\x20-]?[0-9]){12,19}$", "phone": r"^\+?(?:[\x20().-]*[0-9]){7,15}$"}
 ROUNDS = 3
 #: Least distinct seeds behind a pattern, and least confidence and score that are trusted.
 SUPPORT, TRUST = 3, 0.8
@@ -139,19 +146,20 @@ def _patterns(span: Column) -> Column:
 
 
 def score_instances(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
-    """(instance, kind, score) over edges(pattern, instance) and seeds(instance, kind), both distinct.
+    """(instance, kind, score) over edges(pattern, instance, counted) and seeds(instance, kind), both distinct.
 
     A pattern's confidence for a kind is the sum of its instances' scores, seeds having 1,
     over the number of its instances plus one half; below support seeds' worth or below
     trust it counts as nothing. An instance's score is one minus the product of what its
-    patterns leave open. Every round is two equi-joins with sums on both sides; instances
+    patterns leave open. Edges that are not counted get scores but give patterns none. Every round is two equi-joins with sums on both sides; instances
     and patterns of any degree are summed before the shuffle.
     """
     known = seeds.select("instance", "kind", F.lit(1.0).alias("score"))
-    sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
+    counted = edges.where("counted")
+    sizes = counted.groupBy("pattern").agg(F.count("*").alias("n"))
     scores = known
     for _ in range(rounds):
-        weight = edges.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("weight")).where(F.col("weight") >= support)
+        weight = counted.join(scores, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("weight")).where(F.col("weight") >= support)
         trusted = weight.join(sizes, "pattern").select("pattern", "kind", (F.col("weight") / (F.col("n") + 0.5)).alias("confidence")).where(F.col("confidence") >= trust)
         open_ = edges.join(trusted, "pattern").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-6)))))).alias("score"))
         scores = checkpoint(open_.join(known.select("instance", "kind"), ["instance", "kind"], "left_anti").unionByName(known))
@@ -168,13 +176,16 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: f
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(f"array<{_SPAN}>")
     tokens = F.when(text.rlike("[0-9@]"), matches(text, TOKEN, -1)).otherwise(none)
-    marked = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), base_spans(text).alias("base"), tokens.alias("tokens")))
+    joins = F.when(text.rlike(r"[0-9)]\x20[0-9(]"), matches(text, JOINED, -1, lambda m: F.length(_digits(m)).between(7, 19))).otherwise(none)
+    marked = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), base_spans(text).alias("base"), F.concat(tokens, joins).alias("tokens")))
     base = marked.select("doc_id", "version", F.explode("base").alias("s"))
     # a token ends before closing marks; those belong to the sentence
     bare = F.regexp_replace(F.col("s.match"), r"[().:/-]+$", "")
     loose = marked.select("doc_id", "version", F.explode("tokens").alias("s")).select("doc_id", "version", "s", bare.alias("instance"))
-    seen = base.select(F.col("s.match").alias("instance"), F.explode(_patterns(F.col("s"))).alias("pattern")).unionByName(loose.select("instance", F.explode(_patterns(F.col("s"))).alias("pattern")))
-    edges = checkpoint(seen.distinct())
+    # where a token starts, the groups joined to it are another reading of the same place
+    counted = ~F.col("s.match").rlike(r"\x20") | ~F.col("s.match").rlike(r"^\+?[0-9(][0-9().:/-]{4}")
+    seen = base.select(F.col("s.match").alias("instance"), F.explode(_patterns(F.col("s"))).alias("pattern"), F.lit(True).alias("counted")).unionByName(loose.select("instance", F.explode(_patterns(F.col("s"))).alias("pattern"), counted.alias("counted")))
+    edges = checkpoint(seen.groupBy("pattern", "instance").agg(F.max("counted").alias("counted")))
     seeds = checkpoint(base.select(F.col("s.match").alias("instance"), F.col("s.kind").alias("kind")).distinct())
     shape = reduce(lambda c, k: F.when(F.col("kind") == k[0], F.col("instance").rlike(SHAPES[k[1]])).otherwise(c), enumerate(KINDS), F.lit(False))
     scored = score_instances(edges, seeds, rounds, support, trust).where((F.col("score") >= trust) & shape)
@@ -185,7 +196,17 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: f
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["match"].alias("match")))
     joined = marked.select("doc_id", "version", plain.alias("base")).join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left")
     free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
-    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", free)))
+    # a token within joined groups starts before they end: the longest of those that overlap stays
+    step = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start: int, kind: int, end: int, match: string>>").alias("out"))
+
+    def longest(state: Column, m: Column) -> Column:
+        apart = F.struct(m["end"].alias("end"), F.concat(state["out"], F.array(m)).alias("out"))
+        last = F.element_at(state["out"], -1)
+        longer = F.struct(m["end"].alias("end"), F.concat(F.slice(state["out"], 1, F.size(state["out"]) - 1), F.array(m)).alias("out"))
+        return F.when(m["start"] >= state["end"], apart).when(m["end"] - m["start"] > last["end"] - last["start"], longer).otherwise(state)
+
+    kept = F.aggregate(F.array_sort(free), step, longest, lambda s: s["out"])
+    spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", kept)))
     return joined.select("doc_id", "base", spans.alias("spans"))
 
 

@@ -125,6 +125,18 @@ def test_contexts_discover_and_leave_other_numbers(docs):
     assert cleaned[24] == "so charge card number <card> now"
 
 
+def test_numbers_written_with_blanks_are_discovered(docs):
+    rng = random.Random(8)
+    texts = [f"please call +1 (974) {rng.randrange(200, 999)}-{rng.randrange(1000, 9999)} today" for _ in range(40)]
+    texts += [f"please charge card number {luhn(''.join(str(rng.randrange(10)) for _ in range(15)))} today" for _ in range(40)]
+    numbers = ["(974) 555-3436", "974 555 3436", "030 1234567", "974-555-3437"]
+    texts += [f"please call {n} today" for n in numbers]
+    texts += ["please charge card number 4111 1111 1111 1112 today", "the years 1990 1991 1992 1993 passed", "please call 974-555-3438 3rd time"]
+    got = {r.doc_id: [(s.kind, s.match) for s in r.spans] for r in pii.find(docs(texts)).collect()}
+    assert [got[80 + k] for k in range(4)] == [[(3, n)] for n in numbers]
+    assert got[84] == [(2, "4111 1111 1111 1112")] and got[85] == [] and got[86] == [(3, "974-555-3438")]
+
+
 def test_pii_of_odd_rows(spark, docs):
     assert pii.find(docs([])).collect() == []
     got = pii.find(docs(["a@b.cd", "a@b.cd", "1.2.3.4", None], ids=[1, 1, 1, None])).collect()
