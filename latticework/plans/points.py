@@ -2,13 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from contextvars import ContextVar
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.operators import graphs, neighbors, order, rings
 from latticework.operators.checkpoints import checkpoint
 from latticework.operators.graphs import joined
-from latticework.sources.adapters import cutoff, frames, points
+from latticework.sources import adapters
+from latticework.sources.adapters import frames, points
+
+_RADIUS: ContextVar[float | None] = ContextVar("radius", default=None)
+
+
+def cutoff(spark: SparkSession, sf_dir: str) -> float:
+    """The cutoff of the SQL, which shrinks with the table's rows, unless a fixed one is set."""
+    fixed = _RADIUS.get()
+    return adapters.cutoff(spark, sf_dir) if fixed is None else fixed
+
+
+def at_fixed_cutoff(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with CUTOFF at any number of rows, so that a frame's result depends on that frame alone."""
+
+    @wraps(query)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        before = _RADIUS.set(adapters.CUTOFF)
+        try:
+            return query(spark, sf_dir)
+        finally:
+            _RADIUS.reset(before)
+
+    run.__name__ = run.__qualname__ = f"fixed_{query.__name__}"
+    return run
 
 
 def _edges(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
@@ -130,7 +158,8 @@ def order_means(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("frame_index").agg(F.round(F.avg("f3"), 6).alias("mean"), F.count("f3").alias("valid"), F.round(F.avg(focus), 6).alias("focus_mean"), F.count(focus).alias("focus_valid"))
 
 
-FIXED = (cutoff_pairs, cross_pairs, hbond_pairs, coordination, adjacency, node_components, core_edges, chordless_rings, all_rings, shortest_rings, ring_incidence, ring_centers, order_f3, order_f4, order_ql, order_ql_nearest, order_mcg, order_dhop, ice, order_means)
+_AT_CUTOFF = (cutoff_pairs, cross_pairs, hbond_pairs, coordination, adjacency, node_components, core_edges, chordless_rings, all_rings, shortest_rings, ring_incidence, ring_centers, order_f3, order_f4, order_ql, order_ql_nearest, order_mcg, order_dhop, ice, order_means)
+FIXED = (*_AT_CUTOFF, *map(at_fixed_cutoff, _AT_CUTOFF))  # those at the fixed cutoff have no SQL
 
 _POINTS = """r AS (SELECT 0.12 * pow(least(1.0, 500.0 / greatest(1, count(*))), 1.0 / 3.0) AS cut FROM embeddings),
 pts AS (SELECT label::INTEGER AS f, vec_id AS n, embedding[1]::DOUBLE + 0.5 AS x, embedding[2]::DOUBLE + 0.5 AS y, embedding[3]::DOUBLE + 0.5 AS z FROM embeddings),
