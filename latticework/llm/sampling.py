@@ -8,17 +8,17 @@ from pyspark.sql import functions as F
 _GRAIN = 1 << 40
 
 
-def per_label(rows: DataFrame, label: str, each: int, labels: int = 256) -> tuple[DataFrame, dict]:
+def per_label(rows: DataFrame, label: str, each: int) -> tuple[DataFrame, dict]:
     """About ``each`` rows (twice as many at most) of every label by a hash of doc_id, and the count of all rows by label.
 
-    Only the ``labels`` most frequent labels take part. Rows are the same whenever the
-    table is the same, and no row is sorted or sent to one task.
+    All labels take part; a row of counts for each is sent to the driver. Rows are the same
+    whenever the table is the same, and no row is sorted or sent to one task.
     """
-    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).limit(labels).collect()}
+    counts = {r[0]: r[1] for r in rows.groupBy(label).count().orderBy(F.desc("count"), label).collect()}
     if not counts:
         return rows.limit(0), counts
-    share = F.lit(None).cast("long")
+    share = F.when(F.lit(False), F.lit(0).cast("long"))  # one flat expression, however many labels
     for value, n in counts.items():
-        share = F.when(F.col(label) == F.lit(value), F.lit(min(_GRAIN, -(-_GRAIN * each // n)))).otherwise(share)
+        share = share.when(F.col(label) == F.lit(value), F.lit(min(_GRAIN, -(-_GRAIN * each // n))))
     chosen = rows.where(F.pmod(F.xxhash64(F.col("doc_id").cast("long"), F.lit(5)), F.lit(_GRAIN)) < share)
     return chosen.limit(2 * each * len(counts)), counts

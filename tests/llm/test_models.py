@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from latticework.llm import chunks, lang_id, packing, quality, queries
+from latticework.llm import chunks, lang_id, packing, quality, queries, sampling
 
 from .conftest import words
 
@@ -114,6 +114,12 @@ def test_language_accuracy_on_held_out_documents(spark):
     assert (held.lang == held.lang_pred).mean() > 0.97 and both.score.between(0, 1).all()
 
 
+def test_samples_have_every_label(spark):
+    rows = spark.createDataFrame([(2 * k + j, f"l{k}") for k in range(400) for j in range(2)], "doc_id long, lang string")
+    chosen, sizes = sampling.per_label(rows, "lang", 10)
+    assert len(sizes) == 400 and sorted(map(tuple, chosen.collect())) == sorted(map(tuple, rows.collect()))
+
+
 def test_language_of_odd_rows(docs):
     assert lang_id.label_documents(docs([])).collect() == []
     texts = ["the cat and the dog", None, "", "123 ²", "x" * 50_000] * 4
