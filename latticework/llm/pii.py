@@ -48,7 +48,8 @@ ROUNDS = 3
 #: Least distinct seeds behind a pattern, and least confidence and score that are trusted.
 SUPPORT, TRUST = 3, 0.8
 _BLOCK = 256
-_CONTEXT = 80
+#: Longer context words are named by their digest, so that a pattern's row stays small.
+_LONG_WORD = 64
 
 
 def _let(value: Column, use: Callable[[Column], Column]) -> Column:
@@ -82,6 +83,15 @@ def _before(steps: Column) -> Column:
 _SPAN = "struct<start: int, kind: int, end: int, match: string, left: string, right: string>"
 
 
+def _last_words(gap: Column) -> Column:
+    """The last two words of a text, or the only one; read from its end, so that a long text is passed over once."""
+    return F.lower(F.reverse(F.regexp_extract(F.reverse(gap), r"^\s*+(\S++(?:\s++\S++)?)", 1)))
+
+
+def _first_word(gap: Column) -> Column:
+    return F.lower(F.regexp_extract(gap, r"^\s*+(\S++)", 1))
+
+
 def matches(text: Column, form: str, kind: int, valid: Callable[[Column], Column] | None = None) -> Column:
     """Array of _SPAN for the leftmost non-overlapping matches of a form that are valid; positions in code points."""
 
@@ -93,7 +103,7 @@ def matches(text: Column, form: str, kind: int, valid: Callable[[Column], Column
             start = F.length(F.get(pieces, F.lit(0))) + at
             return F.struct(
                 start.alias("start"), F.lit(kind).alias("kind"), (start + F.length(m)).alias("end"), m.alias("match"),
-                F.lower(F.substring(p, -_CONTEXT, _CONTEXT)).alias("left"), F.lower(F.substring(q, 1, _CONTEXT)).alias("right"),
+                _last_words(p).alias("left"), _first_word(q).alias("right"),
             )
 
         made = F.transform(_before(steps), one)
@@ -135,14 +145,17 @@ def base_spans(text: Column) -> Column:
 
 def _patterns(span: Column) -> Column:
     """A span's lexical patterns: two words before it; one before; one before and one after."""
-    one, two = F.regexp_extract(span["left"], r"(\S+)\s*$", 1), F.regexp_extract(span["left"], r"(\S+\s+\S+)\s*$", 1)
-    after = F.regexp_extract(span["right"], r"^\s*(\S+)", 1)
-    made = F.array(
-        F.when(two != "", F.concat(F.lit("2 "), F.regexp_replace(two, r"\s+", " "))),
-        F.when(one != "", F.concat(F.lit("1 "), one)),
-        F.when((one != "") & (after != ""), F.concat(F.lit("3 "), one, F.lit(" _ "), after)),
-    )
-    return F.array_compact(made)
+
+    def short(word: Column) -> Column:
+        return F.when(F.length(word) > _LONG_WORD, F.concat(F.lit("#"), F.sha2(word.cast("binary"), 256))).otherwise(word)
+
+    def of(words: Column) -> Column:
+        one, two = short(F.element_at(words, -1)), F.when(F.size(words) > 1, short(F.get(words, F.lit(0))))
+        after = F.when(span["right"] != "", short(span["right"]))
+        return F.array_compact(F.array(F.concat(F.lit("2 "), two, F.lit(" "), one), F.concat(F.lit("1 "), one), F.concat(F.lit("3 "), one, F.lit(" _ "), after)))
+
+    none = F.array().cast("array<string>")
+    return F.when(span["left"] == "", none).otherwise(_let(F.split(span["left"], r"\s+"), of))
 
 
 def score_instances(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
@@ -166,35 +179,40 @@ def score_instances(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, su
     return scores
 
 
-def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
-    """(doc_id, base, spans) for each row of docs(doc_id, text): arrays of struct<start, kind, end, match>.
+#: What tells rows apart: the doc_id, null or not, and 128 bits of the text.
+_ROW = ("unnamed", "id", "v1", "v2")
 
-    base has the fixed forms, spans those and what contexts discover; a discovered span
-    overlaps no base span. A null text counts as empty. Rows that repeat both doc_id and
-    text give equal rows, rows that repeat only doc_id rows of their own. No rows, no result.
-    """
+
+def _row_key(doc_id: Column, text: Column) -> list[Column]:
+    found = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text))
+    return [c.alias(name) for c, name in zip(found, _ROW, strict=True)]
+
+
+def _find(docs: DataFrame, rounds: int, support: int, trust: float) -> DataFrame:
+    """(_ROW..., base, spans) for each row of docs(doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(f"array<{_SPAN}>")
     tokens = F.when(text.rlike("[0-9@]"), matches(text, TOKEN, -1)).otherwise(none)
     joins = F.when(text.rlike(r"[0-9)]\x20[0-9(]"), matches(text, JOINED, -1, lambda m: F.length(_digits(m)).between(7, 19))).otherwise(none)
-    marked = checkpoint(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("version"), base_spans(text).alias("base"), F.concat(tokens, joins).alias("tokens")))
-    base = marked.select("doc_id", "version", F.explode("base").alias("s"))
+    marked = checkpoint(docs.select(*_row_key(F.col("doc_id").cast("long"), text), base_spans(text).alias("base"), F.concat(tokens, joins).alias("tokens")))
+    base = marked.select(F.explode("base").alias("s"))
     # a token ends before closing marks; those belong to the sentence
     bare = F.regexp_replace(F.col("s.match"), r"[().:/-]+$", "")
-    loose = marked.select("doc_id", "version", F.explode("tokens").alias("s")).select("doc_id", "version", "s", bare.alias("instance"))
+    loose = marked.select(*_ROW, F.explode("tokens").alias("s")).select(*_ROW, "s", bare.alias("instance"))
     # where a token starts, the groups joined to it are another reading of the same place
     counted = ~F.col("s.match").rlike(r"\x20") | ~F.col("s.match").rlike(r"^\+?[0-9(][0-9().:/-]{4}")
-    seen = base.select(F.col("s.match").alias("instance"), F.explode(_patterns(F.col("s"))).alias("pattern"), F.lit(True).alias("counted")).unionByName(loose.select("instance", F.explode(_patterns(F.col("s"))).alias("pattern"), counted.alias("counted")))
+    named = base.select(F.col("s.match").alias("instance"), F.explode(_patterns(F.col("s"))).alias("pattern"), F.lit(True).alias("counted"))
+    seen = named.unionByName(loose.select("instance", F.explode(_patterns(F.col("s"))).alias("pattern"), counted.alias("counted")))
     edges = checkpoint(seen.groupBy("pattern", "instance").agg(F.max("counted").alias("counted")))
     seeds = checkpoint(base.select(F.col("s.match").alias("instance"), F.col("s.kind").alias("kind")).distinct())
     shape = reduce(lambda c, k: F.when(F.col("kind") == k[0], F.col("instance").rlike(SHAPES[k[1]])).otherwise(c), enumerate(KINDS), F.lit(False))
     scored = score_instances(edges, seeds, rounds, support, trust).where((F.col("score") >= trust) & shape)
     best = scored.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     start = F.col("s.start")
-    more = loose.join(best, "instance").groupBy("doc_id", "version").agg(F.collect_set(F.struct(start.alias("start"), "kind", (start + F.length("instance")).alias("end"), F.col("instance").alias("match"))).alias("more"))
-    more = more.select(F.col("doc_id").alias("_id"), F.col("version").alias("_version"), "more")
+    span = F.struct(start.alias("start"), "kind", (start + F.length("instance")).alias("end"), F.col("instance").alias("match"))
+    more = loose.join(best, "instance").groupBy(*_ROW).agg(F.collect_set(span).alias("more"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["match"].alias("match")))
-    joined = marked.select("doc_id", "version", plain.alias("base")).join(more, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("version") == F.col("_version")), "left")
+    joined = marked.select(*_ROW, plain.alias("base")).join(more, list(_ROW), "left")
     free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     # a token within joined groups starts before they end: the longest of those that overlap stays
     step = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start: int, kind: int, end: int, match: string>>").alias("out"))
@@ -207,7 +225,18 @@ def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: f
 
     kept = F.aggregate(F.array_sort(free), step, longest, lambda s: s["out"])
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", kept)))
-    return joined.select("doc_id", "base", spans.alias("spans"))
+    return joined.select(*_ROW, "base", spans.alias("spans"))
+
+
+def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+    """(doc_id, base, spans) for each row of docs(doc_id, text): arrays of struct<start, kind, end, match>.
+
+    base has the fixed forms, spans those and what contexts discover; a discovered span
+    overlaps no base span. A null text counts as empty. Rows that repeat both doc_id and
+    text give equal rows, rows that repeat only doc_id rows of their own, and so do rows
+    without a doc_id. No rows, no result.
+    """
+    return _find(docs, rounds, support, trust).select(F.when(~F.col("unnamed"), F.col("id")).alias("doc_id"), "base", "spans")
 
 
 def to_text(spans: Column) -> Column:
@@ -216,18 +245,27 @@ def to_text(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def redact(docs: DataFrame) -> DataFrame:
-    """docs(doc_id, text) with spans and text, every span replaced by its kind in angle brackets; overlaps go to the earlier one."""
-    found = find(docs).groupBy("doc_id").agg(F.first("spans").alias("spans"))
+def redact(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
+    """docs with every span in text replaced by its kind in angle brackets; overlapping spans become one, named by the first.
+
+    Each row is redacted by its own spans, whether its doc_id is repeated or null. A null
+    text stays null, an empty one empty; all columns stay, whatever their names. No rows,
+    no result.
+    """
+    found = _find(docs, rounds, support, trust).select(*_ROW, "spans").dropDuplicates(list(_ROW))
     names = F.array(*map(F.lit, KINDS))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
+    rows = rows.select("row", "text", *_row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substr(F.col("text"), state["at"] + 1, s["start"] - state["at"])
         mark = F.concat(F.lit("<"), F.get(names, s["kind"]), F.lit(">"))
         kept = F.struct(s["end"].alias("at"), F.concat(state["out"], F.array(gap, mark)).alias("out"))
-        return F.when(s["start"] >= state["at"], kept).otherwise(state)
+        covered = F.struct(F.greatest(state["at"], s["end"]).alias("at"), state["out"].alias("out"))
+        return F.when(s["start"] >= state["at"], kept).otherwise(covered)
 
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
-    cleaned = F.aggregate(F.coalesce("spans", F.array()), start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
-    joined = docs.join(found.withColumnRenamed("doc_id", "_id"), F.col("doc_id").cast("long") == F.col("_id"), "left")
-    return joined.withColumn("text", cleaned).drop("_id", "spans")
+    cleaned = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
+    safe = F.when(F.size("spans") > 0, cleaned).otherwise(F.col("text"))
+    joined = rows.join(found, list(_ROW), "left").select("row", safe.alias("_safe"))
+    return joined.select(*[F.col("_safe").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
