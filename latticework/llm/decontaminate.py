@@ -10,31 +10,36 @@ strings, in the whole document.
 
 A block is hashed only if one of its shingles is in the class's index: bands of one value
 can only meet where an item's own least shingle occurs. The benchmark goes to the
-executors in chunks of at most ``CHUNK_BYTES`` text, each against all documents.
+executors in chunks whose text and index have at most ``CHUNK_BYTES``, each against all
+documents; a chunk is let go before the next one is read. An index has flat arrays and the
+items' words, whose shingles are only cut out when a document has a candidate.
 """
 
 from __future__ import annotations
 
 import math
 import uuid
-from collections import defaultdict
-from collections.abc import Iterator
-from functools import reduce
+from collections.abc import Callable, Iterator
+from functools import cache, reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from latticework.llm.common import checkpoint
+
 SHINGLE = 5
 THRESHOLD = 0.8
 MISS = 1e-9
-CHUNK_BYTES = 32 << 20
+#: Bytes of text and index in a chunk of the benchmark, but for a single item that is larger.
+CHUNK_BYTES = 128 << 20
 FOUND = "doc_id long, item_id long, matched long, shingles long, containment double"
 _P = 0x9E3779B97F4A7C15 | 1
 _MASK = (1 << 64) - 1
 _BITS = 20
+_PART = 1 << 14
 
 
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -89,40 +94,84 @@ def bands(length: int, threshold: float = THRESHOLD, miss: float = MISS) -> int:
     return math.ceil(math.log(miss) / math.log(1 - jaccard))
 
 
+def size_class(shingles: int) -> int:
+    """The L of the class (L/2, L] of an item of so many shingles."""
+    return 1 << max(0, shingles - 1).bit_length()
+
+
+def index_bytes(text: bytes | None, threshold: float = THRESHOLD) -> int:
+    """About what an item takes in an index: its words, a band's key and owner for each band, its least shingles."""
+    n = max(0, len((text or b"").split()) - SHINGLE + 1)
+    if not n:
+        return 64
+    made = bands(size_class(n), threshold)
+    return 256 + 2 * len(text or b"") + 12 * made + 8 * min(n, made)
+
+
+@cache
+def _permutations(n: int) -> tuple[np.ndarray, np.ndarray]:
+    rng = np.random.default_rng(17)
+    return rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1), rng.integers(0, 1 << 63, n, np.uint64)
+
+
+def least_hashes(h: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Under each of n permutations, the least value of the hashes and which of them has it; long sets in parts."""
+    a, b = (x[:, None] for x in _permutations(n))
+    values, at = np.full(n, _MASK, np.uint64), np.zeros(n, np.int64)
+    for k in range(0, len(h), _PART):
+        x = h[None, k : k + _PART] * a + b
+        x ^= x >> np.uint64(31)
+        own = x.argmin(axis=1)
+        found = np.take_along_axis(x, own[:, None], 1)[:, 0]
+        less = found < values
+        values[less], at[less] = found[less], own[less] + k
+    return values, at
+
+
+class _Class:
+    """Bands of one size class: sorted keys, the item of each, and the hashes of items' least shingles."""
+
+    def __init__(self, keys: list[np.ndarray], owners: list[int], least: list[np.ndarray], n_bands: int) -> None:
+        every = np.concatenate(keys)
+        order = np.argsort(every, kind="stable")
+        self.keys = every[order]
+        self.owners = np.repeat(np.array(owners, np.int32), n_bands)[order]
+        self.least = np.unique(np.concatenate(least))
+
+    def items(self, keys: np.ndarray) -> np.ndarray:
+        low, high = np.searchsorted(self.keys, keys), np.searchsorted(self.keys, keys, "right")
+        return np.concatenate([self.owners[a:b] for a, b in zip(low.tolist(), high.tolist(), strict=True) if a < b] or [self.owners[:0]])
+
+
+def _band_keys(least: np.ndarray) -> np.ndarray:
+    """A key for each band and its MinHash value. Keys that meet by chance only add candidates."""
+    return (least ^ (np.arange(len(least), dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))) * np.uint64(0xD6E8FEB86659FD93)
+
+
 class Index:
-    """Items by size class: in each class, item numbers by (band, MinHash value)."""
+    """Items by size class; in each class, item numbers by band and MinHash value."""
 
     def __init__(self, items: list[tuple[int | None, bytes | None]], threshold: float = THRESHOLD) -> None:
         self.threshold = threshold
-        self.items: list[tuple[int | None, set[bytes]]] = []
-        self.classes: dict[int, dict[tuple[int, int], list[int]]] = {}
-        least: dict[int, set[int]] = defaultdict(set)
+        self.items: list[tuple[int | None, bytes]] = []
+        parts: dict[int, tuple[list, list, list]] = {}
         for item_id, text in items:
             line = normal(text)
-            own = shingles(line)
-            if not own:
-                continue
-            length = 1 << max(0, len(own) - 1).bit_length()
-            table = self.classes.setdefault(length, {})
             h = np.unique(shingle_hashes(line))
-            mixed = self._mix(h, bands(length, threshold))
-            for k, (value, at) in enumerate(zip(mixed.min(axis=1).tolist(), mixed.argmin(axis=1).tolist(), strict=True)):
-                table.setdefault((k, value), []).append(len(self.items))
-                least[length].add(int(h[at]))
-            self.items.append((item_id, own))
-        self.least = {k: np.array(sorted(v), np.uint64) for k, v in least.items()}
+            if not len(h):
+                continue
+            length = size_class(len(h))
+            keys, owners, least = parts.setdefault(length, ([], [], []))
+            values, at = least_hashes(h, bands(length, threshold))
+            keys.append(_band_keys(values))
+            owners.append(len(self.items))
+            least.append(h[np.unique(at)])
+            self.items.append((item_id, line))
+        self.classes: dict[int, _Class] = {}
         self.any = np.zeros(1 << _BITS, bool)
-        for v in self.least.values():
-            self.any[v >> np.uint64(64 - _BITS)] = True
-
-    @staticmethod
-    def _mix(h: np.ndarray, n: int) -> np.ndarray:
-        """n permutations of the hashes, a row each."""
-        rng = np.random.default_rng(17)
-        a = rng.integers(0, 1 << 63, n, np.uint64) * np.uint64(2) + np.uint64(1)
-        b = rng.integers(0, 1 << 63, n, np.uint64)
-        x = h[None, :] * a[:, None] + b[:, None]
-        return x ^ (x >> np.uint64(31))
+        for length in sorted(parts):
+            made = self.classes[length] = _Class(*parts.pop(length), bands(length, threshold))
+            self.any[made.least >> np.uint64(64 - _BITS)] = True
 
     def candidates(self, h: np.ndarray) -> set[int]:
         """Items that share a band with a block of a document whose shingle hashes are h, in order."""
@@ -131,17 +180,14 @@ class Index:
         if not len(near):
             return found
         for length, table in self.classes.items():
-            known = self.least[length]
-            at = np.minimum(np.searchsorted(known, h[near]), len(known) - 1)
-            hits = near[known[at] == h[near]]
+            at = np.minimum(np.searchsorted(table.least, h[near]), len(table.least) - 1)
+            hits = near[table.least[at] == h[near]]
             if not len(hits):
                 continue
             blocks = np.unique(np.concatenate([hits // length, np.maximum(hits // length - 1, 0)]))
             n = bands(length, self.threshold)
             for block in blocks.tolist():
-                x = self._mix(h[block * length : (block + 2) * length], n)
-                for key in enumerate(x.min(axis=1).tolist()):
-                    found.update(table.get(key, ()))
+                found.update(table.items(_band_keys(least_hashes(h[block * length : (block + 2) * length], n)[0])).tolist())
         return found
 
     def search(self, text: bytes | None) -> list[tuple[int | None, int, int]]:
@@ -154,7 +200,8 @@ class Index:
         own = shingles(line)
         out = []
         for k in sorted(found):
-            item_id, wanted = self.items[k]
+            item_id, item = self.items[k]
+            wanted = shingles(item)
             matched = len(wanted & own)
             if matched >= self.threshold * len(wanted) - 1e-9:
                 out.append((item_id, matched, len(wanted)))
@@ -173,18 +220,38 @@ def _index(sent: Broadcast, threshold: float) -> Index:
     return _MADE[stamp, threshold]
 
 
-def _chunks(benchmark: DataFrame, limit: int) -> Iterator[list[tuple[int | None, bytes | None]]]:
+def _chunks(benchmark: DataFrame, limit: int, threshold: float) -> Iterator[list[tuple[int | None, bytes | None]]]:
+    """The benchmark's rows, as many at a time as limit allows; the driver holds one chunk and the partition it reads."""
     rows, size = [], 0
     for item_id, text in benchmark.select(F.col("item_id").cast("long"), F.col("text").cast("binary")).toLocalIterator():
-        rows.append((item_id, None if text is None else bytes(text)))
-        size += len(text or b"")
-        if size >= limit:
+        text = None if text is None else bytes(text)
+        more = index_bytes(text, threshold)
+        if rows and size + more > limit:
             yield rows
             rows, size = [], 0
+        rows.append((item_id, text))
+        size += more
     if rows:
         yield rows
 
 
+def _with_chunks(docs: DataFrame, benchmark: DataFrame, threshold: float, chunk_bytes: int, single: Callable[[Broadcast], DataFrame], each: Callable[[Broadcast], DataFrame]) -> DataFrame | list[DataFrame]:
+    """single of the only chunk; or each of several, computed and let go before the next but one is read; or no list at all."""
+    context = docs.sparkSession.sparkContext
+    chunks = _chunks(benchmark, chunk_bytes, threshold)
+    head = [items for _, items in zip(range(2), chunks)]
+    send = lambda items: context.broadcast((uuid.uuid4().hex, items))  # noqa: E731  # chunk_bytes or one item
+    if len(head) == 1:
+        return single(send(head[0]))
+    done = []
+    while head:
+        sent = send(head.pop(0))
+        done.append(checkpoint(each(sent)))
+        sent.destroy()
+        head += [items for _, items in zip(range(1 - len(head)), chunks)]
+    return done
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """FOUND: a row for each document and benchmark item with threshold or more of the item's distinct shingles in it.
 
@@ -192,18 +259,14 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
     items or documents of fewer than five words, match nothing. Repeated rows of either
     table give repeated results. No rows in either, no result.
     """
-    context = docs.sparkSession.sparkContext
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
 
-    def against(items: list[tuple[int | None, bytes | None]]) -> DataFrame:
-        sent = context.broadcast((uuid.uuid4().hex, items))  # chunk_bytes and one text at most
-
+    def against(sent: Broadcast) -> DataFrame:
         def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             index = _index(sent, threshold)
             for batch in batches:
-                out = [
-                    (doc_id, *row) for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for row in index.search(text)
-                ]
+                texts = zip(batch.column(0).to_pylist(), batch.column(1), strict=True)
+                out = [(doc_id, *row) for doc_id, text in texts for row in index.search(text.as_py())]
                 if out:
                     doc_ids, item_ids, matched, whole = (list(c) for c in zip(*out, strict=True))
                     shares = [m / n for m, n in zip(matched, whole, strict=True)]
@@ -212,14 +275,50 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRES
 
         return source.mapInArrow(kernel, FOUND)
 
-    parts = [against(items) for items in _chunks(benchmark, chunk_bytes)]
-    return reduce(DataFrame.unionAll, parts) if parts else docs.sparkSession.createDataFrame([], FOUND)
+    parts = _with_chunks(docs, benchmark, threshold, chunk_bytes, against, against)
+    if isinstance(parts, list):
+        return reduce(DataFrame.unionAll, parts, docs.sparkSession.createDataFrame([], FOUND))
+    return parts
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """docs without the documents that contain a benchmark item."""
-    found = contaminated(docs, benchmark, threshold).select(F.col("doc_id").alias("_found")).distinct()
-    return docs.join(found, docs["doc_id"].cast("long") == found["_found"], "left_anti")
+def _contains(sent: Broadcast, threshold: float) -> Callable[[Column], Column]:
+    @F.arrow_udf("boolean")
+    def hit(texts: pa.Array) -> pa.Array:
+        index = _index(sent, threshold)
+        return pa.array([bool(index.search(t.as_py())) for t in texts], pa.bool_())
+
+    return lambda text: hit(text.cast("binary"))
+
+
+def _digest(text: Column) -> list[Column]:
+    """128 bits of a text; null counts as empty."""
+    return [F.xxhash64(F.lit(k), F.coalesce(text.cast("string"), F.lit(""))).alias(f"t{k}") for k in (1, 2)]
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float = THRESHOLD, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+    """docs without the rows whose text contains a benchmark item.
+
+    Each row goes by its own text, whether its doc_id is repeated or null. Null, empty and
+    very short texts stay; all columns stay, whatever their names. With one chunk of
+    benchmark, rows are judged where they are read; with several, the digests of texts
+    that a chunk convicts are collected in a table and joined. No rows, no result.
+    """
+    text = F.col("text")
+
+    def clean(sent: Broadcast) -> DataFrame:
+        return docs.where(~_contains(sent, threshold)(text))
+
+    def guilty(sent: Broadcast) -> DataFrame:
+        return docs.where(_contains(sent, threshold)(text)).select(*_digest(text)).distinct()
+
+    convicted = _with_chunks(docs, benchmark, threshold, chunk_bytes, clean, guilty)
+    if not isinstance(convicted, list):
+        return convicted
+    if not convicted:
+        return docs
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_digest(text))
+    kept = rows.join(reduce(DataFrame.unionAll, convicted).distinct(), ["t1", "t2"], "left_anti")
+    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 ORACLE = r"""

@@ -152,3 +152,81 @@ def test_bands_never_miss_an_item_itself(values):
     index = decontaminate.Index([(1, item)])
     found = index.search(b"before and after " + item + b" the end")
     assert bool(found) == (len(values) >= 5) and np.all([m == n for _, m, n in found])
+
+
+def test_redaction_goes_by_row(spark, docs):
+    texts = ["x ann@example.org is another", "write to bob.long.name@example.org or +1 (974) 555-3436", "no id: eve@example.org", "no id either, and none", None, "", "both +378282246310005 ends"]
+    frame = docs(texts, ids=[1, 1, None, None, 1, 1, 2]).withColumnRenamed("lang", "spans").withColumnRenamed("source", "base")
+    twice = frame.unionAll(frame.limit(1))
+    got = sorted((r.doc_id or -1, r.text or "", r.text is None) for r in pii.redact(twice).collect())
+    clean = ["x <email> is another", "write to <email> or <phone>", "no id: <email>", "no id either, and none", None, "", "both <phone> ends"]
+    want = sorted((i or -1, t or "", t is None) for i, t in zip([1, 1, None, None, 1, 1, 2, 1], [*clean, clean[0]], strict=True))
+    assert got == want and pii.redact(frame).columns == frame.columns
+    assert pii.redact(docs([])).collect() == []
+
+
+def test_contexts_of_long_words_and_gaps(docs):
+    rng = random.Random(12)
+    card = lambda: luhn("".join(str(rng.randrange(10)) for _ in range(15)))
+    for word in ("k" * 30, "k" * 79, "k" * 200, "k" * 5000):
+        texts = [f"please {word} {card()} today" for _ in range(12)]
+        texts += [f"please {word}{'j'} {rng.randrange(10**15, 10**16)} sent" for _ in range(12)]
+        texts += [f"please {word}     4111111111111112 now", f"please {word}j 4111111111111112 now"]
+        got = {r.doc_id: [s.kind for s in r.spans] for r in pii.find(docs(texts)).collect()}
+        assert got[24] == [2], len(word)
+
+
+def test_scores_match_a_plain_walk_over_the_graph(spark):
+    rng = random.Random(13)
+    edges = sorted({(f"p{rng.randrange(12)}", f"i{rng.randrange(40)}") for _ in range(160)})
+    counted = {e: rng.random() < 0.8 for e in edges}
+    seeds = {(f"i{k}", k % 2) for k in range(0, 40, 2)}
+    known = {s: 1.0 for s in seeds}
+    scores = dict(known)
+    for _ in range(3):
+        conf = {}
+        for p in {p for p, _ in edges}:
+            own = [i for q, i in edges if q == p and counted[q, i]]
+            for kind in (0, 1):
+                weight = sum(scores.get((i, kind), 0.0) for i in own)
+                if own and weight >= 2 and weight / (len(own) + 0.5) >= 0.3:
+                    conf[p, kind] = weight / (len(own) + 0.5)
+        scores = dict(known)
+        for i in {i for _, i in edges}:
+            for kind in (0, 1):
+                left = [1 - conf[p, kind] for p, j in edges if j == i and (p, kind) in conf]
+                if left and (i, kind) not in known:
+                    scores[i, kind] = 1 - float(np.prod(left))
+    frame = spark.createDataFrame([(p, i, counted[p, i]) for p, i in edges], "pattern string, instance string, counted boolean")
+    got = pii.score_instances(frame, spark.createDataFrame(sorted(seeds), "instance string, kind int"), 3, 2, 0.3)
+    got = {(r.instance, r.kind): r.score for r in got.collect()}
+    assert got.keys() == scores.keys() and all(abs(got[k] - scores[k]) < 1e-9 for k in scores)
+
+
+def test_contaminated_rows_go_by_text(spark, docs):
+    rng = random.Random(14)
+    items = [words(rng, n, 3000) for n in (16, 16, 40)]
+    bench = spark.createDataFrame([(None if k == 1 else k, t) for k, t in enumerate(items)], "item_id long, text string")
+    texts = [items[0], "an unrelated text of a repeated id, quite clean", items[1] + " more", None, "", words(rng, 3000, 50) + " " + items[2], "clean too"]
+    frame = docs(texts, ids=[1, 1, None, None, 2, 3, 3]).withColumnRenamed("lang", "_found").withColumnRenamed("source", "t1")
+    for limit in (decontaminate.CHUNK_BYTES, 1):
+        kept = decontaminate.drop_contaminated(frame, bench, chunk_bytes=limit)
+        assert kept.columns == frame.columns
+        assert sorted((r.doc_id or -1, r.text or "") for r in kept.collect()) == sorted([(1, texts[1]), (-1, ""), (2, ""), (3, texts[6])])
+    assert decontaminate.drop_contaminated(frame, bench.limit(0)).count() == len(texts)
+    assert decontaminate.drop_contaminated(frame.limit(0), bench).collect() == []
+
+
+def test_an_index_stays_near_its_estimate():
+    import tracemalloc
+
+    rng = random.Random(15)
+    items = [(k, words(rng, 16, 10**6).encode()) for k in range(3000)]
+    told = sum(decontaminate.index_bytes(t) for _, t in items)
+    decontaminate.Index(items[:10])
+    tracemalloc.start()
+    index = decontaminate.Index(items)
+    took, peak = tracemalloc.get_traced_memory()
+    tracemalloc.stop()
+    assert took < told + (4 << 20) and peak < 3 * told + (8 << 20)
+    assert all(index.search(b"so " + t + b" then") == [(k, 12, 12)] for k, t in items[::100])
