@@ -42,3 +42,24 @@ def ascii_lower(text: Column) -> Column:
 def crc_mod5(doc_id: Column) -> Column:
     """crc32 of the id's decimal text, modulo 5; 0 marks held-out documents."""
     return F.crc32(doc_id.cast("string").cast("binary")) % 5
+
+
+#: What tells rows apart: the doc_id, null or not, and 128 bits of the text.
+ROW = ("unnamed", "id", "v1", "v2")
+
+
+def row_key(doc_id: Column, text: Column) -> list[Column]:
+    """ROW of a doc_id and a text, none of them null: rows may then be joined by plain equality. A null text is as an empty one."""
+    text = F.coalesce(text.cast("string"), F.lit(""))
+    found = (doc_id.isNull(), F.coalesce(doc_id.cast("long"), F.lit(0)), F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text))
+    return [c.alias(name) for c, name in zip(found, ROW, strict=True)]
+
+
+def whole_row(df: DataFrame) -> Column:
+    """All columns of df as one struct, so that no other column's name can meet theirs."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row")
+
+
+def unpacked(df: DataFrame, columns: list[str], **changed: Column) -> DataFrame:
+    """The columns of whole_row, those in changed replaced."""
+    return df.select(*[changed[c].alias(c) if c in changed else F.col(f"row.`{c}`").alias(c) for c in columns])

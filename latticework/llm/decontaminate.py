@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import checkpoint
+from latticework.llm.common import checkpoint, unpacked, whole_row
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -316,9 +316,9 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
         return convicted
     if not convicted:
         return docs
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *_digest(text))
+    rows = docs.select(whole_row(docs), *_digest(text))
     kept = rows.join(reduce(DataFrame.unionAll, convicted).distinct(), ["t1", "t2"], "left_anti")
-    return kept.select(*[F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return unpacked(kept, docs.columns)
 
 
 ORACLE = r"""

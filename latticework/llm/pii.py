@@ -25,7 +25,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import checkpoint
+from latticework.llm.common import ROW, checkpoint, row_key, unpacked, whole_row
 
 KINDS = ("email", "ip", "card", "phone")
 #: The fixed forms. A match that starts inside a run of its own characters could only
@@ -179,26 +179,17 @@ def score_instances(edges: DataFrame, seeds: DataFrame, rounds: int = ROUNDS, su
     return scores
 
 
-#: What tells rows apart: the doc_id, null or not, and 128 bits of the text.
-_ROW = ("unnamed", "id", "v1", "v2")
-
-
-def _row_key(doc_id: Column, text: Column) -> list[Column]:
-    found = (doc_id.isNull(), F.coalesce(doc_id, F.lit(0)), F.xxhash64(F.lit(1), text), F.xxhash64(F.lit(2), text))
-    return [c.alias(name) for c, name in zip(found, _ROW, strict=True)]
-
-
 def _find(docs: DataFrame, rounds: int, support: int, trust: float) -> DataFrame:
-    """(_ROW..., base, spans) for each row of docs(doc_id, text)."""
+    """(ROW..., base, spans) for each row of docs(doc_id, text)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     none = F.array().cast(f"array<{_SPAN}>")
     tokens = F.when(text.rlike("[0-9@]"), matches(text, TOKEN, -1)).otherwise(none)
     joins = F.when(text.rlike(r"[0-9)]\x20[0-9(]"), matches(text, JOINED, -1, lambda m: F.length(_digits(m)).between(7, 19))).otherwise(none)
-    marked = checkpoint(docs.select(*_row_key(F.col("doc_id").cast("long"), text), base_spans(text).alias("base"), F.concat(tokens, joins).alias("tokens")))
+    marked = checkpoint(docs.select(*row_key(F.col("doc_id").cast("long"), text), base_spans(text).alias("base"), F.concat(tokens, joins).alias("tokens")))
     base = marked.select(F.explode("base").alias("s"))
     # a token ends before closing marks; those belong to the sentence
     bare = F.regexp_replace(F.col("s.match"), r"[().:/-]+$", "")
-    loose = marked.select(*_ROW, F.explode("tokens").alias("s")).select(*_ROW, "s", bare.alias("instance"))
+    loose = marked.select(*ROW, F.explode("tokens").alias("s")).select(*ROW, "s", bare.alias("instance"))
     # where a token starts, the groups joined to it are another reading of the same place
     counted = ~F.col("s.match").rlike(r"\x20") | ~F.col("s.match").rlike(r"^\+?[0-9(][0-9().:/-]{4}")
     named = base.select(F.col("s.match").alias("instance"), F.explode(_patterns(F.col("s"))).alias("pattern"), F.lit(True).alias("counted"))
@@ -210,9 +201,9 @@ def _find(docs: DataFrame, rounds: int, support: int, trust: float) -> DataFrame
     best = scored.groupBy("instance").agg(F.max_by("kind", F.struct("score", -F.col("kind"))).alias("kind"))
     start = F.col("s.start")
     span = F.struct(start.alias("start"), "kind", (start + F.length("instance")).alias("end"), F.col("instance").alias("match"))
-    more = loose.join(best, "instance").groupBy(*_ROW).agg(F.collect_set(span).alias("more"))
+    more = loose.join(best, "instance").groupBy(*ROW).agg(F.collect_set(span).alias("more"))
     plain = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["end"].alias("end"), s["match"].alias("match")))
-    joined = marked.select(*_ROW, plain.alias("base")).join(more, list(_ROW), "left")
+    joined = marked.select(*ROW, plain.alias("base")).join(more, list(ROW), "left")
     free = F.filter("more", lambda m: ~F.exists("base", lambda b: (b["start"] < m["end"]) & (m["start"] < b["end"])))
     # a token within joined groups starts before they end: the longest of those that overlap stays
     step = F.struct(F.lit(0).alias("end"), F.array().cast("array<struct<start: int, kind: int, end: int, match: string>>").alias("out"))
@@ -225,7 +216,7 @@ def _find(docs: DataFrame, rounds: int, support: int, trust: float) -> DataFrame
 
     kept = F.aggregate(F.array_sort(free), step, longest, lambda s: s["out"])
     spans = F.when(F.col("more").isNull(), F.col("base")).otherwise(F.array_sort(F.concat("base", kept)))
-    return joined.select(*_ROW, "base", spans.alias("spans"))
+    return joined.select(*ROW, "base", spans.alias("spans"))
 
 
 def find(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust: float = TRUST) -> DataFrame:
@@ -252,10 +243,9 @@ def redact(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust:
     text stays null, an empty one empty; all columns stay, whatever their names. No rows,
     no result.
     """
-    found = _find(docs, rounds, support, trust).select(*_ROW, "spans").dropDuplicates(list(_ROW))
+    found = _find(docs, rounds, support, trust).select(*ROW, "spans").dropDuplicates(list(ROW))
     names = F.array(*map(F.lit, KINDS))
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("text").cast("string").alias("text"), F.col("doc_id").cast("long").alias("doc_id"))
-    rows = rows.select("row", "text", *_row_key(F.col("doc_id"), F.coalesce("text", F.lit(""))))
+    rows = docs.select(whole_row(docs), F.col("text").cast("string").alias("text"), *row_key(F.col("doc_id"), F.col("text")))
 
     def step(state: Column, s: Column) -> Column:
         gap = F.substr(F.col("text"), state["at"] + 1, s["start"] - state["at"])
@@ -267,5 +257,4 @@ def redact(docs: DataFrame, rounds: int = ROUNDS, support: int = SUPPORT, trust:
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out"))
     cleaned = F.aggregate("spans", start, step, lambda s: F.concat(F.array_join(s["out"], ""), F.substr(F.col("text"), s["at"] + 1, F.length("text"))))
     safe = F.when(F.size("spans") > 0, cleaned).otherwise(F.col("text"))
-    joined = rows.join(found, list(_ROW), "left").select("row", safe.alias("_safe"))
-    return joined.select(*[F.col("_safe").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
+    return unpacked(rows.join(found, list(ROW), "left").select("row", safe.alias("safe")), docs.columns, text=F.col("safe"))

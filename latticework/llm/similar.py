@@ -8,11 +8,15 @@ a spanning forest of these candidates leaves the shard. Its components are candi
 groups, which hold every link that bands and radius admit.
 
 Each group's shingle sets then meet once, in cells of at most two chunks of ``SHARD`` texts
-and ``CELL_BYTES``; a group of more than a chunk's texts is parted by its bands instead, so
-that cells grow with texts and not with their square. There a BK-tree search is checked by
-exact similarity, and a spanning forest of the links that hold is closed to components. No
-candidate is passed over but those between texts that are linked already. Texts of equal
-shingle sets are one node throughout.
+and ``CELL_BYTES``; a group of more than a chunk's texts is parted by its bands, so that
+cells grow with texts and not with their square. Pairs that share a band and are within the
+radius are checked by exact similarity, in groups of any size alike, and a spanning forest of
+the links that hold is closed to components. No candidate is passed over but those between
+texts that are linked already. Texts of equal shingle sets are one node throughout.
+
+Sets of up to ``FEW`` shingles that are linked differ by one shingle, and few shingles make
+fingerprints uncertain. They are linked exactly, by joining a set's digest to the digests of
+others without one of their shingles.
 """
 
 from __future__ import annotations
@@ -26,12 +30,14 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import checkpoint
+from latticework.llm.common import ROW, checkpoint, row_key, unpacked, whole_row
 from latticework.llm.components import connected_components
 from latticework.llm.simhash import SHARD, BKTree, bit_counts
 
 BANDS, ROWS = 16, 4
 RADIUS = 64
+#: Sets of 0.8 with at most so many shingles in the larger differ by one.
+FEW = 8
 #: Bytes of shingle sets in a chunk of a cell, but for a single set that is larger.
 CELL_BYTES = 8 << 20
 #: Shared hashes counted at a time when a set is compared with a cell.
@@ -89,18 +95,29 @@ def sketch(h: np.ndarray) -> tuple[bytes, bytes, bytes]:
     return digest, sim, keys
 
 
+def fewer(h: np.ndarray) -> bytes:
+    """For sets of two to FEW shingles: the digests, 16 bytes each, of the set without each of its members."""
+    return b"".join(xxhash.xxh3_128_digest(np.delete(h, k).tobytes()) for k in range(len(h))) if 2 <= len(h) <= FEW else b""
+
+
 def sketches(docs: DataFrame, shingle: int) -> DataFrame:
-    """(doc_id, digest, sim, bands) for each row of docs(doc_id, text)."""
+    """(doc_id, ROW..., digest, sim, bands, fewer) for each row of docs(doc_id, text)."""
+    made = ["digest", "sim", "bands", "fewer"]
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [sketch(shingle_set(t, shingle)) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[pa.array([m[k] for m in made], pa.binary()) for k in range(3)]], names=["doc_id", "digest", "sim", "bands"])
-            del made
+            out: list[list[bytes]] = [[] for _ in made]
+            for t in batch.column(0):
+                h = shingle_set(t.as_py(), shingle)
+                for column, value in zip(out, (*sketch(h), fewer(h)), strict=True):
+                    column.append(value)
+            yield pa.RecordBatch.from_arrays([*batch.columns[1:], *[pa.array(c, pa.binary()) for c in out]], names=["doc_id", *ROW, *made])
+            del out
             give_back()
 
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text"))
-    return source.mapInArrow(kernel, "doc_id long, digest binary, sim binary, bands binary")
+    doc_id = F.col("doc_id").cast("long")
+    source = docs.select(F.col("text").cast("binary").alias("text"), doc_id.alias("doc_id"), *row_key(doc_id, F.col("text")))
+    return source.mapInArrow(kernel, "doc_id long, unnamed boolean, id long, v1 long, v2 long, " + ", ".join(f"{c} binary" for c in made))
 
 
 class Forest:
@@ -146,11 +163,12 @@ class Overlap:
 
 
 def forest_links(tree_of: list[tuple], probes: list[tuple], radius: int, similarity: float | None = None) -> list[tuple[int, int]]:
-    """Spanning links of (id, fingerprint, set) items within radius: probes against tree_of, or without probes tree_of in itself.
+    """Spanning links of (id, fingerprint, set, bands) items within radius: probes against tree_of, or without probes tree_of in itself.
 
-    With a similarity, links are between sets of that exact Jaccard similarity or more.
+    With a similarity, links are between sets of that exact Jaccard similarity or more which share a band.
     """
     tree, slots, forest, links, exact = BKTree(), [], Forest(), [], None
+    bands = None if similarity is None else np.array([np.frombuffer(t[3], "<i8") for t in tree_of])
 
     def add(k: int) -> None:
         at = tree.add(tree_of[k][1])
@@ -165,6 +183,8 @@ def forest_links(tree_of: list[tuple], probes: list[tuple], radius: int, similar
         if not probes:
             add(n)
         near = [k for k in near if forest.top(tree_of[k][0]) != forest.top(item[0])]
+        if near and similarity is not None:
+            near = [k for k, same in zip(near, (bands[near] == np.frombuffer(item[3], "<i8")).any(axis=1).tolist(), strict=True) if same]
         if near and similarity is not None:
             if len(near) == 1:
                 there = {near[0]: Overlap([tree_of[near[0]][2]]).jaccard(item[2])[0]}
@@ -177,14 +197,14 @@ def forest_links(tree_of: list[tuple], probes: list[tuple], radius: int, similar
 
 
 def cell_links(keyed: DataFrame, radius: int, similarity: float | None = None, sets: DataFrame | None = None, shard: int = SHARD, cell_bytes: int = CELL_BYTES) -> DataFrame:
-    """Links (a, b) of keyed(shard, rep, sim, weight), a spanning forest for each cell of two chunks of a shard; weight is the bytes of a rep's set in sets(rep, set)."""
+    """Links (a, b) of keyed(shard, rep, sim, bands, weight), a spanning forest for each cell of two chunks of a shard; weight is the bytes of a rep's set in sets(rep, set)."""
     sizes = keyed.groupBy("shard").agg(F.count("*").alias("n"), F.sum("weight").alias("bytes")).where("n > 1")
     chunks = F.least(F.col("n"), F.greatest(F.ceil(F.col("n") / shard), F.ceil(F.col("bytes") / cell_bytes)).cast("long"))
     cells = (
         keyed.join(sizes.select("shard", chunks.alias("chunks")), "shard")
         .withColumn("own", F.pmod(F.xxhash64("rep"), "chunks"))
         .withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)))
-        .select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("probe"), "rep", "sim")
+        .select("shard", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).alias("probe"), "rep", "sim", "bands")
     )
     cells = cells.withColumn("set", F.lit(b"")) if sets is None else cells.join(sets, "rep").select(*cells.columns, "set")
 
@@ -201,12 +221,12 @@ def cell_links(keyed: DataFrame, radius: int, similarity: float | None = None, s
             return pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1])], names=["a", "b"])
 
         for batch in batches:
-            sets = batch.column(6)
-            for n, (s, i, j, probe, rep, sim) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(6)), strict=True)):
+            sets = batch.column(7)
+            for n, (s, i, j, probe, rep, sim, bands) in enumerate(zip(*(batch.column(c).to_pylist() for c in range(7)), strict=True)):
                 if (s, i, j) != key:
                     close()
                     key, tree, probes = (s, i, j), [], []
-                (probes if probe else tree).append((rep, int.from_bytes(sim, "little"), np.frombuffer(sets[n].as_buffer(), np.uint64).copy()))
+                (probes if probe else tree).append((rep, int.from_bytes(sim, "little"), np.frombuffer(sets[n].as_buffer(), np.uint64).copy(), bands))
             if len(out) > 100_000:
                 yield rows()
         close()
@@ -229,7 +249,7 @@ def _band_keys(bands: str) -> Column:
 
 def candidate_groups(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """(rep, grp) for those nodes(rep, sim, bands) that have a candidate; grp is the smallest rep that candidates reach."""
-    keyed = nodes.select("rep", "sim", F.explode(_band_keys("bands")).alias("shard"), F.lit(0).cast("long").alias("weight"))
+    keyed = nodes.select("rep", "sim", F.explode(_band_keys("bands")).alias("shard"), F.lit(b"").alias("bands"), F.lit(0).cast("long").alias("weight"))
     tied = connected_components(checkpoint(cell_links(keyed, radius, shard=shard)))
     return tied.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
 
@@ -239,10 +259,13 @@ def _marked(members: bytes) -> bytes:
 
 
 def verified_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """Links (a, b) within groups(rep, grp) of shingle sets with a Jaccard similarity of at least similarity: a spanning forest for each cell."""
+    """Links (a, b) within groups(rep, grp) of shingle sets with a Jaccard similarity of at least similarity: a spanning forest for each cell.
+
+    A node's set is read from a row whose doc_id, or its first text hash if it has none, is the node's holder (without one, its rep).
+    """
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     wanted = checkpoint(nodes.join(groups.join(sizes, "grp"), "rep"))
-    ends = wanted.select("rep", "digest")
+    ends = wanted.select((F.col("holder") if "holder" in nodes.columns else F.col("rep")).alias("holder"), "rep", "digest")
     if ends.count() <= BROADCAST_IDS:
         ends = F.broadcast(ends)
 
@@ -252,34 +275,64 @@ def verified_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, shingle
         give_back()
         return found
 
-    texts = docs.select(F.col("doc_id").cast("long").alias("rep"), F.col("text").cast("binary").alias("text")).join(ends, "rep")
+    key = row_key(F.col("doc_id"), F.col("text"))
+    texts = docs.select(_holder(*key).alias("holder"), F.col("text").cast("binary").alias("text")).join(ends, "holder")
     marked = texts.select("rep", "digest", as_set("text").alias("set")).where(F.substring("set", 1, 16) == F.col("digest"))
-    sets = checkpoint(marked.select("rep", F.expr("substring(set, 17)").alias("set")))
+    sets = checkpoint(marked.select("rep", F.expr("substring(set, 17)").alias("set")).dropDuplicates(["rep"]))
     parted = F.transform(_band_keys("bands"), lambda k: F.xxhash64(k, F.col("grp")))
     keyed = wanted.join(sets.select("rep", F.length("set").cast("long").alias("weight")), "rep")
-    keyed = keyed.select("rep", "sim", "weight", F.explode(F.when(F.col("n") <= shard, F.array("grp")).otherwise(parted)).alias("shard"))
+    keyed = keyed.select("rep", "sim", "bands", "weight", F.explode(F.when(F.col("n") <= shard, F.array("grp")).otherwise(parted)).alias("shard"))
     return cell_links(keyed, radius, similarity, sets, shard)
 
 
-def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """(doc_id, component_id) for each row of docs(doc_id, text): components of links of similarity (0.8 or more) between shingle sets.
+def _holder(unnamed: Column, named: Column, v1: Column, v2: Column) -> Column:
+    return F.when(unnamed, v1).otherwise(named)
 
-    component_id is the smallest doc_id of the component. Texts without words are equal to
-    each other; null counts as empty. Rows without a doc_id take no part and have a null
-    component. Rows that repeat a doc_id give a row each. No rows, no result.
-    """
+
+def short_links(nodes: DataFrame, similarity: float) -> DataFrame:
+    """Links (a, b) of nodes(rep, digest, fewer): a set of up to FEW shingles and the same without one of them, if they are that similar."""
+    size = F.length("fewer") / 16
+    one_off = F.transform(F.sequence(F.lit(0), size.cast("int") - 1), lambda k: F.substr(F.col("fewer"), 16 * k + 1, F.lit(16)))
+    larger = nodes.where((size >= 2) & ((size - 1) / size >= similarity - 1e-9)).select(F.col("rep").alias("a"), F.explode(one_off).alias("digest"))
+    return larger.join(nodes.select("digest", F.col("rep").alias("b")), "digest").select("a", "b")
+
+
+def _components(docs: DataFrame, shingle: int, similarity: float) -> tuple[DataFrame, DataFrame]:
+    """Sketches of all rows; (digest, first, component) of all shingle sets, first being ROW of the first row that has the set."""
     if similarity < 0.8:
         raise ValueError("bands and radius are laid out for a similarity of 0.8 or more")
     marked = checkpoint(sketches(docs, shingle))
-    nodes = checkpoint(marked.where("doc_id IS NOT NULL").groupBy("digest", "sim", "bands").agg(F.min("doc_id").alias("rep")))
+    same = marked.groupBy("digest", "sim", "bands", "fewer").agg(F.min(F.struct(*ROW)).alias("first"))
+    holder = _holder(*[F.col(f"first.{c}") for c in ROW])
+    nodes = checkpoint(same.withColumn("holder", holder).withColumn("rep", F.monotonically_increasing_id()))
     groups = checkpoint(candidate_groups(nodes))
-    tied = connected_components(checkpoint(verified_links(nodes, groups, docs, shingle, similarity)))
-    named = nodes.join(tied.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component_id"))
-    joined = marked.join(named, "digest", "left")
-    return joined.select("doc_id", F.when(F.col("doc_id").isNotNull(), F.col("component_id")).alias("component_id"))
+    links = verified_links(nodes, groups, docs, shingle, similarity).unionByName(short_links(nodes, similarity))
+    tied = connected_components(checkpoint(links)).withColumnRenamed("node", "rep")
+    return marked, nodes.join(tied, "rep", "left").select("digest", "first", F.coalesce("component", "rep").alias("component"))
+
+
+def similar_groups(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
+    """(doc_id, component_id) for each row of docs(doc_id, text): components of links of similarity (0.8 or more) between shingle sets.
+
+    component_id is the smallest doc_id of the component, null if no row of it has one.
+    Texts without words are equal to each other; null counts as empty. Rows that repeat a
+    doc_id, or have none, give a row each by their own text. No rows, no result.
+    """
+    marked, sets = _components(docs, shingle, similarity)
+    lowest = sets.groupBy("component").agg(F.min("first").alias("lowest"))
+    named = sets.join(lowest, "component").select("digest", F.when(~F.col("lowest.unnamed"), F.col("lowest.id")).alias("component_id"))
+    return marked.select("doc_id", "digest").join(named, "digest").select("doc_id", "component_id")
 
 
 def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) -> DataFrame:
-    """docs without the documents that are not the smallest doc_id of their component; rows without a doc_id stay."""
-    losers = similar_groups(docs, shingle, similarity).where("doc_id <> component_id").select(F.col("doc_id").alias("_loser")).distinct()
-    return docs.join(losers, docs["doc_id"].cast("long") == losers["_loser"], "left_anti")
+    """docs with one row of each component: that of the smallest doc_id, rows without a doc_id last, ties by a hash of the text.
+
+    Rows that repeat doc_id and text are one document; one of them stays, whichever it is.
+    Rows that only share a doc_id are apart. All columns stay, whatever their names. No
+    rows, no result.
+    """
+    _, sets = _components(docs, shingle, similarity)
+    winners = sets.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
+    # repeated rows are merged before the shuffle, which the join then shares
+    single = docs.select(whole_row(docs), *row_key(F.col("doc_id"), F.col("text"))).groupBy(*ROW).agg(F.first("row").alias("row"))
+    return unpacked(single.join(winners, list(ROW), "left_semi"), docs.columns)

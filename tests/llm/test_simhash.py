@@ -169,3 +169,38 @@ def test_overlap_is_the_exact_similarity():
         for got, t in zip(exact.jaccard(s), sets, strict=True):
             x, y = set(s.tolist()), set(t.tolist())
             assert abs(got - len(x & y) / len(x | y)) < 1e-12
+
+
+def test_similar_rows_go_by_text(spark, docs):
+    rng = random.Random(21)
+    a, b, c = (words(rng, 60, 10**6) for _ in range(3))
+    near = a.replace(a.split()[0], "else", 1)
+    texts = [a, b, near, c, c, c + " end", "", None, b, a]
+    frame = docs(texts, ids=[1, 1, 2, None, None, None, 9, 8, 1, None]).withColumnRenamed("lang", "rep").withColumnRenamed("source", "row").withColumnRenamed("n_chars", "id")
+    kept = similar.drop_similar(frame)
+    assert kept.columns == frame.columns
+    rows = sorted((r.doc_id or -1, r.text or "") for r in kept.collect())
+    assert [r for r in rows if r[0] > 0] == sorted([(1, a), (1, b), (8, "")]) and len(rows) == 4 and rows[0][1] in (c, c + " end")
+    groups = sorted((r[0] or -1, r[1] or -1) for r in similar.similar_groups(frame).collect())
+    assert groups == sorted([(1, 1), (1, 1), (2, 1), (-1, -1), (-1, -1), (-1, -1), (9, 8), (8, 8), (1, 1), (-1, 1)])
+    assert similar.drop_similar(frame.limit(0)).collect() == []
+
+
+def test_short_texts_are_linked_exactly(docs):
+    rng = random.Random(22)
+    texts = []
+    for _ in range(60):
+        w = words(rng, rng.randint(8, 12), 10**6).split()
+        texts += [" ".join(w), " ".join(w[1:]), " ".join(w[:-1]), " ".join(w[2:])]
+    got = {r[0]: r[1] for r in similar.similar_groups(docs(texts)).collect()}
+    assert [got[k] for k in range(len(texts))] == _brute_groups(texts)
+
+
+def test_links_do_not_depend_on_the_group_size():
+    """Items within the radius and similar, which share no band: no link in a small group, as in a large one."""
+    import numpy as np
+
+    h = np.arange(100, dtype=np.uint64)
+    a, b = (1, 0, h, b"\1" * 128), (2, 1, h, b"\2" * 128)
+    c = (3, 1, h, b"\2" * 128)
+    assert similar.forest_links([a, b], [], 64, 0.8) == [] and similar.forest_links([b, c], [], 64, 0.8) == [(3, 2)]
