@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import crc_mod5
+from latticework.llm.common import crc_mod5, unpacked, whole_row
 from latticework.llm.sampling import per_label
 
 BITS = 15
@@ -187,7 +187,11 @@ def label_documents(docs: DataFrame, sample_each: int = SAMPLE_EACH) -> DataFram
 
 
 def keep_identified(docs: DataFrame, least: float = 0.5, sample_each: int = SAMPLE_EACH) -> DataFrame:
-    """docs without those of no letter and those whose language has a probability below least."""
+    """docs without those of no letter and those whose language has a probability below least.
+
+    Each row is judged by its own text; null and empty texts go. All columns stay, whatever
+    their names. Without a labelled row to learn from, nothing is recognised and no row stays.
+    """
     model = train(train_rows(docs), sample_each)
-    marked = docs.withColumn("_found", predict(model, docs))
-    return marked.where((F.col("_found.lang_pred") != UNKNOWN) & (F.col("_found.score") >= least)).drop("_found")
+    marked = docs.select(whole_row(docs), predict(model, docs).alias("found"))
+    return unpacked(marked.where((F.col("found.lang_pred") != UNKNOWN) & (F.col("found.score") >= least)), docs.columns)

@@ -2,41 +2,57 @@
 
 A sentence is a run of characters up to and with its closing ``.``, ``!`` or ``?`` marks,
 or up to the end of its line. From every sentence starts a span: the shortest run of
-consecutive sentences with ``SENTENCES`` sentences and ``LEAST_WORDS`` words, or with
-``MANY_WORDS`` words. Where a span starts alone decides where it ends, so a passage has
-the same spans wherever it is copied to. Spans are joined globally by 128-bit hash; all
-but the first of equal ones (by doc_id, then position) go, with every sentence they cover.
+consecutive sentences that a ``Rule`` finds long enough. Where a span starts alone decides
+where it ends, so a passage has the same spans wherever it is copied to. Spans are joined
+globally by 128-bit hash; all but the first of equal ones (by doc_id, then position) go,
+with every sentence they cover.
 
 Repeats within a document are settled there, so a document counts once for a span. Counts
 and smallest doc_ids are summed before the shuffle; the join back is an equi-join whose
 partitions can be split.
 
-That rule, which the SQL has, leaves the end of a repeated passage whose last sentences meet
-no threshold by themselves. ``whole`` adds the shortest span that ends at every sentence. The
-two together remove what hashing every run of the thresholds' size would: a repeated run's
-first and last sentences are in its first span and its last, and if a sentence between is
-before the last span, the span that starts there ends within the run.
+Those spans alone leave the end of a repeated passage whose last sentences are not long
+enough by themselves. ``whole`` adds the shortest span that ends at every sentence. The
+two together remove what hashing every long enough run would: a repeated run's first and
+last sentences are in its first span and its last, and if a sentence between is before the
+last span, the span that starts there ends within the run.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-SENTENCES = 3
-LEAST_WORDS = 8
-MANY_WORDS = 25
+from latticework.llm.common import checkpoint, unpacked, whole_row
+
+
+class Rule(NamedTuple):
+    """A run is long enough with this many sentences and words together, or with many words in however few sentences."""
+
+    sentences: int
+    words: int
+    many: float = float("inf")
+
+    def enough(self, sentences: int, words: int) -> bool:
+        return words >= self.many or (sentences >= self.sentences and words >= self.words)
+
+
+#: As the SQL of op9_sentence_spans has it; a single sentence of 25 words is a run there.
+SHORT_RUNS = Rule(3, 8, 25)
+#: Several sentences always, and too many words for a repeated line or a common phrase.
+PASSAGES = Rule(2, 25)
 _PIECE = re.compile(rb"[^.!?\n]+[.!?]*|[.!?\n]+")
 _STOPS = b".!?\n"
 
 
-def spans(text: bytes) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
+def spans(text: bytes, rule: Rule = SHORT_RUNS) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
     """Pieces of the text; which of them are sentences; each span's last sentence (from 0) in order of its first; digests."""
     pieces = _PIECE.findall(text)
     where, normal, sizes = [], [], []
@@ -52,14 +68,14 @@ def spans(text: bytes) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
     for i in range(n):
         if end < i + 1:
             end, total = i + 1, sizes[i]
-        while end < n and not (total >= MANY_WORDS or (end - i >= SENTENCES and total >= LEAST_WORDS)):
+        while end < n and not rule.enough(end - i, total):
             total += sizes[end]
             end += 1
         # the run that sentence i - 1 needed may be longer than what i needs
-        while end - i > 1 and ((rest := total - sizes[end - 1]) >= MANY_WORDS or (end - 1 - i >= SENTENCES and rest >= LEAST_WORDS)):
+        while end - i > 1 and rule.enough(end - 1 - i, total - sizes[end - 1]):
             end -= 1
-            total = rest
-        if not (total >= MANY_WORDS or (end - i >= SENTENCES and total >= LEAST_WORDS)):
+            total -= sizes[end]
+        if not rule.enough(end - i, total):
             break
         ends.append(end - 1)
         digests.append(digest(b"\n".join(normal[i:end])))
@@ -67,65 +83,70 @@ def spans(text: bytes) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
     return pieces, where, ends, digests
 
 
-def _enough(sentences: int, words: int) -> bool:
-    return words >= MANY_WORDS or (sentences >= SENTENCES and words >= LEAST_WORDS)
-
-
-def runs(text: bytes) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
+def runs(text: bytes, rule: Rule = SHORT_RUNS) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
     """Pieces of the text; which of them are sentences; (first, last sentence, digest) of the shortest spans from and up to each sentence, in order."""
-    pieces, where, ends, digests = spans(text)
+    pieces, where, ends, digests = spans(text, rule)
     found = {(i, end): d for i, (end, d) in enumerate(zip(ends, digests, strict=True))}
     normal = [b" ".join(pieces[k].lower().split()) for k in where]
     sizes = [s.count(b" ") + 1 for s in normal]
     start, total = 0, 0  # sentences start to j have total words
     for j, size in enumerate(sizes):
         total += size
-        while start < j and _enough(j - start, total - sizes[start]):
+        while start < j and rule.enough(j - start, total - sizes[start]):
             total -= sizes[start]
             start += 1
-        if _enough(j - start + 1, total) and (start, j) not in found:
+        if rule.enough(j - start + 1, total) and (start, j) not in found:
             found[start, j] = xxhash.xxh3_128_digest(b"\n".join(normal[start : j + 1]))
     return pieces, where, [(i, j, found[i, j]) for i, j in sorted(found)]
 
 
-def _found(text: bytes, whole: bool) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
+def _found(text: bytes, whole: bool, rule: Rule) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
     if whole:
-        return runs(text)
-    pieces, where, ends, digests = spans(text)
+        return runs(text, rule)
+    pieces, where, ends, digests = spans(text, rule)
     return pieces, where, [(i, end, d) for i, (end, d) in enumerate(zip(ends, digests, strict=True))]
 
 
-def _postings(docs: DataFrame, whole: bool = False) -> DataFrame:
-    """(doc_id, h1, h2): the spans of each document, each once."""
+def _document(docs: DataFrame) -> list[Column]:
+    """doc_id and twin: a row without a doc_id is a document by a hash of its text, else twin is 0."""
+    doc_id = F.col("doc_id").cast("long")
+    return [doc_id.alias("doc_id"), F.when(doc_id.isNull(), F.xxhash64(F.coalesce(F.col("text").cast("string"), F.lit("")))).otherwise(0).alias("twin")]
+
+
+def _postings(docs: DataFrame, whole: bool, rule: Rule) -> DataFrame:
+    """(doc_id, twin, h1, h2): the spans of each document, each once."""
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             found, counts = [], []
-            for text in batch.column(1).to_pylist():
-                own = {d for *_, d in _found(text, whole)[2]} if text else ()
+            for text in batch.column(2):
+                text = text.as_py()
+                own = {d for *_, d in _found(text, whole, rule)[2]} if text else ()
                 found += own
                 counts.append(len(own))
             h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
             at = pa.array(np.repeat(np.arange(len(counts)), counts))
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "h1", "h2"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "twin", "h1", "h2"])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("binary").alias("text")).mapInArrow(kernel, "doc_id long, h1 long, h2 long")
+    source = docs.select(*_document(docs), F.col("text").cast("binary").alias("text"))
+    return source.mapInArrow(kernel, "doc_id long, twin long, h1 long, h2 long")
 
 
-def dedup_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
+def dedup_spans(docs: DataFrame, whole: bool = False, rule: Rule = SHORT_RUNS) -> DataFrame:
     """docs with covered sentences cut out of text, and two more columns, n_sentences (before) and n_removed.
 
     A null text stays null and has no sentences. Of equal spans the one in the smallest
-    doc_id stays (null ids come last), in it the first. All rows of that doc_id keep it.
-    Columns of docs with the names n_sentences and n_removed are replaced; others stay.
-    No rows, no result. whole takes the spans that end at a sentence besides those that start.
+    doc_id stays, in it the first. All rows of that doc_id keep it. Rows without a doc_id
+    come last; those of equal texts are one document. Columns of docs with the names
+    n_sentences and n_removed are replaced; others stay, whatever their names. No rows, no
+    result. whole takes the spans that end at a sentence besides those that start.
     """
 
     @F.arrow_udf("struct<text: string, n_sentences: long, n_removed: long>")
     def cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
         kept, before, lost = [], [], []
         for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
-            pieces, where, held = _found(text or b"", whole)
+            pieces, where, held = _found(text or b"", whole, rule)
             gone: set[int] = set()
             seen = set(drop or ())
             covered = 0
@@ -140,14 +161,18 @@ def dedup_spans(docs: DataFrame, whole: bool = False) -> DataFrame:
             lost.append(len(gone))
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(lost, pa.int64())], names=["text", "n_sentences", "n_removed"])
 
-    held = _postings(docs, whole)
-    first = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first")).where("n > 1").select("h1", "h2", "first")
-    again = held.join(first, ["h1", "h2"]).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    drops = again.groupBy("doc_id").agg(F.collect_list("h1").alias("_span_hashes")).withColumnRenamed("doc_id", "_span_doc")  # at most the document's own spans
-    others = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
-    joined = docs.select(*others).join(drops, F.col("doc_id").cast("long").eqNullSafe(F.col("_span_doc")), "left")
-    done = joined.withColumn("_done", cut(F.col("text").cast("binary"), "_span_hashes"))
-    return done.select(*[F.col("_done.text").alias("text") if c == "text" else F.col(c) for c in others], "_done.n_sentences", "_done.n_removed")
+    held = checkpoint(_postings(docs, whole, rule))
+    least = F.min(F.when(F.col("doc_id").isNull(), F.col("twin")))
+    first = held.groupBy("h1", "h2").agg(F.count("*").alias("n"), F.min("doc_id").alias("first"), least.alias("first_twin")).where("n > 1").drop("n")
+    kept_here = F.when(F.col("first").isNull(), F.col("twin") == F.col("first_twin")).otherwise(F.coalesce(F.col("doc_id") == F.col("first"), F.lit(False)))
+    again = held.join(first, ["h1", "h2"]).where(~kept_here)
+    unnamed, named = F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id")
+    drops = again.groupBy(unnamed, named, "twin").agg(F.collect_list("h1").alias("hashes"))  # at most the document's own spans
+    columns = [c for c in docs.columns if c not in ("n_sentences", "n_removed")]
+    rows = docs.select(whole_row(docs), F.col("text").cast("binary").alias("text"), *_document(docs)).select("row", "text", unnamed, named, "twin")
+    done = rows.join(drops, ["unnamed", "id", "twin"], "left").select("row", cut("text", "hashes").alias("done"))
+    extra = [F.col(f"done.{c}").alias(c) for c in ("n_sentences", "n_removed")]
+    return done.select(*[F.col("done.text").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in columns], *extra)
 
 
 ORACLE = r"""
@@ -172,3 +197,15 @@ SELECT d.doc_id, coalesce(string_agg(p.piece, '' ORDER BY p.pos) FILTER (gone.po
 FROM documents d LEFT JOIN pieces p ON p.doc_id = d.doc_id LEFT JOIN sentences s ON s.doc_id = p.doc_id AND s.pos = p.pos LEFT JOIN gone ON gone.doc_id = p.doc_id AND gone.pos = p.pos
 GROUP BY d.doc_id
 """
+
+_ENDS = ORACLE[ORACLE.index("ends AS (") : ORACLE.index("), spans AS (")]
+#: The same with the runs of PASSAGES: the shortest from each sentence and up to each sentence.
+ORACLE_PASSAGES = ORACLE.replace(
+    _ENDS,
+    """long_enough AS (
+  SELECT a.doc_id, a.i, b.i AS j FROM sentences a JOIN sentences b ON a.doc_id = b.doc_id AND b.i BETWEEN a.i + 1 AND a.i + 24
+  WHERE b.upto - a.upto + a.n >= 25
+), ends AS (
+  SELECT doc_id, i, min(j) AS j FROM long_enough GROUP BY doc_id, i UNION SELECT doc_id, max(i) AS i, j FROM long_enough GROUP BY doc_id, j
+""",
+)

@@ -173,3 +173,67 @@ def test_query_digest(docs):
 
     done = line_dedup.dedup_lines(docs(["a\nb"])).select(F.sha2(F.col("text").cast("binary"), 256).alias("h")).first()
     assert done.h == hashlib.sha256(b"a\nb").hexdigest()
+
+
+def brute_passages(texts, enough):
+    """Texts without any later copy of any long enough run of sentences."""
+    import re
+
+    seen, out = set(), {}
+    for i, t in enumerate(texts):
+        p = re.findall(r"[^.!?\n]+[.!?]*|[.!?\n]+", t)
+        where = [k for k, x in enumerate(p) if x[0] not in ".!?\n" and x.split()]
+        s = [" ".join(p[k].lower().split()) for k in where]
+        gone = set()
+        for a in range(len(s)):
+            for b in range(a + 1, len(s) + 1):
+                if enough(b - a, sum(len(x.split()) for x in s[a:b])):
+                    run = tuple(s[a:b])
+                    if run in seen:
+                        gone.update(where[a:b])
+                    seen.add(run)
+        out[i] = "".join(x for k, x in enumerate(p) if k not in gone)
+    return out
+
+
+def test_passages_match_brute_force_over_all_runs(docs):
+    rng = random.Random(19)
+    sentence = lambda: words(rng, rng.choice((1, 2, 5, 8, 12, 30)), 50).capitalize() + rng.choice((". ", "! ", ".\n", "... "))
+    passages = ["".join(sentence() for _ in range(rng.randint(1, 7))) for _ in range(8)]
+    texts = ["".join(rng.choice(passages) if rng.random() < 0.4 else sentence() for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    texts += ["", "Same. Same. Same. Same words again here. " * 20, "no end", " \n ", words(rng, 40, 5) + ".", words(rng, 40, 5) + "."]
+    got = as_dict(spans.dedup_spans(docs(texts), whole=True, rule=spans.PASSAGES))
+    assert got == brute_passages(texts, lambda n, w: n >= 2 and w >= 25)
+
+
+def test_single_sentences_and_short_lines_stay(docs):
+    rng = random.Random(20)
+    alone = words(rng, 60, 10**6).capitalize() + "."
+    line = "All rights reserved. No part of this may be copied. Ask first."
+    texts = [f"{words(rng, 9, 10**6)}. {x}\n{words(rng, 9, 10**6)}." for x in (alone, alone, line, line)]
+    assert as_dict(spans.dedup_spans(docs(texts), whole=True, rule=spans.PASSAGES)) == dict(enumerate(texts))
+
+
+def test_spans_of_rows_without_an_id_and_clashing_names(docs):
+    rng = random.Random(21)
+    passage = ". ".join(words(rng, 15, 10**6) for _ in range(4)) + "."
+    texts = [passage, passage, passage + " tail", passage]
+    frame = docs(texts, ids=[None, None, None, 4]).withColumnRenamed("lang", "_span_doc").withColumnRenamed("source", "_done").withColumnRenamed("n_chars", "hashes")
+    done = spans.dedup_spans(frame, whole=True, rule=spans.PASSAGES)
+    assert done.columns == [*frame.columns, "n_sentences", "n_removed"]
+    assert sorted((r.doc_id or -1, r.text, r._done) for r in done.collect()) == [(-1, "", "s"), (-1, "", "s"), (-1, " tail", "s"), (4, passage, "s")]
+    unnamed = spans.dedup_spans(docs(texts[:3], ids=[None] * 3), whole=True, rule=spans.PASSAGES).collect()
+    assert sorted(r.n_removed for r in unnamed) in ([0, 0, 4], [0, 4, 4])
+
+
+def test_passages_match_sql(spark):
+    import duckdb
+
+    from latticework.llm import queries
+
+    folder = "/root/testdata/sf0.001"
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW documents AS SELECT * FROM '{folder}/documents.parquet'")
+    want = db.execute(queries.oracle_sql()["op9_repeated_runs"]).fetchall()
+    got = [tuple(r) for r in queries.op9_repeated_runs(spark, folder).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
