@@ -10,10 +10,15 @@ where pad(n) is 2048 - n, but 0 where n is a power of two. As 2048 - n splits in
 i and a term of j, a monotone queue gives the first kind of transition in constant time;
 powers of two are looked up by position. No row is shuffled: a partition is packed where it
 is read, and at most one window of it is short.
+
+Tokens are held back until all cuts that a later window could start from share an earlier
+one; what lies before that is settled, and cutting a stream piece by piece costs no more than
+cutting it at once.
 """
 
 from __future__ import annotations
 
+import heapq
 import json
 import re
 import zlib
@@ -32,7 +37,7 @@ INNER_CUT = 256
 WINDOW_COST = 16
 #: Shortest window that is left unpadded for being a power of two; shorter ones would only break documents up.
 LEAST_POWER = 256
-#: Tokens that are held and cut at once.
+#: Tokens that are held before settled windows are looked for.
 BLOCK = 1 << 19
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 #: Characters on whose class all regular expression libraries agree; other texts take the slower path.
@@ -42,45 +47,44 @@ _SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$
 
 
 class Encoder:
-    """Token ids of a byte-level vocabulary file, special strings being ordinary text."""
+    """Token ids of a byte-level vocabulary file. With special, strings of special tokens get their ids, else they are ordinary text."""
 
-    _made: dict[str, Encoder] = {}
+    _made: dict[tuple[str, bool], Encoder] = {}
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, special: bool = False) -> None:
         import tiktoken
         from tokenizers import Tokenizer
 
         self.full = Tokenizer.from_file(path)
-        self.full.encode_special_tokens = True
+        self.full.encode_special_tokens = not special
         with open(path, encoding="utf-8") as file:
             spec = json.load(file)
         plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
         other = [b for b in range(256) if b not in plain]
         byte_of = {chr(b): b for b in plain} | {chr(256 + k): b for k, b in enumerate(other)}
-        special = {x["id"] for x in spec.get("added_tokens", ())}
-        ranks = {bytes(byte_of[c] for c in token): k for token, k in spec["model"]["vocab"].items() if k not in special}
+        added = {x["id"]: x["content"] for x in spec.get("added_tokens", ())}
+        ranks = {bytes(byte_of[c] for c in token): k for token, k in spec["model"]["vocab"].items() if k not in added}
+        self.special = re.compile("|".join(map(re.escape, added.values()))) if special and added else None
         self.fast = tiktoken.Encoding("vocabulary", pat_str=_SPLIT, mergeable_ranks=ranks, special_tokens={})
-        self.sentence_end = np.zeros(max([0, *spec["model"]["vocab"].values()]) + 2, bool)
+        self.sentence_end = np.zeros(max([0, *spec["model"]["vocab"].values(), *added]) + 2, bool)
         for token, k in ranks.items():
             self.sentence_end[k] = b"\n" in token or token.rstrip(b"\"')]").endswith((b".", b"!", b"?"))
 
     @classmethod
-    def of(cls, path: str) -> Encoder:
-        if path not in cls._made:
-            cls._made[path] = cls(path)
-        return cls._made[path]
+    def of(cls, path: str, special: bool = False) -> Encoder:
+        if (path, special) not in cls._made:
+            cls._made[path, special] = cls(path, special)
+        return cls._made[path, special]
 
     def ids(self, text: str) -> list[int]:
-        if _COMMON.search(text):
+        if _COMMON.search(text) or (self.special and self.special.search(text)):
             return self.full.encode(text, add_special_tokens=False).ids
         return self.fast.encode_ordinary(text)
 
 
-def cuts(p: np.ndarray, penalty: np.ndarray, size: int = SEQUENCE) -> list[int]:
-    """Indexes into p of the cheapest cuts, from 0 to the last; gaps of p are size at most."""
+def _came_from(p: np.ndarray, penalty: np.ndarray, size: int) -> list[int]:
+    """For each cut the one before it on the cheapest way there; gaps of p are size at most."""
     n = len(p)
-    if n < 2:
-        return []
     at = np.full(int(p[-1]) + 1, -1, np.int64)
     at[p] = np.arange(n)
     to, back = [], []
@@ -117,13 +121,36 @@ def cuts(p: np.ndarray, penalty: np.ndarray, size: int = SEQUENCE) -> list[int]:
             queue.pop()
         keys.append(key)
         queue.append(j)
-    path, j = [], n - 1
+    return came
+
+
+def _way_to(came: list[int], j: int) -> list[int]:
+    path = []
     while j:
         path.append(j)
         j = came[j]
     return [0, *reversed(path)]
 
 
+def cuts(p: np.ndarray, penalty: np.ndarray, size: int = SEQUENCE) -> list[int]:
+    """Indexes into p of the cheapest cuts, from 0 to the last; gaps of p are size at most."""
+    return _way_to(_came_from(p, penalty, size), len(p) - 1) if len(p) > 1 else []
+
+
+def settled_cuts(p: np.ndarray, penalty: np.ndarray, size: int = SEQUENCE) -> list[int]:
+    """The cuts that stay the cheapest whatever follows: up to the last one that all places a later window may start from have in common."""
+    came = _came_from(p, penalty, size)
+    live = np.flatnonzero(p > p[-1] - size).tolist()
+    heap, known = [-j for j in live], set(live)
+    heapq.heapify(heap)
+    while len(heap) > 1:
+        j = came[-heapq.heappop(heap)]
+        if j not in known:
+            known.add(j)
+            heapq.heappush(heap, -j)
+    return _way_to(came, -heap[0])
+
+
 class _Stream:
     """Documents of one partition on their way into windows."""
 
@@ -133,7 +160,7 @@ class _Stream:
         self.ids: list[np.ndarray] = []
         self.cut: list[np.ndarray] = []
         self.price: list[np.ndarray] = []
-        self.held = 0
+        self.held, self.goal = 0, BLOCK
 
     def add(self, doc_id: int | None, ids: np.ndarray, ends: np.ndarray) -> None:
         n = len(ids)
@@ -153,12 +180,11 @@ class _Stream:
         self.held += n
 
     def windows(self, last: bool) -> Iterator[tuple]:
-        """Pieces of all windows that are settled: all of them at the end, else those before the last two."""
+        """Pieces of all windows that are settled; at the end, of all windows."""
         p, price = np.concatenate([[0], *self.cut]), np.concatenate([[0], *self.price])
-        path = cuts(p, price, self.size)
-        if not last:
-            path = path[:-2]
+        path = (cuts if last else settled_cuts)(p, price, self.size)
         if len(path) < 2:
+            self.goal = 2 * self.held
             return
         ids = np.concatenate(self.ids)
         bounds = p[path].tolist()
@@ -179,19 +205,22 @@ class _Stream:
             skip = max(0, done - first)
             rest.append((doc_id, max(0, first - done), start + skip, whole))
         self.docs, self.ids, self.held = rest, [ids[done:]], len(ids) - done
+        self.goal = self.held + BLOCK
         self.cut, self.price = [p[k + 1 :] - done], [price[k + 1 :]]
 
 
-def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, special: bool = False) -> DataFrame:
     """A row for each piece of a document of docs(doc_id, text), as in PIECES.
 
-    A null or empty text is the end id alone. Texts of any length are cut into as many
+    special gives the strings of special tokens in a text their ids, as the tokenizer's plain
+    call does; otherwise they are ordinary text. Order holds within a partition, and each
+    partition may end with a short window, so small files are better merged before. A null or empty text is the end id alone. Texts of any length are cut into as many
     pieces as they need; rows that repeat a doc_id are packed as documents of their own.
     sequence_id has the partition in its upper bits. No rows, no result.
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Encoder.of(tokenizer)
+        encoder = Encoder.of(tokenizer, special)
         stream = _Stream(size, TaskContext.get().partitionId() << 33)
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -199,7 +228,7 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE) -> DataFrame:
                 ids.append(END_ID)
                 ids = np.array(ids, "<u4")
                 stream.add(doc_id, ids, np.flatnonzero(encoder.sentence_end[ids[:-1]]) + 1)
-                if stream.held > BLOCK:
+                if stream.held > stream.goal:
                     yield _rows(stream.windows(last=False))
         if stream.held:
             yield _rows(stream.windows(last=True))

@@ -39,7 +39,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_packing(spark: SparkSession, sf_dir: str, tokenizer: str | None = None) -> DataFrame:
-    return packing.pack(table(spark, sf_dir, "documents"), tokenizer or packing.default_tokenizer())
+    return packing.pack(table(spark, sf_dir, "documents"), tokenizer or packing.default_tokenizer(), special=True)
 
 
 def op8_chunk_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,8 +51,8 @@ def op9_sentence_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op9_repeated_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every repeated run of the thresholds' size; the SQL of op9_sentence_spans has the shortest run from each start alone."""
-    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True)
+    """Every repeated run of two sentences and 25 words or more; op9_sentence_spans follows the rule of its SQL."""
+    return spans.dedup_spans(table(spark, sf_dir, "documents").select("doc_id", "text"), whole=True, rule=spans.PASSAGES)
 
 
 def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -76,9 +76,9 @@ FROM marked GROUP BY doc_id
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_decontaminate, op2_simhash_bk, op3_quality_crf, op4_chat, op5_pii_contexts, op6_line_dedup, op7_packing, op8_chunk_fingerprints, op9_sentence_spans, op9_repeated_runs, op10_language)
+    found = (op1_decontaminate, op2_simhash_bk, op3_quality_crf, op4_chat, op5_pii_contexts, op6_line_dedup, op7_packing, op8_chunk_fingerprints, op9_repeated_runs, op9_sentence_spans, op10_language)
     return {f.__name__: f for f in found}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontaminate": decontaminate.ORACLE, "op4_chat": chat.ORACLE, "op6_line_dedup": _OP6, "op9_sentence_spans": spans.ORACLE}
+    return {"op1_decontaminate": decontaminate.ORACLE, "op4_chat": chat.ORACLE, "op6_line_dedup": _OP6, "op9_sentence_spans": spans.ORACLE, "op9_repeated_runs": spans.ORACLE_PASSAGES}

@@ -171,3 +171,37 @@ def test_field_gradient_learns_labels():
     data = [(quality.places("good words here.\nmore good words.")[0].astype(np.int64), 1), (quality.places("## $$ %%\n@@ ~~")[0].astype(np.int64), 0)] * 5
     model = quality.fit_field(data, 60)
     assert quality.marginals(model, data[0][0]).min() > 0.9 and quality.marginals(model, data[1][0]).max() < 0.1
+
+
+def test_ids_of_the_query_are_those_of_the_plain_call(spark, docs, tmp_path):
+    path = packing.default_tokenizer()
+    plain = Tokenizer.from_file(path)
+    texts = ["<|endoftext|> is text", "a <|endoftext|><|endoftext|> b", "<|endoftext", "x <|ENDOFTEXT|>", "日本 <|endoftext|>", "", None, "plain words. " * 3000]
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = queries.op7_packing(spark, str(tmp_path)).collect()
+    for i, t in enumerate(texts):
+        ids = np.array([*plain.encode(t or "", add_special_tokens=False).ids, 1], "<u4")
+        own = sorted((r.start, r.length, r.ids_crc32) for r in rows if r.doc_id == i)
+        assert sum(n for _, n, _ in own) == len(ids) and all(c == zlib.crc32(ids[a : a + n].tobytes()) for a, n, c in own)
+    assert any(50256 in plain.encode(t, add_special_tokens=False).ids for t in texts[:2])
+
+
+def test_settled_cuts_cost_no_more_than_cuts_at_once():
+    rng = random.Random(8)
+
+    def cost(p, price, path, size):
+        free = lambda n: n == size or (n >= 256 and n & (n - 1) == 0)
+        return sum((0 if free(p[b] - p[a]) else size - p[b] + p[a]) + price[b] + packing.WINDOW_COST for a, b in zip(path, path[1:]))
+
+    for _ in range(40):
+        size = rng.choice((64, 512))
+        p = np.cumsum([0, *(rng.randint(1, size // rng.choice((1, 4, 16)) or 1) for _ in range(400))])
+        price = np.array([0] + [rng.choice([0, 6, 256]) for _ in p[1:]])
+        at, path, seen = 0, [0], 0
+        for stop in range(10, len(p) + 1, 10):
+            found = packing.settled_cuts(p[at:stop] - p[at], price[at:stop], size)
+            path += [at + k for k in found[1:]]
+            at, seen = path[-1], seen + len(found) - 1
+        path += [at + k for k in packing.cuts(p[at:] - p[at], price[at:], size)[1:]]
+        assert path[-1] == len(p) - 1 and seen > 0
+        assert cost(p, price, path, size) == cost(p, price, packing.cuts(p, price, size), size)
