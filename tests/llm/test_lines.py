@@ -237,3 +237,34 @@ def test_passages_match_sql(spark):
     want = db.execute(queries.oracle_sql()["op9_repeated_runs"]).fetchall()
     got = [tuple(r) for r in queries.op9_repeated_runs(spark, folder).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
+
+
+def test_dealt_filters_keep_the_same_postings(docs):
+    texts = corpus(5, 80)
+    index = line_dedup.build_index(docs(texts), shard_keys=3)
+    want = {(r.doc_id, bytes(r.key)) for r in line_dedup._maybe(index).collect()}
+    for part in (2, 10**6):
+        got = [(r.doc_id, bytes(r.key)) for r in line_dedup._dealt(index, part).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+    assert len(want) < index.postings.count()
+    empty = line_dedup.build_index(docs([]))
+    assert line_dedup._dealt(empty).collect() == [] and line_dedup._maybe(empty).collect() == []
+
+
+def test_lines_of_rows_without_an_id_and_clashing_names(docs):
+    line, other = "a line of at least twenty characters", "another line that is as long as the first"
+    texts = [line + "\n1", line + "\n2", line + "\n2", other + "\nx", other + "\ny", other + "\nz", line + "\n3"]
+    frame = docs(texts, ids=[None, None, None, None, None, None, 5]).withColumnRenamed("lang", "_drop_id").withColumnRenamed("source", "_done").withColumnRenamed("n_chars", "keys")
+    done = line_dedup.dedup_lines(frame)
+    assert done.columns == [*frame.columns, "n_lines", "n_dropped"]
+    rows = [(r.doc_id, r.text) for r in done.collect()]
+    assert (5, line + "\n3") in rows and sorted(t for i, t in rows if i is None and len(t) == 1) == ["1", "2", "2"] + sorted(t for i, t in rows if i is None and len(t) == 1)[3:]
+    assert sum(other in t for _, t in rows) == 1  # the last of three documents without an id keeps it
+
+
+def test_an_index_keeps_its_shard_size(docs):
+    texts = corpus(6, 30)
+    index = line_dedup.build_index(docs([]), shard_keys=2)
+    grown = line_dedup.insert(index, docs(texts))
+    assert grown.shard_keys == 2 and grown.filters.count() > 1
+    assert as_dict(line_dedup.apply(grown, docs(texts))) == brute(texts, range(len(texts)))
