@@ -5,6 +5,10 @@ to k is the prefix hash of length k. Exclusive or needs no order, so prefix hash
 from two levels of windows, over blocks of ``BLOCK`` turn numbers and over the totals of
 a conversation's blocks; a conversation of any length is spread over many tasks. An
 anti-join of whole conversations with all proper prefixes leaves the maximal ones.
+
+The search moves hashes of turns, and the texts of those alone whose turn number occurs
+twice in a conversation and which are ordered by their text. Texts of maximal conversations
+are shuffled once, when they are rendered.
 """
 
 from __future__ import annotations
@@ -12,32 +16,53 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from latticework.llm.common import checkpoint
+
 BLOCK = 1024
+#: Turn numbers that occur twice whose list is broadcast; a longer one is joined by a shuffle.
+BROADCAST_TIES = 1_000_000
+_PLACE = ["conv_id", "block"]
 
 
-def prefix_hashes(turns: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(conv_id, position, n_turns, p1, p2, role, text): a row for each turn, with the hash of all turns up to it."""
+def _turns(turns: DataFrame, block: int) -> DataFrame:
     rows = turns.select(
         F.col("conv_id").cast("long").alias("conv_id"),
         F.coalesce(F.col("turn").cast("long"), F.lit(-1)).alias("turn"),
         F.coalesce(F.col("role").cast("string"), F.lit("")).alias("role"),
         F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"),
-    ).withColumn("block", F.floor(F.col("turn") / block))
-    # hashed before the first shuffle, so that the search for prefixes moves no text
-    rows = rows.withColumn("a", F.xxhash64(F.lit(1), "role", F.lit(1), "text")).withColumn("b", F.xxhash64(F.lit(2), "text", F.lit(2), "role"))
-    rows = rows.where("conv_id IS NOT NULL")
-    counts = rows.groupBy("conv_id", "block").agg(F.count("*").alias("n"))
+    )
+    return rows.where("conv_id IS NOT NULL").withColumn("block", F.floor(F.col("turn") / block))
+
+
+def _hashed(rows: DataFrame) -> DataFrame:
+    """(conv_id, turn, block, a, b, tie): hashes of role and text, and both themselves where the turn number occurs twice."""
+    ties = checkpoint(rows.groupBy("conv_id", "turn").agg(F.count("*").alias("n")).where("n > 1").select("conv_id", "turn", F.lit(True).alias("tied")))
+    if ties.count() <= BROADCAST_TIES:
+        ties = F.broadcast(ties)
+    a, b = F.xxhash64(F.lit(1), "role", F.lit(1), "text"), F.xxhash64(F.lit(2), "text", F.lit(2), "role")
+    return rows.join(ties, ["conv_id", "turn"], "left").select("conv_id", "turn", "block", a.alias("a"), b.alias("b"), F.when(F.col("tied"), F.struct("role", "text")).alias("tie"))
+
+
+def _places(rows: DataFrame) -> DataFrame:
+    """(conv_id, block, skip, n_turns): the turns before each block, and of the conversation."""
+    counts = rows.groupBy(_PLACE).agg(F.count("*").alias("n"))
     whole, before = Window.partitionBy("conv_id"), Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    placed = counts.select("conv_id", "block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"))
-    inner = Window.partitionBy("conv_id", "block").orderBy("turn", "a", "b")
-    numbered = rows.withColumn("k", F.row_number().over(inner)).join(placed, ["conv_id", "block"]).withColumn("position", (F.col("skip") + F.col("k")).cast("long"))
+    return counts.select(*_PLACE, F.coalesce(F.sum("n").over(before), F.lit(0)).alias("skip"), F.sum("n").over(whole).alias("n_turns"))
+
+
+def prefix_hashes(rows: DataFrame, places: DataFrame) -> DataFrame:
+    """(conv_id, position, n_turns, p1, p2): a row for each turn, with the hash of all turns up to it."""
+    inner = Window.partitionBy(_PLACE).orderBy("turn", "tie.role", "tie.text")
+    numbered = _hashed(rows).withColumn("k", F.row_number().over(inner)).drop("tie", "turn").join(places, _PLACE).withColumn("position", F.col("skip") + F.col("k"))
     for name, mark in (("h1", 1), ("h2", 2)):
         numbered = numbered.withColumn(name, F.xxhash64(F.lit(mark), "position", "a", F.lit(mark), "b"))
-    totals = numbered.groupBy("conv_id", "block").agg(F.bit_xor("h1").alias("t1"), F.bit_xor("h2").alias("t2"))
-    starts = totals.select("conv_id", "block", *[F.coalesce(F.bit_xor(f"t{i}").over(before), F.lit(0)).alias(f"s{i}") for i in (1, 2)])
-    running = Window.partitionBy("conv_id", "block").orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
-    joined = numbered.join(starts, ["conv_id", "block"])
-    return joined.select("conv_id", "position", F.col("n_turns").cast("long").alias("n_turns"), *[F.col(f"s{i}").bitwiseXOR(F.bit_xor(f"h{i}").over(running)).alias(f"p{i}") for i in (1, 2)], "role", "text")
+    numbered = checkpoint(numbered.select(*_PLACE, "position", "n_turns", "h1", "h2"))
+    totals = numbered.groupBy(_PLACE).agg(F.bit_xor("h1").alias("t1"), F.bit_xor("h2").alias("t2"))
+    before = Window.partitionBy("conv_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    starts = totals.select(*_PLACE, *[F.coalesce(F.bit_xor(f"t{i}").over(before), F.lit(0)).alias(f"s{i}") for i in (1, 2)])
+    running = Window.partitionBy(_PLACE).orderBy("position").rowsBetween(Window.unboundedPreceding, 0)
+    prefix = [F.col(f"s{i}").bitwiseXOR(F.bit_xor(f"h{i}").over(running)).alias(f"p{i}") for i in (1, 2)]
+    return numbered.join(starts, _PLACE).select("conv_id", "position", "n_turns", *prefix)
 
 
 def maximal(prefixes: DataFrame) -> DataFrame:
@@ -51,14 +76,18 @@ def render(turns: DataFrame, block: int = BLOCK) -> DataFrame:
     """(conv_id, position, n_turns, role, rendered) for all turns of maximal conversations(conv_id, turn, role, text).
 
     Concatenated by position, rendered is the conversation in chat markup. Turns are
-    ordered by turn (null first), equal ones by their hash; positions count from 1, so gaps in
-    turn do not matter. Null roles and texts count as empty; turns without a conv_id are
-    left out. Repeated rows are turns of their own. No rows, no result.
+    ordered by turn, equal ones by role and text; a null turn counts as -1, and so does its
+    place. Positions count from 1, so gaps in turn do not matter. Null roles and texts count
+    as empty; turns without a conv_id are left out. Repeated rows are turns of their own.
+    No rows, no result.
     """
-    prefixes = prefix_hashes(turns, block)
-    kept = prefixes.join(maximal(prefixes), "conv_id", "left_semi")
+    rows = _turns(turns, block)
+    places = checkpoint(_places(rows))
+    kept = places.join(maximal(checkpoint(prefix_hashes(rows, places))), "conv_id", "left_semi")
+    inner = Window.partitionBy(_PLACE).orderBy("turn", "role", "text")
+    placed = rows.join(kept, _PLACE).withColumn("position", (F.col("skip") + F.row_number().over(inner)).cast("long"))
     text = F.concat(F.lit("<|"), "role", F.lit("|>\n"), "text", F.lit("<|end|>\n"))
-    return kept.select("conv_id", "position", "n_turns", "role", text.alias("rendered"))
+    return placed.select("conv_id", "position", F.col("n_turns").cast("long").alias("n_turns"), "role", text.alias("rendered"))
 
 
 ORACLE = """

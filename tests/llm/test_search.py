@@ -230,3 +230,21 @@ def test_an_index_stays_near_its_estimate():
     tracemalloc.stop()
     assert took < told + (4 << 20) and peak < 3 * told + (8 << 20)
     assert all(index.search(b"so " + t + b" then") == [(k, 12, 12)] for k, t in items[::100])
+
+
+def test_tied_turns_are_ordered_as_in_the_sql(spark, tmp_path):
+    import duckdb
+
+    rng = random.Random(16)
+    rows = []
+    for c in range(60):
+        n = rng.randint(1, 6)
+        rows += [(c, rng.choice((0, 1, 1, 2, None, -1)), rng.choice(("user", "tool", None)), rng.choice(("a", "b", "B", "é", "", None))) for _ in range(n)]
+    rows += rows[:20] + [(None, 1, "user", "x")]
+    frame = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    frame.coalesce(1).write.parquet(str(tmp_path / "c"))
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW conversations AS SELECT * FROM '{tmp_path}/c/*.parquet'")
+    want = sorted(db.execute(chat.ORACLE).fetchall())
+    for block in (1, 1024):
+        assert sorted(map(tuple, chat.render(frame, block).collect())) == want
