@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import crc_mod5, unpacked, whole_row
-from latticework.llm.sampling import per_label
+from latticework.llm.sampling import bounded, per_label
 
 BITS = 15
 DIM = 1 << BITS
@@ -138,7 +138,7 @@ def train(labelled: DataFrame, sample_each: int = SAMPLE_EACH) -> Model:
     languages = sorted(sizes)
     ids = F.broadcast(chosen.select(F.col("doc_id").alias("_id")).distinct())  # 2 * sample_each ids for each language at most
     sample = rows.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "lang", "text")
-    got = sorted(sample.mapInArrow(features, "doc_id long, lang string, at binary, n binary").collect(), key=lambda r: (r[0], r[1]))
+    got = bounded(sample.mapInArrow(features, "doc_id long, lang string, at binary, n binary"), F.length("at") + F.length("n"))
     data = [(*_with_constant(np.frombuffer(at, "<u2").astype(np.int64), np.frombuffer(n, "<u4"), idf), languages.index(lang)) for _, lang, at, n in got if lang in sizes]
     if not data:
         return Model([], idf, np.zeros((DIM + 1, 0)), 1.0)

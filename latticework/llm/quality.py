@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from latticework.llm.common import crc_mod5
-from latticework.llm.sampling import per_label
+from latticework.llm.sampling import bounded, per_label
 
 #: Bound of the sample: about this many training documents of each label.
 SAMPLE_EACH = 1500
@@ -204,7 +204,7 @@ def train(labelled: DataFrame, sample_each: int = SAMPLE_EACH) -> Model | None:
 
     ids = F.broadcast(chosen.select(F.col("doc_id").alias("_id")).distinct())  # 4 * sample_each ids at most
     sample = rows.join(ids, F.col("doc_id") == F.col("_id"), "left_semi").select("doc_id", "quality", "text")
-    got = sorted(sample.mapInArrow(features, "doc_id long, quality int, at binary, weight binary").collect(), key=lambda r: (r[0], r[1]))
+    got = bounded(sample.mapInArrow(features, "doc_id long, quality int, at binary, weight binary"), F.length("at") + F.length("weight"))
     data = [(np.frombuffer(at, "<u2").reshape(-1, 3 * _SLOTS).astype(np.int64), np.frombuffer(w, "<f4"), y) for _, y, at, w in got]
     fit, rest = [d for k, d in enumerate(data) if k % 4], data[::4]
     model = fit_field([(at, y) for at, _, y in (fit or data)])

@@ -205,3 +205,125 @@ def test_settled_cuts_cost_no_more_than_cuts_at_once():
         path += [at + k for k in packing.cuts(p[at:] - p[at], price[at:], size)[1:]]
         assert path[-1] == len(p) - 1 and seen > 0
         assert cost(p, price, path, size) == cost(p, price, packing.cuts(p, price, size), size)
+
+
+def test_samples_are_bounded_in_bytes(spark):
+    rows = spark.createDataFrame([(k % 7, "x" * 100 + str(k)) for k in range(1000)] * 2, "doc_id long, at string")
+    from pyspark.sql import functions as F
+
+    assert len(sampling.bounded(rows, F.length("at"))) == 1000
+    some = sampling.bounded(rows, F.length("at"), 20_000)
+    assert 100 < len(some) < 300 and some == sampling.bounded(rows.repartition(5), F.length("at"), 20_000)
+
+
+def test_regularised_leader_matches_a_dense_restatement():
+    """Per coordinate, from the published update, on a toy of eight places and three classes."""
+    import math
+
+    rng = random.Random(4)
+    rows = []
+    for _ in range(40):
+        at = np.array(sorted(rng.sample(range(8), 3)) + [lang_id.DIM])
+        rows.append((at, np.array([rng.random() + 0.1 for _ in range(3)] + [1.0]), rng.randrange(3)))
+    got = lang_id.ftrl(rows, 3, epochs=2)
+    z, n = defaultdict(float), defaultdict(float)
+
+    def weight(k):
+        if abs(z[k]) <= lang_id.L1:
+            return 0.0
+        return -(z[k] - math.copysign(lang_id.L1, z[k])) / ((lang_id.BETA + math.sqrt(n[k])) / lang_id.ALPHA + lang_id.L2)
+
+    order = np.random.default_rng(3)
+    for _ in range(2):
+        for r in order.permutation(len(rows)):
+            at, x, y = rows[r]
+            w = {(i, c): weight((i, c)) for i in at.tolist() for c in range(3)}
+            scores = [sum(w[i, c] * v for i, v in zip(at.tolist(), x, strict=True)) for c in range(3)]
+            top = max(scores)
+            total = sum(math.exp(s - top) for s in scores)
+            for i, v in zip(at.tolist(), x, strict=True):
+                for c in range(3):
+                    g = (math.exp(scores[c] - top) / total - (c == y)) * v
+                    sigma = (math.sqrt(n[i, c] + g * g) - math.sqrt(n[i, c])) / lang_id.ALPHA
+                    z[i, c] += g - sigma * w[i, c]
+                    n[i, c] += g * g
+    for i in [*range(8), lang_id.DIM]:
+        assert np.allclose(got[i], [weight((i, c)) for c in range(3)])
+
+
+def test_temperature_is_the_best_of_a_grid():
+    rng = np.random.default_rng(6)
+    scores = rng.normal(size=(300, 3)) * 4
+    truth = np.array([rng.choice(3, p=p) for p in lang_id._softmax(scores / 2.5)])
+    smooth = 1 / (len(truth) + 2)
+
+    def loss(t):
+        p = np.log(lang_id._softmax(scores / t))
+        return -((1 - smooth) * p[np.arange(300), truth] + smooth * p.mean(axis=1)).mean()
+
+    best = min(np.exp(np.linspace(np.log(0.05), np.log(20), 4000)), key=loss)
+    assert abs(np.log(lang_id.temperature(scores, truth) / best)) < 0.01
+
+
+def test_vectors_are_tf_idf_of_all_grams():
+    text = "Ab 1b!ab"
+    at, n = lang_id.counts(text)
+    clean = "".join(c if c.isalpha() else " " for c in text.lower())
+    grams = [clean[k : k + m] for m in (1, 2, 3) for k in range(len(clean) - m + 1)]
+    assert n.sum() == len(grams) and len(at) == len(set(grams)) and sorted(n) == sorted(grams.count(g) for g in set(grams))
+    idf = np.arange(1, lang_id.DIM + 1) / lang_id.DIM
+    x = lang_id.vector(at, n, idf)
+    raw = np.array([(1 + np.log(k)) * idf[a] for a, k in zip(at, n, strict=True)])
+    assert np.allclose(x, raw / np.sqrt((raw**2).sum()))
+
+
+def test_field_fit_reaches_a_stationary_point():
+    """The likelihood, enumerated over all labellings of small documents, has no slope left along any of several directions."""
+    rng = np.random.default_rng(7)
+    lines = ["good words here.", "More of the same, and more.", "## $$ %%", "@@ 11 22", "a", ""]
+    texts = ["\n".join(rng.choice(lines, rng.integers(1, 5))) for _ in range(12)]
+    data = [(quality.places(t)[0].astype(np.int64), int(k % 2)) for k, t in enumerate(texts)]
+    model = quality.fit_field(data, 1500)
+
+    def loss(weights, start, move):
+        total, count = 0.0, 0
+        for at, y in data:
+            s = weights[at].sum(axis=1)
+            logs = []
+            for code in range(2 ** len(s)):
+                label = [code >> k & 1 for k in range(len(s))]
+                logs.append(sum(v * z for v, z in zip(s, label, strict=True)) + start * label[0] + sum(move[a, b] for a, b in zip(label, label[1:])))
+            own = [y] * len(s)
+            truth = sum(v * z for v, z in zip(s, own, strict=True)) + start * y + sum(move[a, b] for a, b in zip(own, own[1:]))
+            total += np.logaddexp.reduce(logs) - truth
+            count += len(s)
+        squares = (weights**2).sum() + start**2 + (move**2).sum()
+        return total / count + quality.PENALTY * squares / 2
+
+    here = loss(model.weights, model.start, model.move)
+    for _ in range(12):
+        d = [rng.normal(size=quality.PLACES), rng.normal(), rng.normal(size=(2, 2))]
+        e = 1e-4
+        up = loss(model.weights + e * d[0], model.start + e * d[1], model.move + e * d[2])
+        down = loss(model.weights - e * d[0], model.start - e * d[1], model.move - e * d[2])
+        assert abs(up - down) / (2 * e) < 0.05 and up + down - 2 * here > 0
+
+
+def byte_at_a_time(data):
+    """Chunk ends by a gear hash that is rolled over one byte at a time."""
+    ends, start, h = [], 0, 0
+    for k, byte in enumerate(data):
+        h = (h * 2 + int(chunks._GEAR[byte])) % (1 << 32)
+        size = k + 1 - start
+        zeros = 32 - h.bit_length()
+        mark = size >= chunks.LEAST and (zeros >= chunks.RARE if size <= chunks.MEAN else zeros >= chunks.COMMON)
+        if len(data) - start > chunks.LEAST and (mark or size >= chunks.MOST):
+            ends.append(k + 1)
+            start = k + 1
+    return ends + ([len(data)] if start < len(data) else [])
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.binary(max_size=3000))
+def test_boundaries_match_a_rolling_hash(data):
+    assert chunks.boundaries(data) == byte_at_a_time(data)
