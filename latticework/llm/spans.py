@@ -52,8 +52,8 @@ _PIECE = re.compile(rb"[^.!?\n]+[.!?]*|[.!?\n]+")
 _STOPS = b".!?\n"
 
 
-def spans(text: bytes, rule: Rule = SHORT_RUNS) -> tuple[list[bytes], list[int], list[int], list[bytes]]:
-    """Pieces of the text; which of them are sentences; each span's last sentence (from 0) in order of its first; digests."""
+def _sentences(text: bytes) -> tuple[list[bytes], list[int], bytes, np.ndarray, np.ndarray]:
+    """Pieces of the text; which of them are sentences; these in normal form, one a line; where each begins there; words before each, and in all."""
     pieces = _PIECE.findall(text)
     where, normal, sizes = [], [], []
     for k, piece in enumerate(pieces):
@@ -62,49 +62,39 @@ def spans(text: bytes, rule: Rule = SHORT_RUNS) -> tuple[list[bytes], list[int],
             where.append(k)
             normal.append(b" ".join(words))
             sizes.append(len(words))
-    ends, digests = [], []
-    n, end, total = len(where), 0, 0  # sentences i to end - 1 have total words
-    digest = xxhash.xxh3_128_digest
-    for i in range(n):
-        if end < i + 1:
-            end, total = i + 1, sizes[i]
-        while end < n and not rule.enough(end - i, total):
-            total += sizes[end]
-            end += 1
-        # the run that sentence i - 1 needed may be longer than what i needs
-        while end - i > 1 and rule.enough(end - 1 - i, total - sizes[end - 1]):
-            end -= 1
-            total -= sizes[end]
-        if not rule.enough(end - i, total):
-            break
-        ends.append(end - 1)
-        digests.append(digest(b"\n".join(normal[i:end])))
-        total -= sizes[i]
-    return pieces, where, ends, digests
-
-
-def runs(text: bytes, rule: Rule = SHORT_RUNS) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
-    """Pieces of the text; which of them are sentences; (first, last sentence, digest) of the shortest spans from and up to each sentence, in order."""
-    pieces, where, ends, digests = spans(text, rule)
-    found = {(i, end): d for i, (end, d) in enumerate(zip(ends, digests, strict=True))}
-    normal = [b" ".join(pieces[k].lower().split()) for k in where]
-    sizes = [s.count(b" ") + 1 for s in normal]
-    start, total = 0, 0  # sentences start to j have total words
-    for j, size in enumerate(sizes):
-        total += size
-        while start < j and rule.enough(j - start, total - sizes[start]):
-            total -= sizes[start]
-            start += 1
-        if rule.enough(j - start + 1, total) and (start, j) not in found:
-            found[start, j] = xxhash.xxh3_128_digest(b"\n".join(normal[start : j + 1]))
-    return pieces, where, [(i, j, found[i, j]) for i, j in sorted(found)]
-
-
-def _found(text: bytes, whole: bool, rule: Rule) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
+    begins, upto = np.zeros(len(where) + 1, np.int64), np.zeros(len(where) + 1, np.int64)
+    np.cumsum([len(x) + 1 for x in normal], out=begins[1:])
+    np.cumsum(sizes, out=upto[1:])
+    return pieces, where, b"\n".join(normal), begins, upto
+
+
+def _first_ends(upto: np.ndarray, rule: Rule) -> np.ndarray:
+    """For each sentence the end of the shortest long enough run from it, beyond the text where there is none."""
+    n = len(upto) - 1
+    here = np.arange(n)
+    ends = np.maximum(here + rule.sentences, np.searchsorted(upto, upto[:-1] + rule.words))
+    return np.minimum(ends, np.maximum(here + 1, np.searchsorted(upto, upto[:-1] + rule.many)))
+
+
+def _last_starts(upto: np.ndarray, rule: Rule) -> np.ndarray:
+    """For each sentence the start of the shortest long enough run up to it, negative where there is none."""
+    n = len(upto) - 1
+    here = np.arange(n)
+    starts = np.minimum(here + 1 - rule.sentences, np.searchsorted(upto, upto[1:] - rule.words, "right") - 1)
+    return np.maximum(starts, np.minimum(here, np.searchsorted(upto, upto[1:] - rule.many, "right") - 1))
+
+
+def found_runs(text: bytes, whole: bool, rule: Rule) -> tuple[list[bytes], list[int], list[tuple[int, int, bytes]]]:
+    """Pieces of the text; which of them are sentences; (first, last sentence, digest) of the shortest runs from each sentence, in order; whole adds those up to each."""
+    pieces, where, lines, begins, upto = _sentences(text)
+    n = len(where)
+    ends = _first_ends(upto, rule)
+    places = [(i, end - 1) for i, end in enumerate(ends.tolist()) if end <= n]
     if whole:
-        return runs(text, rule)
-    pieces, where, ends, digests = spans(text, rule)
-    return pieces, where, [(i, end, d) for i, (end, d) in enumerate(zip(ends, digests, strict=True))]
+        starts = _last_starts(upto, rule)
+        places = sorted({*places, *((i, j) for j, i in enumerate(starts.tolist()) if i >= 0)})
+    at, digest = begins.tolist(), xxhash.xxh3_128_digest
+    return pieces, where, [(i, j, digest(lines[at[i] : at[j + 1] - 1])) for i, j in places]
 
 
 def _document(docs: DataFrame) -> list[Column]:
@@ -121,7 +111,7 @@ def _postings(docs: DataFrame, whole: bool, rule: Rule) -> DataFrame:
             found, counts = [], []
             for text in batch.column(2):
                 text = text.as_py()
-                own = {d for *_, d in _found(text, whole, rule)[2]} if text else ()
+                own = {d for *_, d in found_runs(text, whole, rule)[2]} if text else ()
                 found += own
                 counts.append(len(own))
             h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
@@ -146,7 +136,7 @@ def dedup_spans(docs: DataFrame, whole: bool = False, rule: Rule = SHORT_RUNS) -
     def cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
         kept, before, lost = [], [], []
         for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
-            pieces, where, held = _found(text or b"", whole, rule)
+            pieces, where, held = found_runs(text or b"", whole, rule)
             gone: set[int] = set()
             seen = set(drop or ())
             covered = 0
