@@ -165,10 +165,11 @@ class Overlap:
 def forest_links(tree_of: list[tuple], probes: list[tuple], radius: int, similarity: float | None = None) -> list[tuple[int, int]]:
     """Spanning links of (id, fingerprint, set, bands) items within radius: probes against tree_of, or without probes tree_of in itself.
 
-    With a similarity, links are between sets of that exact Jaccard similarity or more which share a band.
+    With a similarity, links are between sets of that exact Jaccard similarity or more which
+    share a band; items without bands all share one.
     """
     tree, slots, forest, links, exact = BKTree(), [], Forest(), [], None
-    bands = None if similarity is None else np.array([np.frombuffer(t[3], "<i8") for t in tree_of])
+    bands = np.array([np.frombuffer(t[3], "<i8") for t in tree_of]) if similarity is not None and tree_of and tree_of[0][3] else None
 
     def add(k: int) -> None:
         at = tree.add(tree_of[k][1])
@@ -183,7 +184,7 @@ def forest_links(tree_of: list[tuple], probes: list[tuple], radius: int, similar
         if not probes:
             add(n)
         near = [k for k in near if forest.top(tree_of[k][0]) != forest.top(item[0])]
-        if near and similarity is not None:
+        if near and bands is not None:
             near = [k for k, same in zip(near, (bands[near] == np.frombuffer(item[3], "<i8")).any(axis=1).tolist(), strict=True) if same]
         if near and similarity is not None:
             if len(near) == 1:
@@ -254,10 +255,6 @@ def candidate_groups(nodes: DataFrame, radius: int = RADIUS, shard: int = SHARD)
     return tied.select(F.col("node").alias("rep"), F.col("component").alias("grp"))
 
 
-def _marked(members: bytes) -> bytes:
-    return xxhash.xxh3_128_digest(members) + members
-
-
 def verified_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, shingle: int, similarity: float, radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
     """Links (a, b) within groups(rep, grp) of shingle sets with a Jaccard similarity of at least similarity: a spanning forest for each cell.
 
@@ -266,22 +263,31 @@ def verified_links(nodes: DataFrame, groups: DataFrame, docs: DataFrame, shingle
     sizes = groups.groupBy("grp").agg(F.count("*").alias("n"))
     wanted = checkpoint(nodes.join(groups.join(sizes, "grp"), "rep"))
     ends = wanted.select((F.col("holder") if "holder" in nodes.columns else F.col("rep")).alias("holder"), "rep", "digest")
-    if ends.count() <= BROADCAST_IDS:
-        ends = F.broadcast(ends)
+    ends = _small(ends)
 
-    @F.arrow_udf("binary")
-    def as_set(texts: pa.Array) -> pa.Array:
-        found = pa.array([_marked(shingle_set(t.as_py(), shingle).tobytes()) for t in texts], pa.binary())
-        give_back()
-        return found
+    def as_set(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: set[int] = set()  # rows that repeat an id and a text give a set once in a task
+        for batch in batches:
+            reps, found = [], []
+            for rep, digest, text in zip(*batch.columns, strict=True):
+                if (rep := rep.as_py()) not in done:
+                    own = shingle_set(text.as_py(), shingle).tobytes()
+                    if xxhash.xxh3_128_digest(own) == digest.as_py():
+                        done.add(rep)
+                        reps.append(rep)
+                        found.append(own)
+            yield pa.RecordBatch.from_arrays([pa.array(reps, pa.int64()), pa.array(found, pa.binary())], names=["rep", "set"])
+            del found
+            give_back()
 
     key = row_key(F.col("doc_id"), F.col("text"))
     texts = docs.select(_holder(*key).alias("holder"), F.col("text").cast("binary").alias("text")).join(ends, "holder")
-    marked = texts.select("rep", "digest", as_set("text").alias("set")).where(F.substring("set", 1, 16) == F.col("digest"))
-    sets = checkpoint(marked.select("rep", F.expr("substring(set, 17)").alias("set")).dropDuplicates(["rep"]))
+    sets = checkpoint(texts.select("rep", "digest", "text").mapInArrow(as_set, "rep long, set binary"))
     parted = F.transform(_band_keys("bands"), lambda k: F.xxhash64(k, F.col("grp")))
     keyed = wanted.join(sets.select("rep", F.length("set").cast("long").alias("weight")), "rep")
-    keyed = keyed.select("rep", "sim", "bands", "weight", F.explode(F.when(F.col("n") <= shard, F.array("grp")).otherwise(parted)).alias("shard"))
+    # texts that meet in a band need not show which
+    shown = F.when(F.col("n") <= shard, F.col("bands")).otherwise(F.lit(b""))
+    keyed = keyed.select("rep", "sim", shown.alias("bands"), "weight", F.explode(F.when(F.col("n") <= shard, F.array("grp")).otherwise(parted)).alias("shard"))
     return cell_links(keyed, radius, similarity, sets, shard)
 
 
@@ -331,8 +337,19 @@ def drop_similar(docs: DataFrame, shingle: int = 5, similarity: float = 0.8) ->
     Rows that only share a doc_id are apart. All columns stay, whatever their names. No
     rows, no result.
     """
-    _, sets = _components(docs, shingle, similarity)
-    winners = sets.groupBy("component").agg(F.min("first").alias("first")).select("first.*")
-    # repeated rows are merged before the shuffle, which the join then shares
-    single = docs.select(whole_row(docs), *row_key(F.col("doc_id"), F.col("text"))).groupBy(*ROW).agg(F.first("row").alias("row"))
-    return unpacked(single.join(winners, list(ROW), "left_semi"), docs.columns)
+    marked, sets = _components(docs, shingle, similarity)
+    winners = sets.groupBy("component").agg(F.min("first").alias("winner"))
+    named = sets.join(winners, "component").select("digest", "winner")
+    lost = checkpoint(marked.select("digest", *ROW).join(named, "digest").where(F.struct(*ROW) != F.col("winner")).select(*ROW).distinct())
+    again = checkpoint(marked.groupBy(*ROW).agg(F.count("*").alias("n")).where("n > 1").select(*ROW).join(lost, list(ROW), "left_anti"))
+    rows = docs.select(whole_row(docs), *row_key(F.col("doc_id"), F.col("text"))).join(_small(lost), list(ROW), "left_anti")
+    if again.limit(1).count():
+        again = _small(again)
+        single = rows.join(again, list(ROW), "left_semi").groupBy(*ROW).agg(F.first("row").alias("row"))
+        rows = rows.join(again, list(ROW), "left_anti").select("row").unionByName(single.select("row"))
+    return unpacked(rows, docs.columns)
+
+
+def _small(ids: DataFrame) -> DataFrame:
+    """For a broadcast if there are no more than BROADCAST_IDS."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
