@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import re
 from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.operators.cages import face_counts, type_name
 from latticework.operators.graphs import K, both_ways, components
 
 
@@ -51,11 +53,47 @@ def water_history(seen: DataFrame, track: str, edges: DataFrame, points: DataFra
     return rows.join(degree, [*K, "node"], "left").withColumn("degree", F.coalesce("degree", F.lit(0)).cast("long"))
 
 
+# What a phase or a status may be called.
+PHASE_NAMES = {"i": "sI", "si": "sI", "ii": "sII", "sii": "sII", "h": "sH", "sh": "sH"} | {n: n for n in ("boundary", "unclassified", "ambiguous", "isolated", "unassigned", "mixed")}
+
+
+def parse_targets(text: str) -> list[tuple[str, str]]:
+    """(kind, value) of a comma-separated list: all, a track such as t12, a phase or status, or a cage type."""
+    out = []
+    for part in (p.strip() for p in text.split(",")):
+        if not part:
+            continue
+        if part.casefold() == "all":
+            found = "all", "all"
+        elif re.fullmatch(r"[tT]\d+", part):
+            found = "track", f"t{int(part[1:])}"
+        elif part.casefold() in PHASE_NAMES:
+            found = "phase", PHASE_NAMES[part.casefold()]
+        else:
+            found = "cage_type", type_name(*face_counts(part))
+        if found not in out:
+            out.append(found)
+    if not out:
+        raise ValueError("no target")
+    return out
+
+
 def select_targets(seen: DataFrame, target: str) -> DataFrame:
-    """The whole lives of tracks that match once: all, a track such as t12, or a cage type."""
-    if target == "all":
-        return seen
-    if target[:1] == "t" and target[1:].isdigit():
-        return seen.where(F.col("track") == target)
-    hit = seen.where(F.col("cage_type") == target).select("group_key", "track").distinct()
-    return seen.join(hit, ["group_key", "track"], "left_semi")
+    """The whole lives of tracks that match once any target of a list."""
+    hit = F.lit(False)
+    for kind, value in parse_targets(target):
+        if kind == "all":
+            return seen
+        if kind == "phase":
+            hit |= F.array_contains("phases", value) if "phases" in seen.columns else F.lit(False)
+        else:
+            hit |= F.col(kind) == value
+    return seen.join(seen.where(hit).select("group_key", "track").distinct(), ["group_key", "track"], "left_semi")
+
+
+def target_events(events: DataFrame, kept: DataFrame) -> DataFrame:
+    """Events(group_key, ..., source, destination) that touch a track of kept."""
+    own = kept.select("group_key", "track").distinct()
+    key = ["group_key", "frame_index", "kind", "source", "destination"]
+    touched = events.select(*key, F.explode(F.split(F.concat_ws(" ", "source", "destination"), " ")).alias("track")).join(own, ["group_key", "track"], "left_semi")
+    return events.join(touched.select(*key).distinct(), key, "left_semi")

@@ -16,7 +16,7 @@ OUT = "group_key string, frame_index int, time_ps double, track string, cage_id
 
 
 def dump(tracker: Tracker) -> str:
-    live = [(n, frame, sorted(waters)) for n, (frame, waters) in sorted(tracker.live.items())]
+    live = [(n, frame, sorted(waters), more) for n, (frame, waters, more) in sorted(tracker.live.items())]
     return json.dumps({"config": asdict(tracker.config), "count": tracker.count, "live": live})
 
 
@@ -24,7 +24,7 @@ def load(text: str) -> Tracker:
     state = json.loads(text)
     tracker = Tracker(TrackingConfig(**state["config"]))
     tracker.count = state["count"]
-    tracker.live = {n: (frame, frozenset(waters)) for n, frame, waters in state["live"]}
+    tracker.live = {n: (frame, frozenset(waters), more) for n, frame, waters, more in state["live"]}
     return tracker
 
 
