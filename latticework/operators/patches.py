@@ -1,12 +1,19 @@
-"""Open patches of rings: half cages and quasi cages with one closed side wall.
+"""Open patches of rings: half cages and quasi cages of one closed side wall and further layers.
 
 A wall has a ring on every side of a base ring, each sharing just that side with the base
 and just one other side with its neighbours. Walls grow by equi-joins on a relation of
 touching candidates, one side of the base at a time.
+
+A further layer is a connected set of rings on the open sides of the layer before it. Which
+rings may belong to it is settled by joins, for all patches at once; the sets of a patch are
+made in a task from its few candidates.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -16,6 +23,8 @@ from latticework.operators.graphs import K
 from latticework.operators.rings import ring_edges
 
 PER_SIDE = 4
+#: Most rings of a further layer, sets of a patch, and candidates they are made of.
+LAYER_RINGS, LAYER_STATES, LAYER_CANDIDATES = 6, 200, 24
 
 
 def _sides(rings: DataFrame) -> DataFrame:
@@ -65,16 +74,151 @@ def _sequence(sizes: Column) -> Column:
     return F.array_join(F.transform(F.array_min(F.concat(turn(sizes), turn(F.reverse(sizes)))), lambda s: s.cast("string")), "")
 
 
-def _label(base: Column, sequence: Column) -> Column:
+def _layer_label(sequence: Column) -> Column:
     up, down = ("0123456789", "⁰¹²³⁴⁵⁶⁷⁸⁹"), ("0123456789", "₀₁₂₃₄₅₆₇₈₉")
     part = lambda d: F.when(F.contains(sequence, F.lit(d)), F.concat(F.lit(d), F.translate(F.length(F.regexp_replace(sequence, f"[^{d}]", "")).cast("string"), *up))).otherwise("")
-    return F.concat(F.lit("qc_"), base.cast("string"), F.lit("r_"), *[part(d) for d in "4567"], F.translate(sequence, *down))
+    return F.concat(*[part(d) for d in "4567"], F.translate(sequence, *down))
+
+
+def _label(base: Column, sequence: Column) -> Column:
+    return F.concat(F.lit("qc_"), base.cast("string"), F.lit("r_"), _layer_label(sequence))
+
 
+def layer_candidates(states: DataFrame, rings: DataFrame, centers: DataFrame, side_sizes: tuple[int, ...]) -> DataFrame:
+    """(K, state, ring_id, size, place): rings on the open sides of a state's frontier, nearest first.
 
-def find_patches(rings: DataFrame, centers: DataFrame, **limits: int | tuple[int, ...]) -> DataFrame:
-    """(K, patch_id, patch_type, kind, rings): one patch for each set of rings; half cages that lie within others are left out."""
+    states are (K, state, rings, frontier). A ring that shares a side with the inner layers
+    is no candidate.
+    """
+    sides = checkpoint(ring_edges(rings))
+    own = states.select(*K, "state", "frontier", F.explode("rings").alias("ring_id")).join(sides.drop("size"), [*K, "ring_id"])
+    own = own.withColumn("outer", F.array_contains("frontier", F.col("ring_id")))
+    per = own.groupBy(*K, "state", "u", "v").agg(F.count("*").alias("n"), F.bool_or("outer").alias("outer"), F.bool_or(~F.col("outer")).alias("lower"))
+    there = sides.where(F.col("size").isin(*side_sizes))
+    met = per.join(there, [*K, "u", "v"])
+    held = states.select(*K, "state", F.explode("rings").alias("ring_id"))
+    grown = met.where("n = 1 AND outer").select(*K, "state", "ring_id", "size").distinct()
+    blocked = met.where("lower").select(*K, "state", "ring_id").distinct()
+    open_ = grown.join(held, [*K, "state", "ring_id"], "left_anti").join(blocked, [*K, "state", "ring_id"], "left_anti")
+    at = lambda name, p: centers.select(*K, F.col("ring_id").alias(name), *[F.col(f"c{c}").alias(f"{p}{c}") for c in "xyz"], *[F.col(f"l{c}").alias(f"{p}l{c}") for c in "xyz"])
+    rim = states.select(*K, "state", F.explode("frontier").alias("near"))
+    far = open_.join(rim, [*K, "state"]).join(at("ring_id", "r"), [*K, "ring_id"]).join(at("near", "b"), [*K, "near"])
+    away = far.groupBy(*K, "state", "ring_id", "size").agg(F.min(norm(delta(vec("b"), vec("r"), vec("bl")))).alias("far"))
+    order = Window.partitionBy(*K, "state").orderBy("far", "ring_id")
+    return away.select(*K, "state", "ring_id", "size", F.row_number().over(order).alias("place"))
+
+
+def connected_units(links: dict[str, set[str]], most: int, states: int, exact: bool) -> tuple[list[tuple[str, ...]], bool]:
+    """Connected sets of at most so many candidates, and whether more than states were left out.
+
+    exact takes all of them. Otherwise a component that is small enough is one unit, and a
+    larger one gives each of its members alone and with its nearest.
+    """
+    found: dict[tuple[str, ...], None] = {}
+    if exact:
+        for start in sorted(links):
+            fresh = [frozenset((start,))]
+            known = set(fresh)
+            while fresh:
+                unit = fresh.pop()
+                if len(found) == states:
+                    return list(found), True
+                found[tuple(sorted(unit))] = None
+                if len(unit) < most:
+                    for other in sorted(set().union(*(links[r] for r in unit)) - unit, reverse=True):
+                        more = unit | {other}
+                        if other > start and more not in known:
+                            known.add(more)
+                            fresh.append(more)
+        return list(found), False
+    left = set(links)
+    while left:
+        part, stack = set(), [min(left)]
+        while stack:
+            r = stack.pop()
+            if r not in part:
+                part.add(r)
+                stack += links[r] - part
+        left -= part
+        if len(part) <= most:
+            units = [part]
+        else:
+            units = [{r} for r in sorted(part)]
+            for r in sorted(part):
+                near, queue = [r], [r]
+                while queue and len(near) < most:
+                    for other in sorted(links[queue.pop(0)]):
+                        if other not in near and len(near) < most:
+                            near.append(other)
+                            queue.append(other)
+                units.append(set(near))
+        for unit in units:
+            if len(found) == states and tuple(sorted(unit)) not in found:
+                return list(found), True
+            found[tuple(sorted(unit))] = None
+    return list(found), False
+
+
+def next_layer(states: DataFrame, rings: DataFrame, centers: DataFrame, side_sizes: tuple[int, ...], layer_rings: int, layer_states: int, most: int, exact: bool) -> tuple[DataFrame, DataFrame]:
+    """(states, limits): (K, base_size, label, rings, frontier) with one more layer; limits(K, warning) tells which bounds were met."""
+    near = checkpoint(layer_candidates(states, rings, centers, side_sizes))
+    kept = near.where(F.col("place") <= most)
+    sides = ring_edges(rings).select(*K, "ring_id", "u", "v")
+    ends = kept.select(*K, "state", "ring_id").join(sides, [*K, "ring_id"])
+    ties = ends.join(ends.withColumnRenamed("ring_id", "other"), [*K, "state", "u", "v"]).where("ring_id <> other").groupBy(*K, "state", "ring_id").agg(F.collect_set("other").alias("others"))
+    rows = kept.join(ties, [*K, "state", "ring_id"], "left").groupBy(*K, "state").agg(F.array_sort(F.collect_list(F.struct("ring_id", "size", "others"))).alias("near"))  # at most most candidates
+    out = "group_key string, frame_index int, state long, unit array<string>, sizes string, limited boolean"
+    schema = pa.schema([("group_key", pa.string()), ("frame_index", pa.int32()), ("state", pa.int64()), ("unit", pa.list_(pa.string())), ("sizes", pa.string()), ("limited", pa.bool_())])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for g, f, state, candidates in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                size = {c["ring_id"]: c["size"] for c in candidates}
+                units, limited = connected_units({c["ring_id"]: set(c["others"] or ()) for c in candidates}, layer_rings, layer_states, exact)
+                made += [(g, f, state, list(u), "".join(map(str, sorted(size[r] for r in u))), limited) for u in units]
+            yield pa.RecordBatch.from_arrays([pa.array([m[k] for m in made], t.type) for k, t in enumerate(schema)], schema=schema)
+
+    units = checkpoint(rows.mapInArrow(kernel, out))
+    grown = states.join(units, [*K, "state"]).select(
+        *K, "base_size", F.concat_ws("_", "label", _layer_label(F.col("sizes"))).alias("label"), F.array_sort(F.array_union("rings", "unit")).alias("rings"), F.col("unit").alias("frontier")
+    )
+    keys = [*K, "rings", "frontier"] if exact else [*K, "rings"]
+    one = grown.groupBy(*keys).agg(F.min(F.struct("label", "base_size", "frontier")).alias("s")).select(*K, "s.base_size", "s.label", "rings", "s.frontier")
+    limits = near.where(F.col("place") > most).select(*K, F.lit("layer candidates").alias("warning")).union(units.where("limited").select(*K, F.lit("layer states").alias("warning")))
+    return one, limits.distinct()
+
+
+def patch_warnings(rings: DataFrame, centers: DataFrame, base_sizes: tuple[int, ...] = (5, 6), side_sizes: tuple[int, ...] = (5, 6), per_side: int = PER_SIDE) -> DataFrame:
+    """(K, warning): frames in which a side of a base ring has more candidates than are tried."""
+    every = side_candidates(rings, centers, base_sizes, side_sizes, per_side + 1)
+    many = every.groupBy(*K, "base", "place").agg(F.count("*").alias("n")).where(F.col("n") > per_side)
+    return many.select(*K, F.lit("side candidates").alias("warning")).distinct()
+
+
+def find_patches(
+    rings: DataFrame, centers: DataFrame, base_sizes: tuple[int, ...] = (5, 6), side_sizes: tuple[int, ...] = (5, 6), per_side: int = PER_SIDE, layers: int = 1,
+    layer_rings: int = LAYER_RINGS, layer_states: int = LAYER_STATES, layer_candidates: int = LAYER_CANDIDATES, exact: bool = False,
+) -> DataFrame:
+    """The patches of patches_and_warnings."""
+    return patches_and_warnings(rings, centers, base_sizes, side_sizes, per_side, layers, layer_rings, layer_states, layer_candidates, exact)[0]
+
+
+def patches_and_warnings(
+    rings: DataFrame, centers: DataFrame, base_sizes: tuple[int, ...] = (5, 6), side_sizes: tuple[int, ...] = (5, 6), per_side: int = PER_SIDE, layers: int = 1,
+    layer_rings: int = LAYER_RINGS, layer_states: int = LAYER_STATES, layer_candidates: int = LAYER_CANDIDATES, exact: bool = False,
+) -> tuple[DataFrame, DataFrame]:
+    """((K, patch_id, patch_type, kind, rings), (K, warning)).
+
+    One patch for each set of rings; half cages that lie within others are left out. layers
+    counts the wall and what grows on it. Searches are bounded by a few nearest candidates
+    and sets; frames where a bound was met have a warning, naming which. exact takes all
+    connected sets of candidates.
+    """
+    if not 1 <= layers <= 3:
+        raise ValueError("a quasi cage has one to three layers")
     rings = checkpoint(rings)
-    walls = closed_walls(rings, checkpoint(side_candidates(rings, centers, **limits)))
+    walls = closed_walls(rings, checkpoint(side_candidates(rings, centers, base_sizes, side_sizes, per_side)))
     walls = checkpoint(walls.withColumn("wall_key", F.xxhash64("base", "wall")))
     size = rings.select(*K, "ring_id", "size", "nodes")
     parts = walls.select(*K, "base", "base_size", "wall_key", F.posexplode("wall").alias("place", "ring_id")).join(size, [*K, "ring_id"])
@@ -83,8 +227,19 @@ def find_patches(rings: DataFrame, centers: DataFrame, **limits: int | tuple[int
     whole = whole.join(base_nodes, [*K, "base"]).where(F.size(F.array_union("nodes", "base_nodes")) == F.aggregate("sizes", F.lit(0), lambda a, s: a + s) - 2 * F.col("base_size"))
     found = whole.select(*K, "base", "base_size", "side_ids", _sequence(F.col("sizes")).alias("sequence"))
     half = F.when((F.col("base_size") == 5) & (F.col("sequence") == "55555"), "hc_5r_5⁵").when((F.col("base_size") == 6) & (F.col("sequence") == "555555"), "hc_6r_5⁶")
-    flat = found.select(*K, F.array_sort(F.array_union("side_ids", F.array("base"))).alias("rings"), F.coalesce(half, _label(F.col("base_size"), F.col("sequence"))).alias("patch_type"), F.when(half.isNotNull(), "half").otherwise("quasi").alias("kind"), "base")
-    capped = checkpoint(flat.unionByName(_capped(flat, rings)))
+    flat = found.select(*K, F.array_sort(F.array_union("side_ids", F.array("base"))).alias("rings"), F.coalesce(half, _label(F.col("base_size"), F.col("sequence"))).alias("patch_type"), F.when(half.isNotNull(), "half").otherwise("quasi").alias("kind"), "base", "base_size", _label(F.col("base_size"), F.col("sequence")).alias("label"), "side_ids")
+    flat = checkpoint(flat)
+    warnings = patch_warnings(rings, centers, base_sizes, side_sizes, per_side)
+    wanted = ["rings", "patch_type", "kind", "base"]
+    capped = flat.select(*K, *wanted).unionByName(_capped(flat, rings))
+    states = flat.select(*K, "base_size", "label", "rings", F.array_sort("side_ids").alias("frontier"))
+    for _ in range(1, layers):
+        states = checkpoint(states.withColumn("state", F.monotonically_increasing_id()))
+        states, limits = next_layer(states, rings, centers, side_sizes, layer_rings, layer_states, layer_candidates, exact)
+        states, warnings = checkpoint(states), warnings.union(limits)
+        more = states.select(*K, "rings", F.col("label").alias("patch_type"), F.lit("quasi").alias("kind"), F.lit(None).cast("string").alias("base"))
+        capped = capped.unionByName(more)
+    capped = checkpoint(capped)
     single = capped.groupBy(*K, "rings", "kind").agg(F.min("patch_type").alias("patch_type"))
     halves = single.where("kind = 'half'")
     sets = halves.select(*K, "rings", F.explode("rings").alias("ring_id"))
@@ -92,7 +247,8 @@ def find_patches(rings: DataFrame, centers: DataFrame, **limits: int | tuple[int
     halves = halves.join(over, [*K, "rings"], "left_anti")
     quasi = single.where("kind = 'quasi'").join(halves.select(*K, "rings"), [*K, "rings"], "left_anti")
     number = F.row_number().over(Window.partitionBy(*K, "patch_type").orderBy("rings"))
-    return halves.unionByName(quasi).select(*K, F.format_string("%s_%05d", "patch_type", number).alias("patch_id"), "patch_type", "kind", "rings")
+    named = halves.unionByName(quasi).select(*K, F.format_string("%s_%05d", "patch_type", number).alias("patch_id"), "patch_type", "kind", "rings")
+    return named, warnings.distinct()
 
 
 def _capped(flat: DataFrame, rings: DataFrame) -> DataFrame:
@@ -109,7 +265,25 @@ def _capped(flat: DataFrame, rings: DataFrame) -> DataFrame:
 
 
 def free_patches(patches: DataFrame, cages: DataFrame) -> DataFrame:
-    """Patches whose rings are not all part of one cage."""
-    own = patches.select(*K, "patch_id", F.size("rings").alias("n"), F.explode("rings").alias("ring_id"))
-    within = own.join(cages.select(*K, "cage_id", F.explode("rings").alias("ring_id")), [*K, "ring_id"]).groupBy(*K, "patch_id", "cage_id", "n").agg(F.count("*").alias("met")).where("met = n")
-    return patches.join(within, [*K, "patch_id"], "left_anti")
+    """Patches whose rings are not all part of one cage; half cages that lie within a quasi cage are left out as well."""
+    own = patches.select(*K, "patch_id", "kind", F.size("rings").alias("n"), F.explode("rings").alias("ring_id"))
+    inside = lambda other, name: own.join(other, [*K, "ring_id"]).groupBy(*K, "patch_id", name, "n").agg(F.count("*").alias("met")).where("met = n").select(*K, "patch_id")
+    within = inside(cages.select(*K, "cage_id", F.explode("rings").alias("ring_id")), "cage_id")
+    quasi = patches.where("kind = 'quasi'").select(*K, F.col("patch_id").alias("quasi"), F.size("rings").alias("wide"), F.explode("rings").alias("ring_id"))
+    covered = own.where("kind = 'half'").join(quasi, [*K, "ring_id"]).groupBy(*K, "patch_id", "quasi", "n", "wide").agg(F.count("*").alias("met")).where("met = n AND n < wide").select(*K, "patch_id")
+    return patches.join(within.union(covered).distinct(), [*K, "patch_id"], "left_anti")
+
+
+def closed_pairs(patches: DataFrame, rings: DataFrame) -> DataFrame:
+    """(K, left, right, rings): two patches whose open sides are the same close into a shell; the other way to seed cages.
+
+    Patches of equal boundary meet by its digest; they share no ring. Shells that cages
+    makes of single rings include all of these.
+    """
+    sides = ring_edges(rings)
+    own = patches.select(*K, "patch_id", "rings", F.explode("rings").alias("ring_id")).join(sides.drop("size"), [*K, "ring_id"])
+    rim = own.groupBy(*K, "patch_id", "rings", "u", "v").agg(F.count("*").alias("n")).where("n = 1")
+    edge = rim.groupBy(*K, "patch_id", "rings").agg(F.sha2(F.to_json(F.array_sort(F.collect_list(F.struct("u", "v")))), 256).alias("rim"))
+    one, two = (edge.select(*K, "rim", F.col("patch_id").alias(n), F.col("rings").alias(f"{n}_rings")) for n in ("left", "right"))
+    both = one.join(two, [*K, "rim"]).where((F.col("left") < F.col("right")) & ~F.arrays_overlap("left_rings", "right_rings"))
+    return both.select(*K, "left", "right", F.array_sort(F.concat("left_rings", "right_rings")).alias("rings"))
