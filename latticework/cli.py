@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import argparse
-from dataclasses import replace
+import json
 from pathlib import Path
 
 from pyspark.sql import SparkSession
 
-from latticework.operators.reports import select_targets
-from latticework.session import Config, Session
+from latticework.operators.reports import select_targets, target_events
+from latticework.session import PRESETS, Config, Session
 from latticework.shipping import ship
-from latticework.sources.files import write_tables
+from latticework.sources.files import split_failed, write_tables
 
 
 def parser() -> argparse.ArgumentParser:
@@ -27,6 +27,9 @@ def parser() -> argparse.ArgumentParser:
         sub.add_argument("--pattern", help="names of files within a folder")
         sub.add_argument("--recursive", action="store_true")
         sub.add_argument("--mode", choices=("auto", "oo", "hbond"))
+        sub.add_argument("--preset", choices=tuple(PRESETS))
+        sub.add_argument("--set", action="append", default=[], metavar="KEY=VALUE", help="a setting, as JSON or text; may be repeated")
+        sub.add_argument("--keep-going", action="store_true", help="report frames that can't be read instead of failing")
         sub.add_argument("--format", default="parquet", choices=("parquet", "csv", "json"))
     sub.add_argument("--target", default="all", help="all, a track such as t12, or a cage type")
     return top
@@ -38,20 +41,31 @@ def main(argv: list[str] | None = None) -> int:
         with open(args.path, "x", encoding="utf-8") as file:
             file.write(Config().resolved())
         return 0
-    config = Config.load(Path(args.config).read_text(encoding="utf-8")) if args.config else Config()
-    if args.mode:
-        config = replace(config, mode=args.mode)
+    given = dict(x.partition("=")[::2] for x in args.set)
+    overrides = {k: _value(v) for k, v in given.items()} | ({"mode": args.mode} if args.mode else {})
+    config = Config.load(Path(args.config).read_text(encoding="utf-8") if args.config else "", args.preset, **overrides)
     spark = SparkSession.builder.appName("latticework").getOrCreate()
     ship(spark)
     session = Session(spark, config)
-    atoms = session.read_frames(args.input, pattern=args.pattern, recursive=args.recursive)
+    atoms, failed = split_failed(session.read_frames(args.input, pattern=args.pattern, recursive=args.recursive, lenient=args.keep_going))
     tables = session.analyze(atoms)
     if args.command == "track":
         tables = session.track(tables, atoms)
         tables["observations"] = select_targets(tables["observations"], args.target)
+        tables["events"] = target_events(tables["events"], tables["observations"])
+    else:
+        tables |= {f"report_{n}": t for n, t in session.report(tables, atoms, failed if args.keep_going else None).items()}
+    tables["config"] = spark.createDataFrame(config.rows(), "key string, value string")
     write_tables(tables, args.output, args.format)
     return 0
 
 
+def _value(text: str) -> object:
+    try:
+        return json.loads(text)
+    except ValueError:
+        return text
+
+
 if __name__ == "__main__":
     raise SystemExit(main())

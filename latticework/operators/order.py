@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import math
+import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -16,6 +18,60 @@ from latticework.operators.neighbors import cross_cutoff_pairs, self_cutoff_pair
 TETRAHEDRAL = math.cos(math.radians(109.47)) ** 2
 
 
+# The parameters of a selection, in the order in which they are shown, and what else they may be called.
+DEFAULT, ALL = ("f3", "f4"), ("f3", "f4", "q6", "q12", "mcg1", "mcg3", "dhop35", "dhop30")
+_ALIASES = {f"{a}{by}{n}": f"{a}{n}" for a, n in (("mcg", 1), ("mcg", 3), ("dhop", 35), ("dhop", 30)) for by in "-_"}
+_PLACE = {"f3": 0, "f4": 1, "mcg1": 3, "mcg3": 4, "dhop35": 5, "dhop30": 6}
+# Where Ql finds a water's neighbours, what else that may be called, and how many count if none is said.
+Q_MODES, _Q_ALIASES, LAMMPS_COUNT = ("graph", "cutoff", "nearest", "lammps"), {"water": "graph", "oo": "cutoff", "cutoff_all": "cutoff"}, 12
+
+
+def parameters(wanted: str | Iterable[str] | None = None) -> tuple[str, ...]:
+    """Order parameters of a list or a comma-separated text: f3, f4, qN, mcg1, mcg3, dhop35, dhop30, or all or none alone."""
+    if wanted is None or wanted == "":
+        return DEFAULT
+    items = [str(x).strip().lower() for x in (wanted.split(",") if isinstance(wanted, str) else wanted) if str(x).strip()]
+    names = [_ALIASES.get(x, x) for x in items]
+    if set(names) & {"all", "none"}:
+        if len(names) > 1:
+            raise ValueError("all and none stand alone")
+        return ALL if names[0] == "all" else ()
+    found = set()
+    for name in names:
+        degree = re.fullmatch(r"q(\d+)", name)
+        if not degree and name not in _PLACE:
+            raise ValueError(f"no order parameter: {name!r}; use {', '.join(ALL)}")
+        found.add(f"q{int(degree[1])}" if degree else name)
+    return tuple(sorted(found, key=lambda n: (_PLACE.get(n, 2), int(n[1:]) if n not in _PLACE else 0)))
+
+
+def q_neighbors(mode: str = "graph", count: int | str | None = None) -> tuple[str, int | None]:
+    """Mode and number of neighbours for Ql; without a number all count, and twelve in mode lammps."""
+    name = str(mode or "graph").strip().lower().replace("-", "_")
+    name = _Q_ALIASES.get(name, name)
+    if name not in Q_MODES:
+        raise ValueError(f"Ql neighbours come from one of {', '.join(Q_MODES)}")
+    if count is None or str(count).strip().lower() in ("", "auto", "none", "null"):
+        return name, LAMMPS_COUNT if name == "lammps" else None
+    if int(count) < 1:
+        raise ValueError("Ql needs one neighbour at least")
+    return name, int(count)
+
+
+def ql_by_mode(nodes: DataFrame, edges: DataFrame, degrees_: tuple[int, ...] = (6, 12), mode: str = "graph", count: int | str | None = None, cutoff: float = 0.35) -> DataFrame:
+    """ql over the graph's edges, or over all waters within cutoff in the other modes, nearest first."""
+    name, n = q_neighbors(mode, count)
+    return ql(nodes, edges if name == "graph" else self_cutoff_pairs(nodes, cutoff), degrees_, n)
+
+
+def shortfalls(found: DataFrame, count: int | None, least: float = 0.5) -> DataFrame:
+    """(K, short, waters): frames where that share of waters or more has fewer than count neighbours, so that their Ql is 0."""
+    if count is None:
+        return found.select(*K, F.lit(0).cast("long").alias("short"), F.lit(0).cast("long").alias("waters")).limit(0)
+    rows = found.groupBy(*K).agg(F.count_if(F.col("neighbors") < count).alias("short"), F.count("*").alias("waters"))
+    return rows.where((F.col("short") > 0) & (F.col("short") >= least * F.col("waters")))
+
+
 def directed(edges: DataFrame) -> DataFrame:
     """(K, a, b, dx, dy, dz): both directions, with the vector from a to b."""
     there = edges.select(*K, F.col("u").alias("a"), F.col("v").alias("b"), "dx", "dy", "dz")

@@ -20,6 +20,33 @@ def residues(atoms: DataFrame) -> DataFrame:
     return marked.withColumn("block", F.sum("_new").over(order.rowsBetween(Window.unboundedPreceding, 0))).drop("_new")
 
 
+def molecules(atoms: DataFrame) -> DataFrame:
+    """Atoms with block: by molecule_id and residue name where the input has ids, numbered by first atom; else as residues.
+
+    A frame with both atoms that have a molecule_id and atoms that have none is an error.
+    """
+    if "molecule_id" not in atoms.columns:
+        return residues(atoms)
+    per = atoms.groupBy(*K).agg(F.count("molecule_id").alias("known"), F.count("*").alias("n"))
+    wrong = F.raise_error(F.concat(F.lit("frame "), F.col("frame_index").cast("string"), F.lit(" has atoms with and without a molecule id")))
+    marked = atoms.join(per, K).withColumn("known", F.when((F.col("known") > 0) & (F.col("known") < F.col("n")), wrong.cast("long")).otherwise(F.col("known")))
+    named = marked.where("known > 0").drop("known", "n").withColumn("_name", F.upper("resname"))
+    first = named.groupBy(*K, "_name", "molecule_id").agg(F.min("atom").alias("_first"))
+    first = first.withColumn("block", F.row_number().over(Window.partitionBy(*K).orderBy("_first"))).drop("_first")
+    given = named.join(first, [*K, "_name", "molecule_id"]).drop("_name")
+    rest = residues(marked.where("known = 0").drop("known", "n"))
+    return given.withColumn("block", F.col("block").cast("long")).unionByName(rest.select(*given.columns))
+
+
+def select_guests(blocks: DataFrame, resnames: tuple[str, ...], center_atoms: dict[str, tuple[str, ...]] | None = None, centroid: bool = False) -> DataFrame:
+    """(K, block, resname, resid, node, atoms, center): molecules of the names; center is the atom that center_atoms names, null for the centroid."""
+    rows = blocks.where(F.upper("resname").isin(*[n.upper() for n in resnames])).withColumn("name", F.upper("resname"))
+    wanted = F.lit(False)
+    for name, atoms in ({} if centroid else center_atoms or {}).items():
+        wanted |= (F.col("name") == name.upper()) & F.upper("atomname").isin(*[a.upper() for a in atoms])
+    return rows.groupBy(*K, "block", F.col("name").alias("resname"), "resid").agg(F.min("atom").alias("node"), F.array_sort(F.collect_list("atom")).alias("atoms"), F.min(F.when(wanted, F.col("atom"))).alias("center"))
+
+
 def select_waters(blocks: DataFrame, resnames: tuple[str, ...], oxygen: tuple[str, ...], hydrogen: tuple[str, ...]) -> DataFrame:
     """(K, block, resname, resid, atoms, oxygen, hydrogens): first oxygen by name, else a molecule's only atom; others are left out."""
     named = F.upper("atomname")
@@ -41,9 +68,22 @@ def graph_mode(waters: DataFrame) -> str:
     raise ValueError("waters with and without hydrogens need an explicit graph mode")
 
 
-def roles(resname: Column, water: tuple[str, ...], guest: tuple[str, ...], additive: tuple[str, ...] = ()) -> Column:
+def graph_modes(waters: DataFrame, groups: DataFrame) -> DataFrame:
+    """(group_key, mode): graph_mode of each group(K, group), decided on its first frame."""
+    first = groups.groupBy("group_key", "group").agg(F.min("frame_index").alias("frame_index"))
+    held = first.join(waters.select(*K, F.size("hydrogens").alias("n")), K, "left").groupBy("group_key", "group").agg(F.min("n").alias("low"), F.max("n").alias("high"))
+    mixed = F.raise_error(F.concat(F.lit("waters with and without hydrogens need an explicit graph mode, in group "), F.col("group").cast("string"))).cast("string")
+    mode = F.when(F.col("low").isNull() | (F.col("high") == 0), "oo").when(F.col("low") >= 2, "hbond").otherwise(mixed)
+    return held.select("group_key", "group", mode.alias("mode"))
+
+
+def roles(resname: Column, water: tuple[str, ...], guest: tuple[str, ...], additive: tuple[str, ...] = (), role_map: dict[str, str] | None = None, environment: tuple[str, ...] = ()) -> Column:
+    """water, guest, what role_map says, additive, environment or unknown, in this order."""
     name = F.upper(resname)
-    return F.when(name.isin(*water), "water").when(name.isin(*guest), "guest").when(name.isin(*additive), "additive").otherwise("unknown")
+    out = F.when(name.isin(*water), "water").when(name.isin(*guest), "guest")
+    for key, role in (role_map or {}).items():
+        out = out.when(name == key.upper(), role)
+    return out.when(name.isin(*additive), "additive").when(name.isin(*environment), "environment").otherwise("unknown")
 
 
 def topology(blocks: DataFrame) -> DataFrame:
@@ -62,6 +102,34 @@ def topology_groups(found: DataFrame) -> DataFrame:
     return found.join(first.withColumn("group", F.dense_rank().over(Window.partitionBy("group_key").orderBy("first"))).drop("first"), ["group_key", "fingerprint"])
 
 
+LETTERS = 26
+
+
+def topology_letters(found: DataFrame) -> DataFrame:
+    """topology() with letter, A to Z by the first frame of each fingerprint over all groups; null everywhere if there are more than 26.
+
+    With more, frames can only be listed, not analysed as groups.
+    """
+    first = found.groupBy("fingerprint").agg(F.min(F.struct("group_key", "frame_index")).alias("first"))
+    ranked = first.orderBy("first").limit(LETTERS + 1).select("fingerprint", F.row_number().over(Window.orderBy("first")).alias("k"))  # 27 rows at most
+    few = first.limit(LETTERS + 1).count() <= LETTERS
+    letter = F.char(F.lit(64) + F.col("k")) if few else F.lit(None).cast("string")
+    return found.join(F.broadcast(ranked), "fingerprint", "left").select(*found.columns, letter.alias("letter"))
+
+
+def by_topology(atoms: DataFrame, found: DataFrame) -> DataFrame:
+    """Atoms whose group_key is the letter of their frame's topology; frames keep their order and are numbered anew in each group.
+
+    More than 26 topologies are an error.
+    """
+    named = topology_letters(found)
+    many = F.raise_error(F.lit("more than 26 topologies: frames can only be listed")).cast("string")
+    order = Window.partitionBy("letter").orderBy(*K)
+    placed = named.withColumn("letter", F.coalesce("letter", many)).select(*K, "letter", (F.row_number().over(order) - 1).cast("int").alias("place"))
+    rows = atoms.join(placed, K)
+    return rows.select(*[F.col("letter").alias(c) if c == "group_key" else F.col("place").alias(c) if c == "frame_index" else F.col(c) for c in atoms.columns])
+
+
 def fill_times(frames: DataFrame, first: float = 0.0, step: float = 1.0) -> DataFrame:
     return frames.withColumn("time_ps", F.coalesce("time_ps", F.lit(first) + F.col("frame_index") * F.lit(step)))
 
@@ -81,6 +149,35 @@ def sample_times(frames: DataFrame, delta: float, tolerance: float = 1e-6) -> Da
     return frames.withColumn("_k", F.row_number().over(order) - 1).where(F.col("_k") % every == 0).drop("_k")
 
 
+PAIR_IDS = ("resid", "oxygen_index", "atomid")
+
+
+def pair_nodes(pairs: DataFrame, waters: DataFrame, atoms: DataFrame, kind: str) -> DataFrame:
+    """(K, u, v) of pairs(K, u, v) whose ids are of a kind: resids of waters, oxygens' places, or atom numbers of oxygens.
+
+    An id that several waters have, or that belongs to no water's oxygen, is an error.
+    """
+    if kind not in PAIR_IDS:
+        raise ValueError(f"pair ids are one of {', '.join(PAIR_IDS)}")
+    if kind == "oxygen_index":
+        known = waters.select(*K, F.col("oxygen").cast("long").alias("id"), F.col("oxygen").cast("long").alias("node"))
+    elif kind == "resid":
+        known = waters.select(*K, F.col("resid").cast("long").alias("id"), F.col("oxygen").cast("long").alias("node"))
+    else:
+        oxygens = waters.select(*K, F.col("oxygen").alias("atom"))
+        known = atoms.join(oxygens, [*K, "atom"], "left_semi").select(*K, F.col("atomid").cast("long").alias("id"), F.col("atom").cast("long").alias("node"))
+    single = known.groupBy(*K, "id").agg(F.count("*").alias("n"), F.min("node").alias("node"))
+    out = pairs.select(*K, F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+    for end in "uv":
+        named = single.select(*K, F.col("id").alias(end), F.col("n").alias("_n"), F.col("node").alias("_node"))
+        text = F.concat(F.lit(f"{kind} "), F.col(end).cast("string"))
+        unknown = F.raise_error(F.concat(text, F.lit(" is no selected water"))).cast("long")
+        several = F.raise_error(F.concat(text, F.lit(" belongs to several waters"))).cast("long")
+        node = F.when(F.col("_n").isNull(), unknown).when(F.col("_n") > 1, several).otherwise(F.col("_node"))
+        out = out.join(named, [*K, end], "left").withColumn(end, node).drop("_n", "_node")
+    return out.select(*K, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()
+
+
 def resolve_pairs(pairs: DataFrame, nodes: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(edges, unknown): canonical edges(K, u, v) whose ends are nodes(K, node), and ends that no node has."""
     edges = pairs.select(*K, F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).where("u < v").distinct()

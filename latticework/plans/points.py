@@ -159,7 +159,7 @@ def order_means(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AT_CUTOFF = (cutoff_pairs, cross_pairs, hbond_pairs, coordination, adjacency, node_components, core_edges, chordless_rings, all_rings, shortest_rings, ring_incidence, ring_centers, order_f3, order_f4, order_ql, order_ql_nearest, order_mcg, order_dhop, ice, order_means)
-FIXED = (*_AT_CUTOFF, *map(at_fixed_cutoff, _AT_CUTOFF))  # those at the fixed cutoff have no SQL
+FIXED = (*_AT_CUTOFF, *map(at_fixed_cutoff, _AT_CUTOFF))
 
 _POINTS = """r AS (SELECT 0.12 * pow(least(1.0, 500.0 / greatest(1, count(*))), 1.0 / 3.0) AS cut FROM embeddings),
 pts AS (SELECT label::INTEGER AS f, vec_id AS n, embedding[1]::DOUBLE + 0.5 AS x, embedding[2]::DOUBLE + 0.5 AS y, embedding[3]::DOUBLE + 0.5 AS z FROM embeddings),
@@ -257,3 +257,7 @@ LEFT JOIN (SELECT w.f, w.a AS n, bool_and(deg.d = 4) AS o FROM way w JOIN deg ON
     "order_means": _sql("SELECT p.f AS frame_index, round(avg(f3), 6) AS mean, count(f3) AS valid, round(avg(f3) FILTER (p.n % 3 = 0), 6) AS focus_mean, count(f3) FILTER (p.n % 3 = 0) AS focus_valid FROM pts p LEFT JOIN f3 ON f3.f = p.f AND f3.a = p.n GROUP BY p.f", _F3),
 }
 SQL["all_rings"] = _sql("SELECT f AS frame_index, len(p)::INTEGER AS size, array_to_string(p, ' ') AS nodes FROM walks JOIN way c ON c.f = walks.f AND c.a = p[-1] AND c.b = p[1] WHERE len(p) >= 4 AND p[2] < p[-1]".replace("SELECT f AS", "SELECT walks.f AS"), "walks AS (SELECT f, [a, b] AS p FROM way WHERE a < b UNION ALL SELECT p.f, list_append(p.p, w.b) FROM walks p JOIN way w ON w.f = p.f AND w.a = p.p[-1] WHERE len(p.p) < 5 AND w.b > p.p[1] AND NOT list_contains(p.p, w.b))", recursive=True)
+_PEEL = [f"peel{k} AS MATERIALIZED (SELECT p.* FROM {was} p JOIN (SELECT f, a FROM {was} GROUP BY f, a HAVING count(*) >= 2) x ON x.f = p.f AND x.a = p.a JOIN (SELECT f, a FROM {was} GROUP BY f, a HAVING count(*) >= 2) y ON y.f = p.f AND y.a = p.b)" for k, was in enumerate(["way", *[f"peel{k}" for k in range(39)]])]
+SQL["core_edges"] = _sql("SELECT f AS frame_index, a AS u, b AS v FROM peel39 WHERE a < b", *_PEEL)
+_SHRINKING = _POINTS[: _POINTS.index("pts AS")]
+SQL |= {f"fixed_{name}": sql.replace(_SHRINKING, f"r AS (SELECT {adapters.CUTOFF}::DOUBLE AS cut),\n") for name, sql in SQL.items()}

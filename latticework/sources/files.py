@@ -1,19 +1,22 @@
 """Coordinate files as atom tables, and back.
 
-Files are read by Spark (any store, globs and folders included) and parsed in tasks, one
-file at a time, frame by frame; a file must fit in a task's memory. Lengths are in nm.
+Files are read by Spark (any store, globs and folders included), split by split, and parsed
+in tasks, one frame at a time. Lengths are in nm.
 """
 
 from __future__ import annotations
 
+import hashlib
 import math
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from latticework.operators.checkpoints import checkpoint
 from latticework.operators.graphs import K
 
 ATOMS = "group_key string, frame_index int, frame string, source string, time_ps double, atom int, resid int, resname string, atomname string, atomid int, x double, y double, z double, vx double, vy double, vz double, lx double, ly double, lz double"
@@ -154,45 +157,169 @@ def read_dump_text(text: str, units: str = "real", timestep: float = 1.0) -> Ite
 
 
 PARSERS = {".gro": read_gro_text, ".xyz": read_xyz_text, ".dump": read_dump_text, ".lammpstrj": read_dump_text}
+_OPTIONS = {".gro": (), ".xyz": ("scale",), ".dump": ("units", "timestep"), ".lammpstrj": ("units", "timestep")}
 _BINARY = (".xtc", ".trr", ".dcd")
 
 
-def read_frames(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, stacked: bool = True, **options: object) -> DataFrame:
-    """Atoms of all files of a path, folder or glob; frames are numbered by file (natural order) and place in it.
+_SUFFIX = r"\.[^./]*$"
+_MARK = "ITEM: TIMESTEP"
+_LINES = "source string, start long, line long, mark long, value string"
 
-    The format follows from the suffix. options go to the parser (scale, units, timestep).
-    """
-    reader = spark.read.format("binaryFile")
+
+def _listed(spark: SparkSession, path: str, pattern: str | None, recursive: bool) -> DataFrame:
+    """(source, suffix) of all files of a path; their contents are not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower())
+    if pattern:
+        reader = reader.option("pathGlobFilter", pattern)
+    return reader.load(path).select(F.col("path").alias("source"), F.lower(F.regexp_extract("path", _SUFFIX, 0)).alias("suffix"))
+
+
+def natural_key(name: Column) -> Column:
+    """Something that sorts names as people do, runs of digits by their value."""
+    parts = F.split(name, r"(?<=\d)(?=\D)|(?<=\D)(?=\d)")
+    number = lambda p: F.when(p.rlike(r"^\d+$"), F.lpad(p, 40, "0")).otherwise(p)
+    return F.transform(parts, number)
+
+
+def _numbered_lines(spark: SparkSession, path: str, pattern: str | None, recursive: bool, suffixes: list[str]) -> DataFrame:
+    """_LINES of all text files with one of the suffixes: each line's place in its split, and the frame marks up to it there."""
+    reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
-    files = reader.option("recursiveFileLookup", str(recursive).lower()).load(path).select("path", "content")
+    rows = reader.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), "value")
+    rows = rows.where(F.lower(F.regexp_extract("source", _SUFFIX, 0)).isin(*suffixes))
 
-    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, line, mark = None, 0, 0
         for batch in batches:
-            for name, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                suffix = re.search(r"\.[^./]*$", name.lower())
-                if suffix and suffix[0] in _BINARY:
-                    raise FormatError(f"{suffix[0]} needs a decoder that this engine does not have")
-                if not suffix or suffix[0] not in PARSERS:
-                    raise FormatError(f"no format for {name}")
-                count = 0
-                for k, (title, time, box, atoms) in enumerate(PARSERS[suffix[0]](content.decode(), **options)):
-                    count += 1
-                    if not stacked and count > 1:
-                        raise FormatError(f"{name} has more than one frame")
-                    rows = [("A", k, title, name, time, n, *a, *box) for n, a in enumerate(atoms)]
-                    cols = list(zip(*rows, strict=True)) or [()] * len(_FIELDS)
-                    yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, _ARROW, strict=True)], schema=_ARROW)
-
-    atoms = files.mapInArrow(parse, ATOMS)
-    counts = atoms.groupBy("source").agg((F.max("frame_index") + 1).alias("n")).collect()  # a row for each file
-    natural = lambda r: [int(p) if p.isdigit() else p for p in re.split(r"(\d+)", r[0])]
-    skip, starts = 0, []
-    for name, n in sorted(counts, key=natural):
-        starts.append((name, skip))
-        skip += n
-    first = spark.createDataFrame(starts, "source string, _skip int")
-    return atoms.join(F.broadcast(first), "source").withColumn("frame_index", F.col("frame_index") + F.col("_skip")).select(*[n for n, _ in _FIELDS])
+            places, marks = [], []
+            for source, start, value in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if (source, start) != key:
+                    key, line, mark = (source, start), 0, 0
+                mark += value.startswith(_MARK)
+                places.append(line)
+                marks.append(mark)
+                line += 1
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(places, pa.int64()), pa.array(marks, pa.int64()), batch.column(2)], names=[c.split()[0] for c in _LINES.split(", ")])
+
+    return rows.mapInArrow(kernel, _LINES)
+
+
+def _placed(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(lines by their place in the file, a row for each file with its last line that is not blank, marks, and second line)."""
+    solid = F.when(F.trim("value") != "", F.col("line"))
+    second = F.max(F.when((F.col("start") == 0) & (F.col("line") == 1), F.col("value")))
+    splits = checkpoint(lines.groupBy("source", "start").agg(F.count("*").alias("n"), F.max("mark").alias("marks"), F.max(solid).alias("solid"), second.alias("second")))
+    before = Window.partitionBy("source").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    skip = splits.select("source", "start", *[F.coalesce(F.sum(c).over(before), F.lit(0)).alias(f"{c}_0") for c in ("n", "marks")], "solid", "marks", "second")
+    whole = skip.groupBy("source").agg((F.max(F.col("n_0") + F.col("solid")) + 1).alias("lines"), F.max(F.col("marks_0") + F.col("marks")).alias("marks"), F.max("second").alias("second"))
+    placed = lines.join(skip.select("source", "start", "n_0", "marks_0"), ["source", "start"])
+    return placed.select("source", (F.col("line") + F.col("n_0")).alias("line"), (F.col("mark") + F.col("marks_0") - 1).alias("mark"), "value"), whole
+
+
+def _by_frame(lines: DataFrame, whole: DataFrame, suffix: str, lenient: bool) -> tuple[DataFrame, DataFrame]:
+    """(lines with frame, (source, frames)) of one format: stacked blocks of equal length, marked frames, or one frame a file."""
+    if suffix == ".xyz":
+        return lines.withColumn("frame", F.lit(0).cast("long")), whole.select("source", F.lit(1).cast("long").alias("frames"))
+    if suffix != ".gro":
+        return lines.withColumn("frame", F.col("mark")).where("frame >= 0"), whole.select("source", F.col("marks").alias("frames"))
+    # the second line of a block counts its atoms; as these may not change, blocks are of one length
+    count = F.regexp_extract("second", r"^\s*(\d+)\s*(?:;.*)?$", 1).try_cast("long")
+    sized = whole.select("source", (count + 3).alias("block"), "lines")
+    if lenient:  # a file that is not made of blocks is one frame, which then fails
+        sized = sized.withColumn("block", F.when(F.col("lines") % F.col("block") == 0, F.col("block")).otherwise(F.greatest("lines", F.lit(1))))
+    bad = F.raise_error(F.concat(F.lit("a block is incomplete, or its atoms differ from those before: "), "source"))
+    frames = F.when(F.col("block").isNull() | (F.col("lines") % F.col("block") != 0), bad.cast("long")).otherwise((F.col("lines") / F.col("block")).cast("long"))
+    kept = lines.join(sized, "source").where("line < lines").withColumn("frame", F.floor(F.col("line") / F.col("block")))
+    return kept.select("source", "line", "value", "frame"), sized.select("source", frames.alias("frames"))
+
+
+#: Place of the row that stands for a frame which can't be read; its frame is the reason.
+FAILED = -1
+
+
+def _parsed(lines: DataFrame, suffix: str, options: dict, lenient: bool = False) -> DataFrame:
+    """Atoms of frames of lines(source, frame, line, value), each frame in one task, and identity, a digest of what may not change."""
+    schema = _ARROW.append(pa.field("identity", pa.string()))
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, []
+
+        def frame() -> pa.RecordBatch:
+            try:
+                found = list(PARSERS[suffix]("\n".join(held), **options))
+                if len(found) != 1:
+                    raise FormatError(f"frame {key[1]} of {key[0]} is incomplete")
+                title, time, box, atoms = found[0]
+                own = hashlib.md5(repr([a[:4] for a in atoms]).encode()).hexdigest() if suffix == ".gro" else ""
+                rows = [("A", key[1], title, key[0], time, n, *a, *box, own) for n, a in enumerate(atoms)]
+            except ValueError as e:
+                if not lenient:
+                    raise
+                rows = [("A", key[1], str(e), key[0], None, FAILED, *[None] * 13, "")]
+            cols = list(zip(*rows, strict=True)) or [()] * len(schema)
+            return pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(cols, schema, strict=True)], schema=schema)
+
+        for batch in batches:
+            for source, n, value in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+                if (source, n) != key:
+                    if held:
+                        yield frame()
+                    key, held = (source, n), []
+                held.append(value)
+        if held:
+            yield frame()
+
+    dealt = lines.select("source", "frame", "line", "value").repartition("source", "frame").sortWithinPartitions("source", "frame", "line")
+    return dealt.select("source", "frame", "value").mapInArrow(kernel, f"{ATOMS}, identity string")
+
+
+def read_frames(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, stacked: bool = True, lenient: bool = False, **options: object) -> DataFrame:
+    """Atoms of all files of a path, folder or glob; frames are numbered by file (natural order) and place in it.
+
+    The format follows from the suffix; other files of a folder are passed over. Texts are
+    read by split: a first pass counts lines, a second deals them out by frame, so a file
+    may be of any size and a task holds one frame. options go to the parser (scale, units,
+    timestep). lenient turns a frame that can't be read into one row, for split_failed,
+    where otherwise the whole run fails.
+    """
+    listed = checkpoint(_listed(spark, path, pattern, recursive))
+    suffixes = [r[0] for r in listed.select("suffix").distinct().collect()]  # the kinds of files
+    if binary := sorted(set(suffixes) & set(_BINARY)):
+        raise FormatError(f"{binary[0]} needs a decoder that this engine does not have")
+    known = sorted(set(suffixes) & set(PARSERS))
+    if suffixes and not known:
+        raise FormatError(f"no format for files of {path}")
+    if strange := sorted(set(options) - {o for s in known for o in _OPTIONS[s]}):
+        raise ValueError(f"no such option for these files: {', '.join(strange)}")
+    parts, counts = [], []
+    for suffix in known:
+        lines, whole = _placed(_numbered_lines(spark, path, pattern, recursive, [suffix]))
+        lines, frames = _by_frame(lines, whole, suffix, lenient)
+        own = {k: v for k, v in options.items() if k in _OPTIONS[suffix]}
+        parts.append(_parsed(lines, suffix, own, lenient))
+        counts.append(frames)
+    if not parts:
+        return spark.createDataFrame([], ATOMS)
+    frames = checkpoint(reduce(DataFrame.unionByName, counts))
+    if not stacked and (many := frames.where("frames > 1").first()):
+        raise FormatError(f"{many[0]} has more than one frame")
+    order = Window.orderBy(natural_key(F.col("source"))).rowsBetween(Window.unboundedPreceding, -1)  # a row for each file
+    skip = checkpoint(frames.select("source", F.coalesce(F.sum("frames").over(order), F.lit(0)).cast("int").alias("skip")))
+    atoms = reduce(DataFrame.unionByName, parts).join(skip, "source").withColumn("frame_index", F.col("frame_index") + F.col("skip"))
+    if ".gro" in known and not lenient and frames.where("frames > 1").limit(1).count():
+        # the first frame's identity is compared with every frame's
+        lead = reduce(DataFrame.unionByName, [p.where("frame_index = 0") for p, s in zip(parts, known, strict=True) if s == ".gro"])
+        same = checkpoint(lead.groupBy("source").agg(F.first("identity").alias("expected")))
+        other = F.raise_error(F.concat(F.lit("atoms of a block differ from those before: "), "source"))
+        atoms = atoms.join(same, "source", "left").withColumn("source", F.when(F.col("expected").isNull() | (F.col("expected") == F.col("identity")), F.col("source")).otherwise(other.cast("string")))
+    return atoms.select(*[n for n, _ in _FIELDS])
+
+
+def split_failed(atoms: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(atoms, failed) of a lenient reading; failed is (K, frame, time_ps, source, error), a row for each frame that can't be read."""
+    bad = atoms.where(F.col("atom") == FAILED).select(*K, F.lit(None).cast("string").alias("frame"), "time_ps", "source", F.col("frame").alias("error"))
+    return atoms.where(F.col("atom") != FAILED), bad
 
 
 def frame_slice(atoms: DataFrame, indexes: list[int]) -> DataFrame:
@@ -226,6 +353,9 @@ def gro_lines(atoms: DataFrame) -> DataFrame:
     number = lambda c: F.format_string("%8.3f", c)
     wrap = lambda c: F.pmod(F.col(c), F.lit(100000)).cast("int")
     record = F.concat(F.format_string("%5d", wrap("resid")), F.rpad("resname", 5, " "), F.lpad("atomname", 5, " "), F.format_string("%5d", wrap("atomid")), number("x"), number("y"), number("z"))
+    if "vx" in atoms.columns:
+        speed = F.concat(*[F.format_string("%8.4f", f"v{c}") for c in "xyz"])
+        record = F.concat(record, F.when(F.col("vx").isNotNull() & F.col("vy").isNotNull() & F.col("vz").isNotNull(), speed).otherwise(""))
     body = atoms.select(*K, (F.col("atom") + 2).cast("long").alias("place"), record.alias("line"))
     frame = atoms.groupBy(*K).agg(F.first("frame").alias("frame"), F.first("time_ps").alias("time"), F.count("*").alias("n"), *[F.first(f"l{c}").alias(f"l{c}") for c in "xyz"])
     side = F.concat(*[F.format_string("%10.5f", F.coalesce(f"l{c}", F.lit(0.0))) for c in "xyz"])
