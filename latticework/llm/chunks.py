@@ -28,6 +28,8 @@ RARE, COMMON = 6, 3
 _GEAR = np.random.default_rng(8).integers(0, 1 << 32, 256, np.uint32)
 EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double"
 _NO_ID = -(1 << 63)
+#: Rows that a range of doc_ids has about, at most.
+PART_ROWS = 100_000
 
 
 def boundaries(data: bytes) -> list[int]:
@@ -99,7 +101,7 @@ def with_successor(docs: DataFrame) -> DataFrame:
     what comes after this one. Equal doc_ids are ordered by text, null ids come first.
     """
     spark = docs.sparkSession
-    parts = 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    parts = max(4 * int(spark.conf.get("spark.sql.shuffle.partitions")), -(-docs.count() // PART_ROWS))
     order = F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))
     ids = docs.select(order.alias("id"))
     shares = [k / parts for k in range(1, parts)]
