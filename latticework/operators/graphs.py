@@ -93,13 +93,17 @@ def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(K, node, component): component is the least node that edges reach; isolated nodes are their own.
 
     Alternating star contraction over all frames at once: rounds grow with the logarithm
-    of the largest component, and no component is gathered in one place.
+    of the largest component. Once no more edges are left than a task may hold, one task
+    settles them; until then no component is gathered in one place.
     """
     loops_left_out = edges.select(*K, F.col("u").alias("a"), F.col("v").alias("b")).where("a <> b")
     now = checkpoint(_contract(loops_left_out).distinct())
     mark = lambda df: tuple(df.agg(F.count("*"), F.bit_xor(F.xxhash64(*K, "a", "b"))).first())
     before = None
     while (state := mark(now)) != before and state[0]:
+        if state[0] <= HELD // 2:
+            now = _contract(now.coalesce(1))
+            break
         before = state
         now = checkpoint(_star(_star(now, large=True).distinct(), large=False).distinct())
     tops = now.select(*K, F.col("a").alias("node"), F.col("b").alias("component"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from latticework.plans import crystals, points, polyhedra, tracks
+from latticework.plans import crystals, points, polyhedra, reports, sources, tracks
 
-_PLANS = (points, polyhedra, crystals, tracks)
+_PLANS = (points, polyhedra, crystals, reports, tracks, sources)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -181,13 +181,14 @@ def natural_key(name: Column) -> Column:
     return F.transform(parts, number)
 
 
-def _numbered_lines(spark: SparkSession, path: str, pattern: str | None, recursive: bool, suffixes: list[str]) -> DataFrame:
-    """_LINES of all text files with one of the suffixes: each line's place in its split, and the frame marks up to it there."""
+def _numbered_lines(spark: SparkSession, path: str, pattern: str | None, recursive: bool, suffixes: list[str] | None) -> DataFrame:
+    """_LINES of all text files, or those with one of the suffixes: each line's place in its split, and the frame marks up to it there."""
     reader = spark.read.option("recursiveFileLookup", str(recursive).lower())
     if pattern:
         reader = reader.option("pathGlobFilter", pattern)
     rows = reader.text(path).select(F.col("_metadata.file_path").alias("source"), F.col("_metadata.file_block_start").alias("start"), "value")
-    rows = rows.where(F.lower(F.regexp_extract("source", _SUFFIX, 0)).isin(*suffixes))
+    if suffixes is not None:
+        rows = rows.where(F.lower(F.regexp_extract("source", _SUFFIX, 0)).isin(*suffixes))
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, line, mark = None, 0, 0
@@ -274,17 +275,19 @@ def _parsed(lines: DataFrame, suffix: str, options: dict, lenient: bool = False)
     return dealt.select("source", "frame", "value").mapInArrow(kernel, f"{ATOMS}, identity string")
 
 
-def read_frames(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, stacked: bool = True, lenient: bool = False, **options: object) -> DataFrame:
+def read_frames(spark: SparkSession, path: str, pattern: str | None = None, recursive: bool = False, stacked: bool = True, lenient: bool = False, form: str | None = None, **options: object) -> DataFrame:
     """Atoms of all files of a path, folder or glob; frames are numbered by file (natural order) and place in it.
 
-    The format follows from the suffix; other files of a folder are passed over. Texts are
+    The format follows from the suffix, or is form (gro, xyz, dump) for files of any name;
+    otherwise files with another suffix in a folder are passed over. Texts are
     read by split: a first pass counts lines, a second deals them out by frame, so a file
     may be of any size and a task holds one frame. options go to the parser (scale, units,
     timestep). lenient turns a frame that can't be read into one row, for split_failed,
     where otherwise the whole run fails.
     """
-    listed = checkpoint(_listed(spark, path, pattern, recursive))
-    suffixes = [r[0] for r in listed.select("suffix").distinct().collect()]  # the kinds of files
+    if form is not None and f".{form}" not in PARSERS:
+        raise FormatError(f"formats are {', '.join(sorted(p[1:] for p in PARSERS))}")
+    suffixes = [f".{form}"] if form else [r[0] for r in _listed(spark, path, pattern, recursive).select("suffix").distinct().collect()]  # the kinds of files
     if binary := sorted(set(suffixes) & set(_BINARY)):
         raise FormatError(f"{binary[0]} needs a decoder that this engine does not have")
     known = sorted(set(suffixes) & set(PARSERS))
@@ -294,7 +297,7 @@ def read_frames(spark: SparkSession, path: str, pattern: str | None = None, recu
         raise ValueError(f"no such option for these files: {', '.join(strange)}")
     parts, counts = [], []
     for suffix in known:
-        lines, whole = _placed(_numbered_lines(spark, path, pattern, recursive, [suffix]))
+        lines, whole = _placed(_numbered_lines(spark, path, pattern, recursive, None if form else [suffix]))
         lines, frames = _by_frame(lines, whole, suffix, lenient)
         own = {k: v for k, v in options.items() if k in _OPTIONS[suffix]}
         parts.append(_parsed(lines, suffix, own, lenient))
@@ -366,8 +369,35 @@ def gro_lines(atoms: DataFrame) -> DataFrame:
 
 def write_gro(atoms: DataFrame, folder: str) -> None:
     """A folder for each frame, with one text file."""
-    lines = gro_lines(atoms).repartition(*K).sortWithinPartitions(*K, "place")
-    lines.select(*K, "line").write.partitionBy(*K).mode("errorifexists").text(folder)
+    write_lines(gro_lines(atoms), folder)
+
+
+def xyz_lines(atoms: DataFrame, scale: float = 0.1) -> DataFrame:
+    """(K, place, line): the text of each frame as an XYZ file, lengths divided by scale."""
+    number = lambda c: F.format_string("%.6f", F.col(c) / scale)
+    body = atoms.select(*K, (F.col("atom") + 2).cast("long").alias("place"), F.concat_ws(" ", "atomname", *map(number, "xyz")).alias("line"))
+    count = atoms.groupBy(*K).agg(F.count("*").cast("string").alias("n"), F.first("frame").alias("frame"))
+    head = count.select(*K, F.explode(F.array(F.struct(F.lit(0).cast("long").alias("place"), F.col("n").alias("line")), F.struct(F.lit(1).cast("long").alias("place"), F.coalesce("frame", F.lit("")).alias("line")))).alias("e"))
+    return body.unionByName(head.select(*K, "e.place", "e.line"))
+
+
+def dump_lines(atoms: DataFrame, scale: float = 0.1) -> DataFrame:
+    """(K, place, line): the text of each frame as a block of a text dump in periodic boxes, its step being the frame's index."""
+    number = lambda c: F.format_string("%.6f", c)
+    body = atoms.select(*K, (F.col("atom") + 9).cast("long").alias("place"), F.concat_ws(" ", F.col("atomid").cast("string"), "atomname", *[number(F.col(c) / scale) for c in "xyz"]).alias("line"))
+    frame = atoms.groupBy(*K).agg(F.count("*").cast("string").alias("n"), *[F.first(f"l{c}").alias(f"l{c}") for c in "xyz"])
+    head = [F.lit(_MARK), F.col("frame_index").cast("string"), F.lit("ITEM: NUMBER OF ATOMS"), F.col("n"), F.lit("ITEM: BOX BOUNDS pp pp pp"), *[F.concat(F.lit("0 "), number(F.col(f"l{c}") / scale)) for c in "xyz"], F.lit("ITEM: ATOMS id type x y z")]
+    return body.unionByName(frame.select(*K, F.posexplode(F.array(*head)).alias("place", "line")).withColumn("place", F.col("place").cast("long")))
+
+
+def write_lines(lines: DataFrame, folder: str, stacked: bool = False) -> None:
+    """Frames of lines(K, place, line) as text: a folder and a file for each, or all frames of a group in one file in their order."""
+    if stacked:
+        dealt = lines.repartition("group_key").sortWithinPartitions(*K, "place")
+        dealt.select("group_key", "line").write.partitionBy("group_key").mode("errorifexists").text(folder)
+    else:
+        dealt = lines.repartition(*K).sortWithinPartitions(*K, "place")
+        dealt.select(*K, "line").write.partitionBy(*K).mode("errorifexists").text(folder)
 
 
 def membership(rings: DataFrame, cages: DataFrame, held: DataFrame) -> DataFrame:
