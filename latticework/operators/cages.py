@@ -6,6 +6,7 @@ import math
 from collections import Counter, defaultdict
 from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -152,6 +153,54 @@ def _polyhedron(faces: frozenset[int], used: Counter, corners: Counter, sizes: C
 BLOCK_RINGS = 20_000
 
 
+#: Rings of a component whose adjacency one task holds, as numbers, to find what surrounds its blocks; beyond it the steps are joins.
+RIM_RINGS = 1_000_000
+
+
+def _rims(seeds: DataFrame, near: DataFrame, steps: int) -> DataFrame:
+    """(K, component, block, node): the seeds(K, component, block, node) of each block and all nodes within so many steps over near(K, node, next)."""
+    group = [*K, "component"]
+    links = near.join(seeds.select(*group, "node"), [*K, "node"]).select(*group, F.lit(0).alias("kind"), F.col("node").alias("p"), F.col("next").alias("q"))
+    both = links.unionByName(seeds.select(*group, F.lit(1).alias("kind"), F.col("block").alias("p"), F.col("node").alias("q")))
+
+    def around(key: tuple, links: np.ndarray, own: np.ndarray) -> Iterator[pa.RecordBatch]:
+        nodes = np.unique(own[:, 1])
+        at, to = np.searchsorted(nodes, links[:, 0]), np.searchsorted(nodes, links[:, 1])
+        order = np.argsort(at, kind="stable")
+        to, first = to[order], np.concatenate([[0], np.cumsum(np.bincount(at, minlength=len(nodes)))])
+        for block in np.unique(own[:, 0]).tolist():
+            rim = np.searchsorted(nodes, own[own[:, 0] == block, 1])
+            seen = np.zeros(len(nodes), bool)
+            seen[rim] = True
+            for _ in range(steps):
+                n = first[rim + 1] - first[rim]
+                reach = np.unique(to[np.arange(n.sum()) + np.repeat(first[rim] - np.cumsum(n) + n, n)])
+                rim = reach[~seen[reach]]
+                seen[rim] = True
+            found = nodes[seen]
+            yield pa.RecordBatch.from_arrays([*(pa.array([k] * len(found), t) for k, t in zip(key, (pa.string(), pa.int32(), pa.int64()), strict=True)), pa.array(np.full(len(found), block)), pa.array(found)], names=[*group, "block", "node"])
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, parts = None, ([], [])
+
+        def close() -> Iterator[pa.RecordBatch]:
+            if parts[1]:
+                yield from around(key, np.concatenate(parts[0] or [np.zeros((0, 2), np.int64)]), np.concatenate(parts[1]))
+
+        for batch in batches:
+            table = batch.to_pandas()
+            for k, rows in table.groupby(group, sort=False):
+                if k != key:
+                    yield from close()
+                    key, parts = k, ([], [])
+                for kind in (0, 1):
+                    parts[kind].append(rows.loc[rows["kind"] == kind, ["p", "q"]].to_numpy(np.int64))
+        yield from close()
+
+    dealt = both.repartition(*group).sortWithinPartitions(*group)
+    return dealt.mapInArrow(kernel, "group_key string, frame_index int, component long, block long, node long")
+
+
 def _cut(rows: DataFrame, touch: DataFrame, points: DataFrame, max_faces: int, block_rings: int) -> DataFrame:
     """rows of large components as blocks: (K, component, block, node, ring_id, nodes, seed).
 
@@ -174,11 +223,14 @@ def _cut(rows: DataFrame, touch: DataFrame, points: DataFrame, max_faces: int, b
     block = ((cell("x") * side + cell("y")) * side + cell("z")).cast("long")
     seeds = checkpoint(placed.select(*group, block.alias("block"), "node"))
     near = touch.select(*K, F.col("u").alias("node"), F.col("v").alias("next"))
-    near = checkpoint(near.union(near.select(*K, "next", "node")).distinct())
-    held, rim = seeds, seeds
-    for _ in range(max_faces // 2):
-        rim = checkpoint(rim.join(near, [*K, "node"]).select(*group, "block", F.col("next").alias("node")).distinct().join(held, [*group, "block", "node"], "left_anti"))
-        held = held.unionByName(rim)
+    near = near.union(near.select(*K, "next", "node")).distinct()
+    if span.agg(F.max("n")).first()[0] <= RIM_RINGS:
+        held = checkpoint(_rims(seeds, near, max_faces // 2))
+    else:
+        near, held, rim = checkpoint(near), seeds, seeds
+        for _ in range(max_faces // 2):
+            rim = checkpoint(rim.join(near, [*K, "node"]).select(*group, "block", F.col("next").alias("node")).distinct().join(held, [*group, "block", "node"], "left_anti"))
+            held = held.unionByName(rim)
     marked = held.join(seeds.withColumn("seed", F.lit(True)), [*group, "block", "node"], "left").withColumn("seed", F.coalesce("seed", F.lit(False)))
     return marked.join(rows.select(*K, "node", "ring_id", "nodes"), [*K, "node"]).select(*group, "block", "node", "ring_id", "nodes", "seed")
 
@@ -186,6 +238,8 @@ def _cut(rows: DataFrame, touch: DataFrame, points: DataFrame, max_faces: int, b
 def _search(blocks: DataFrame, max_faces: int, max_states: int) -> DataFrame:
     """(K, seed, cage_type, rings, waters) of blocks(K, component, block, node, ring_id, nodes, seed), a block at a time."""
     out = "group_key string, frame_index int, seed long, cage_type string, rings array<string>, waters array<bigint>"
+    # a block is much work for few rows, so blocks are dealt finely
+    parts = 4 * int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     schema = pa.schema([("group_key", pa.string()), ("frame_index", pa.int32()), ("seed", pa.int64()), ("cage_type", pa.string()), ("rings", pa.list_(pa.string())), ("waters", pa.list_(pa.int64()))])
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -220,7 +274,7 @@ def _search(blocks: DataFrame, max_faces: int, max_states: int) -> DataFrame:
             yield rows()
 
     order = [*K, "component", "block"]
-    return blocks.select(*order, "node", "ring_id", "nodes", "seed").repartition(*order).sortWithinPartitions(*order, "node").mapInArrow(kernel, out)
+    return blocks.select(*order, "node", "ring_id", "nodes", "seed").repartition(parts, *order).sortWithinPartitions(*order, "node").mapInArrow(kernel, out)
 
 
 def find_cages(rings: DataFrame, max_faces: int = MAX_FACES, points: DataFrame | None = None, block_rings: int = BLOCK_RINGS, max_states: int = 0) -> DataFrame:

@@ -157,3 +157,12 @@ def test_two_domes_close_into_a_shell(spark):
     domes = patches.find_patches(found, centers)
     closed = patches.closed_pairs(domes, found).collect()
     assert len(closed) == 6 and all(len(r.rings) == 12 for r in closed)
+
+
+def test_rims_by_joins_are_those_of_one_task(spark, monkeypatch):
+    coordinates, box = structure_one(2)
+    points = frame(spark, coordinates, box)
+    found = found_rings(points)
+    want = {(r.cage_type, tuple(r.waters)) for r in cages.find_cages(found).collect()}
+    monkeypatch.setattr(cages, "RIM_RINGS", 0)
+    assert {(r.cage_type, tuple(r.waters)) for r in cages.find_cages(found, max_faces=14, points=points, block_rings=100).collect()} == want
