@@ -22,6 +22,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.llm.common import give_back
+
 LEAST, MEAN, MOST = 8, 32, 192
 #: A boundary's hash has this many leading zero bits, below and above the mean size.
 RARE, COMMON = 6, 3
@@ -30,6 +32,8 @@ EDITED = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, e
 _NO_ID = -(1 << 63)
 #: Rows that a range of doc_ids has about, at most.
 PART_ROWS = 100_000
+#: Rows that are sent back at a time; each has two fingerprints about as long as its text.
+OUT_ROWS = 500
 
 
 def boundaries(data: bytes) -> list[int]:
@@ -137,10 +141,16 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
     """
 
     def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = None
+        held, out = None, []
+
+        def rows() -> pa.RecordBatch:
+            made = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=[x.split()[0] for x in EDITED.split(", ")])
+            out.clear()
+            return made
+
         for batch in batches:
-            out = []
-            for part, ahead, doc_id, text in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            for row in zip(*batch.columns, strict=True):
+                part, ahead, doc_id, text = (x.as_py() for x in row)
                 if held is not None and held[0] != part:
                     held = None
                 if ahead and held is None:
@@ -149,8 +159,11 @@ def edited_likeness(docs: DataFrame) -> DataFrame:
                 if held is not None:
                     out.append(_edit(*held[1:], text, chunks))
                 held = None if ahead else (part, doc_id, text, chunks)
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), _TYPES, strict=True)], names=[x.split()[0] for x in EDITED.split(", ")])
+                if len(out) == OUT_ROWS:
+                    yield rows()
+            give_back()
+        if out:
+            yield rows()
 
     return with_successor(docs).mapInArrow(kernel, EDITED)
 

@@ -21,7 +21,6 @@ others without one of their shingles.
 
 from __future__ import annotations
 
-import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,7 +29,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import ROW, checkpoint, row_key, unpacked, whole_row
+from latticework.llm.common import ROW, checkpoint, give_back, row_key, unpacked, whole_row
 from latticework.llm.components import connected_components
 from latticework.llm.simhash import SHARD, BKTree, bit_counts
 
@@ -49,14 +48,6 @@ _MULTIPLY = _RNG.integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) +
 _SPREAD = _RNG.integers(0, 1 << 63, 4, np.uint64) * np.uint64(2) + np.uint64(1)
 
 
-def give_back() -> None:
-    """Return freed memory to the system: Python workers outlive their task and would keep it."""
-    pa.default_memory_pool().release_unused()
-    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
-    if trim is not None:
-        trim(0)
-
-
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; fewer words: the whole sequence; none: nothing."""
     words = (text or b"").lower().split()
