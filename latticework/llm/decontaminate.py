@@ -28,7 +28,7 @@ from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import checkpoint, unpacked, whole_row
+from latticework.llm.common import checkpoint, give_back, unpacked, whole_row
 
 SHINGLE = 5
 THRESHOLD = 0.8
@@ -285,7 +285,9 @@ def _contains(sent: Broadcast, threshold: float) -> Callable[[Column], Column]:
     @F.arrow_udf("boolean")
     def hit(texts: pa.Array) -> pa.Array:
         index = _index(sent, threshold)
-        return pa.array([bool(index.search(t.as_py())) for t in texts], pa.bool_())
+        found = pa.array([bool(index.search(t.as_py())) for t in texts], pa.bool_())
+        give_back()
+        return found
 
     return lambda text: hit(text.cast("binary"))
 

@@ -17,7 +17,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import crc_mod5, unpacked, whole_row
+from latticework.llm.common import crc_mod5, give_back, unpacked, whole_row
 from latticework.llm.sampling import bounded, per_label
 
 BITS = 15
@@ -117,9 +117,10 @@ def train(labelled: DataFrame, sample_each: int = SAMPLE_EACH) -> Model:
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total, docs = np.zeros(DIM, np.int64), 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                total[counts(text)[0]] += 1
+            for text in batch.column(0):
+                total[counts(text.as_py())[0]] += 1
                 docs += 1
+            give_back()
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(DIM + 1)), pa.array(np.append(total, docs))], names=["place", "n"])
 
     found = rows.select("text").mapInArrow(frequencies, "place long, n long").groupBy("place").agg(F.sum("n").alias("n")).collect()  # DIM + 1 rows
@@ -164,7 +165,8 @@ def predict(model: Model, docs: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("struct<lang_pred: string, score: double>")
     def kernel(texts: pa.Array) -> pa.Array:
-        found = [identify(sent.value, t) for t in texts.to_pylist()]
+        found = [identify(sent.value, t.as_py()) for t in texts]
+        give_back()
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=["lang_pred", "score"])
 
     return kernel(F.col(text).cast("string"))

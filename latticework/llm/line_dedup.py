@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import WS, checkpoint, whole_row
+from latticework.llm.common import WS, checkpoint, give_back, whole_row
 from latticework.llm.cuckoo import CuckooFilter, as_rows
 
 MIN_CHARS = 20
@@ -65,12 +65,14 @@ def postings(docs: DataFrame, min_chars: int = MIN_CHARS) -> DataFrame:
         for batch in batches:
             keys: list[bytes] = []
             counts = []
-            for text in batch.column(2).to_pylist():
+            for text in batch.column(2):
+                text = text.as_py()
                 own = {line_key(x, min_chars) for x in (text or b"").split(b"\n")} - {None}
                 counts.append(len(own))
                 keys += own
             at = pa.array(np.repeat(np.arange(len(counts)), counts))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(keys, pa.binary())], names=["doc_id", "twin", "key"])
+            give_back()
 
     return docs.select(*_document(docs), F.col("text").cast("binary").alias("text")).mapInArrow(kernel, "doc_id long, twin long, key binary").distinct()
 
@@ -231,8 +233,8 @@ def apply(index: LineIndex, docs: DataFrame, min_chars: int = MIN_CHARS) -> Data
     @F.arrow_udf("struct<text: string, n_lines: long, n_dropped: long>")
     def strip(texts: pa.Array, keys: pa.Array) -> pa.Array:
         kept, before, lost = [], [], []
-        for text, drop in zip(texts.to_pylist(), keys.to_pylist(), strict=True):
-            lines = (text or b"").split(b"\n")
+        for text, drop in zip(texts, keys, strict=True):
+            lines, drop = (text.as_py() or b"").split(b"\n"), drop.as_py()
             stay = lines
             if drop:
                 drop = set(drop)
@@ -240,6 +242,7 @@ def apply(index: LineIndex, docs: DataFrame, min_chars: int = MIN_CHARS) -> Data
             kept.append(b"\n".join(stay))
             before.append(len(lines))
             lost.append(len(lines) - len(stay))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(lost, pa.int64())], names=["text", "n_lines", "n_dropped"])
 
     unnamed, named = F.col("doc_id").isNull().alias("unnamed"), F.coalesce("doc_id", F.lit(0)).alias("id")

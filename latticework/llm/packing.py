@@ -30,6 +30,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from latticework.llm.common import give_back
+
 SEQUENCE = 2048
 END_ID = 1
 SENTENCE_CUT = 6
@@ -223,13 +225,15 @@ def pack(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, special: bool =
         encoder = Encoder.of(tokenizer, special)
         stream = _Stream(size, TaskContext.get().partitionId() << 33)
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                text = text.as_py()
                 ids = encoder.ids(text) if text else []
                 ids.append(END_ID)
                 ids = np.array(ids, "<u4")
                 stream.add(doc_id, ids, np.flatnonzero(encoder.sentence_end[ids[:-1]]) + 1)
                 if stream.held > stream.goal:
                     yield _rows(stream.windows(last=False))
+            give_back()
         if stream.held:
             yield _rows(stream.windows(last=True))
 

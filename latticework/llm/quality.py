@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import crc_mod5
+from latticework.llm.common import crc_mod5, give_back
 from latticework.llm.sampling import bounded, per_label
 
 #: Bound of the sample: about this many training documents of each label.
@@ -229,7 +229,9 @@ def score(model: Model | None, docs: DataFrame, text: str = "text") -> Column:
 
     @F.arrow_udf("double")
     def kernel(texts: pa.Array) -> pa.Array:
-        return pa.array([score_text(sent.value, t) for t in texts.to_pylist()], pa.float64())
+        found = pa.array([score_text(sent.value, t.as_py()) for t in texts], pa.float64())
+        give_back()
+        return found
 
     return kernel(F.col(text).cast("string"))
 

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from latticework.llm.common import checkpoint, unpacked, whole_row
+from latticework.llm.common import checkpoint, give_back, whole_row
 
 
 class Rule(NamedTuple):
@@ -115,6 +115,8 @@ def _postings(docs: DataFrame, whole: bool, rule: Rule) -> DataFrame:
                 found += own
                 counts.append(len(own))
             h = np.frombuffer(b"".join(found), "<i8").reshape(-1, 2)
+            del found
+            give_back()
             at = pa.array(np.repeat(np.arange(len(counts)), counts))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(h[:, 0]), pa.array(h[:, 1])], names=["doc_id", "twin", "h1", "h2"])
 
@@ -135,7 +137,8 @@ def dedup_spans(docs: DataFrame, whole: bool = False, rule: Rule = SHORT_RUNS) -
     @F.arrow_udf("struct<text: string, n_sentences: long, n_removed: long>")
     def cut(texts: pa.Array, drops: pa.Array) -> pa.Array:
         kept, before, lost = [], [], []
-        for text, drop in zip(texts.to_pylist(), drops.to_pylist(), strict=True):
+        for text, drop in zip(texts, drops, strict=True):
+            text, drop = text.as_py(), drop.as_py()
             pieces, where, held = found_runs(text or b"", whole, rule)
             gone: set[int] = set()
             seen = set(drop or ())
@@ -149,6 +152,7 @@ def dedup_spans(docs: DataFrame, whole: bool = False, rule: Rule = SHORT_RUNS) -
             kept.append(text if not gone else b"".join(p for k, p in enumerate(pieces) if k not in gone))
             before.append(len(where))
             lost.append(len(gone))
+        give_back()
         return pa.StructArray.from_arrays([pa.array(kept, pa.binary()).cast(pa.string()), pa.array(before, pa.int64()), pa.array(lost, pa.int64())], names=["text", "n_sentences", "n_removed"])
 
     held = checkpoint(_postings(docs, whole, rule))
