@@ -8,19 +8,23 @@ from pyspark.sql import functions as F
 from latticework.llm.common import checkpoint
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+#: Edges that a task takes in a round; fewer tasks write fewer files.
+TASK_EDGES = 200_000
+
+
+def _large_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Each node hands its larger neighbours to the smallest node it knows."""
-    both = edges.union(edges.select("b", "a"))
-    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
-    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    both = edges.union(edges.select("b", "a")).coalesce(tasks)
+    low = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")).coalesce(tasks)
+    return both.where("b > a").join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, tasks: int) -> DataFrame:
     """Each node, with its smaller neighbours, is tied to the smallest of them."""
     down = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    low = down.groupBy("a").agg(F.min("b").alias("m"))
-    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.union(low.select("a", F.col("m").alias("b")))
+    low = down.groupBy("a").agg(F.min("b").alias("m")).coalesce(tasks)
+    moved = down.join(low, "a").where("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b")).coalesce(tasks)
+    return moved.union(low.select("a", F.col("m").alias("b"))).coalesce(tasks)
 
 
 def _state(edges: DataFrame) -> tuple:
@@ -32,7 +36,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
 
     Self-loops and repeated edges count once; null ends are dropped; no edges, no rows.
     Both stars only use grouped minima and equi-joins, so that a hub's rows are summed
-    before the shuffle and its join partitions can be split.
+    before the shuffle and its join partitions can be split. A round has as many tasks as
+    the edges need, eight at least, whatever the number of shuffle partitions.
     """
     pairs = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b")
     now = checkpoint(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
@@ -40,7 +45,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     while True:
         if state[0] == 0:
             break
-        following = checkpoint(_small_star(_large_star(now).distinct()).distinct())
+        tasks = max(8, -(-state[0] // TASK_EDGES))
+        tied = _large_star(now, tasks).distinct().coalesce(tasks)
+        following = checkpoint(_small_star(tied, tasks).distinct().coalesce(tasks))
         after = _state(following)
         done = after == state
         now, state = following, after
