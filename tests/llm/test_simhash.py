@@ -204,3 +204,18 @@ def test_links_do_not_depend_on_the_group_size():
     a, b = (1, 0, h, b"\1" * 128), (2, 1, h, b"\2" * 128)
     c = (3, 1, h, b"\2" * 128)
     assert similar.forest_links([a, b], [], 64, 0.8) == [] and similar.forest_links([b, c], [], 64, 0.8) == [(3, 2)]
+
+
+def test_components_in_one_task_and_in_rounds(spark, monkeypatch):
+    from latticework.llm import components as graph
+
+    rng = random.Random(23)
+    edges = [(rng.randrange(300), rng.randrange(300)) for _ in range(160)] + [(1000 + k, 1001 + k) for k in range(80)] + [(5, 5), (None, 3)]
+    frame = spark.createDataFrame(edges, "a long, b long").repartition(7)
+    ends = {x for e in edges if None not in e and e[0] != e[1] for x in e}
+    linked = {frozenset(e) for e in edges}
+    want = components({n: n for n in ends}, lambda a, b: frozenset((a, b)) in linked)
+    for most in (100_000, 40):
+        monkeypatch.setattr(graph, "TASK_EDGES", most)
+        assert {r.node: r.component for r in graph.connected_components(frame).collect()} == want
+    assert graph.connected_components(frame.limit(0)).collect() == []
