@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from latticework.llm import chat, chunks, decontaminate, lang_id, line_dedup, packing, pii, quality, simhash, spans
@@ -27,9 +27,14 @@ def op4_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.render(table(spark, sf_dir, "conversations"))
 
 
+def _of_kind(spans: str, kind: int) -> Column:
+    """The number of spans of a kind. A lambda with a second argument, even one with a default, would get the element's place there."""
+    return F.size(F.filter(spans, lambda s: s["kind"] == kind)).cast("long")
+
+
 def op5_pii_contexts(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find(table(spark, sf_dir, "documents"))
-    counts = [F.size(F.filter("base", lambda s, n=n: s["kind"] == n)).cast("long").alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
+    counts = [_of_kind("base", n).alias(f"n_{k}") for n, k in enumerate(pii.KINDS)]
     return found.select("doc_id", *counts, F.sha2(pii.to_text(F.col("base")).cast("binary"), 256).alias("base_sha256"), pii.to_text(F.col("spans")).alias("spans"))
 
 

@@ -137,6 +137,14 @@ def test_numbers_written_with_blanks_are_discovered(docs):
     assert got[84] == [(2, "4111 1111 1111 1112")] and got[85] == [] and got[86] == [(3, "974-555-3438")]
 
 
+def test_pii_counts_are_of_their_kinds(spark, docs, tmp_path):
+    texts = ["a@b.cd", "1.2.3.4 and 5.6.7.8", "4111 1111 1111 1111", "+1 212 555 0100", "x@y.zz 1.2.3.4 c@d.ef 300.1.1.1 g@h.ij", "none", "", None]
+    docs(texts).write.parquet(str(tmp_path / "documents.parquet"))
+    got = {r.doc_id: tuple(r)[1:5] for r in op5_pii_contexts(spark, str(tmp_path)).collect()}
+    want = [(1, 0, 0, 0), (0, 2, 0, 0), (0, 0, 1, 0), (0, 0, 0, 1), (3, 1, 0, 0), *[(0, 0, 0, 0)] * 3]
+    assert got == dict(enumerate(want))
+
+
 def test_pii_of_odd_rows(spark, docs):
     assert pii.find(docs([])).collect() == []
     got = pii.find(docs(["a@b.cd", "a@b.cd", "1.2.3.4", None], ids=[1, 1, 1, None])).collect()
