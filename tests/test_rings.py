@@ -60,3 +60,30 @@ def test_paths_are_not_shuffled(spark):
     edges = spark.createDataFrame([("A", 0, 1, 2)], "group_key string, frame_index int, u long, v long")
     assert "path" not in rings.find_rings(edges)._jdf.queryExecution().optimizedPlan().toString()
     assert rings.find_rings(edges.limit(0)).collect() == []
+
+
+@pytest.mark.parametrize("cells", [1, 1 << 22])
+def test_nodes_on_six_rings_match_all_rings_and_none_are_listed(spark, monkeypatch, cells):
+    monkeypatch.setattr(rings, "CELLS", cells)
+    rng = random.Random(8)
+    rows, want = [], set()
+    for frame in range(12):
+        ids = rng.sample(range(3 * rings.BLOCK), 16 + 2 * frame)
+        edges = {tuple(sorted(rng.sample(ids, 2))) for _ in range(24 + 8 * frame)}
+        rows += [("AB"[frame % 2], frame, u, v) for u, v in edges]
+        on = {n for r in brute(edges, (6,), True) for n in r}
+        want |= {("AB"[frame % 2], frame, n) for n in on if sum(n in e for e in edges) == 4}
+    edges = spark.createDataFrame(rows, "group_key string, frame_index int, u long, v long")
+    assert len(want) > 10 and {tuple(r) for r in rings.on_six_rings(edges).collect()} == want
+
+
+def test_a_node_on_many_six_rings_is_found_at_once():
+    np = rings.np
+    wide = 600  # a, c, d, e, b with 600 of each of c, d and e: 2e8 rings
+    c, d, e = (np.arange(10 + k * wide, 10 + (k + 1) * wide) for k in range(3))
+    pairs = [(0, 1), (0, 2), (0, 3), (0, 4), *((1, x) for x in c), *((2, x) for x in e)]
+    near = [(np.array([a]), np.array([1]), np.array([b])) for a, b in pairs]
+    near += [(c, np.full(wide, wide), np.tile(d, wide)), (d, np.full(wide, wide), np.tile(e, wide))]
+    assert rings._on_six(near, np.array([0])).tolist() == [0]
+    near.append((c, np.full(wide, wide), np.tile(e, wide)))  # now all of them have a chord
+    assert rings._on_six(near, np.array([0])).tolist() == []
