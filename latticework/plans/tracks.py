@@ -199,7 +199,7 @@ def molecule_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def topology_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every frame has a topology of its own here, so groups follow frames."""
-    found = select.topology_groups(select.topology(_blocks(spark, sf_dir)))
+    found = select.topology_groups(checkpoint(select.topology(_blocks(spark, sf_dir))))
     return found.select("frame_index", "atoms", F.col("group").cast("int").alias("topology"))
 
 

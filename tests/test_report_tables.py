@@ -100,6 +100,30 @@ def test_roles_modes_and_topologies(spark):
         select.by_topology(many, found).collect()
 
 
+@pytest.mark.parametrize("stretch", [2, 8, 1 << 16])
+@pytest.mark.parametrize("kind", ["bigint", "struct<a: bigint, b: int>", "string"])
+def test_residues_match_a_walk_along_the_frame_in_stretches(spark, monkeypatch, stretch, kind):
+    monkeypatch.setattr(select, "STRETCH", stretch)
+    rows, want = [], {}
+    for f, group in ((0, "A"), (1, "A"), (1, "B")):
+        at, runs, before = -9, 0, None
+        for k in range(60):
+            at += 1 + (k % 7 == 0) * 9
+            now = [("SOL", 1), ("sol", 1), ("CH4", 1), ("CH4", None), (None, None)][(k // (20 if k < 40 else 3) + f) % 5]
+            key = (now[0] and now[0].upper(), now[1])
+            runs += before != (key,)
+            before = (key,)
+            atom = (at, k % 2) if kind.startswith("struct") else f"{k:03d}" if kind == "string" else at
+            rows.append((group, f, atom, now[1], now[0], "OW"))
+            want[group, f, atom] = runs
+    atoms = spark.createDataFrame(rows, f"group_key string, frame_index int, atom {kind}, resid int, resname string, atomname string")
+    made = select.residues(atoms)
+    assert made.columns == [*atoms.columns, "block"]
+    assert {(r.group_key, r.frame_index, tuple(r.atom) if kind.startswith("struct") else r.atom): r.block for r in made.collect()} == want
+    prints = {(r.group_key, r.frame_index): (r.atoms, r.fingerprint) for r in select.topology(made.where("resname IS NOT NULL")).collect()}
+    assert prints["A", 1] == prints["B", 1] != prints["A", 0]
+
+
 def test_pair_ids(spark):
     waters = spark.createDataFrame([("A", 0, 10, 0), ("A", 0, 11, 3), ("A", 0, 11, 6)], "group_key string, frame_index int, resid int, oxygen int")
     atoms = spark.createDataFrame([("A", 0, k, 100 + k) for k in range(9)], "group_key string, frame_index int, atom int, atomid int")
