@@ -79,7 +79,7 @@ def pair_file(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch(spark)
     rows.select(F.concat("a", sep, "b", F.lit("  # a pair")).alias("value")).write.text(folder)
     key = [F.lit("A").alias("group_key"), F.lit(0).alias("frame_index")]
-    found = files.read_pairs(spark, folder)
+    found = checkpoint(files.read_pairs(spark, folder).distinct())  # read several times
     waters = found.select(F.explode(F.array("u", "v")).alias("resid")).distinct().select(*key, "resid", (F.col("resid") * 3).alias("oxygen"))
     atoms = waters.select(*K, F.col("oxygen").alias("atom"), F.col("resid").alias("atomid"))
     return select.pair_nodes(found.select(*key, "u", "v"), waters, atoms, "resid").select("u", "v")

@@ -13,6 +13,7 @@ from collections.abc import Iterator
 from functools import reduce
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -342,13 +343,28 @@ def apply_type_map(atoms: DataFrame, mapping: dict[str, tuple[str, str] | None])
     return marked.withColumn("resname", F.col("new_res")).withColumn("atomname", F.col("new_atom")).select(*atoms.columns)
 
 
+#: A line of a pair file without its comment: two ids, parted and surrounded by blanks, commas or semicolons.
+_PARTED = "[,; \\t\\n\\x0b\\f\\r]"
+_PAIR = f"^{_PARTED}*(?P<u>[0-9]+){_PARTED}+(?P<v>[0-9]+){_PARTED}*$"
+
+
 def read_pairs(spark: SparkSession, path: str) -> DataFrame:
     """(u, v) of each line of a pair file: two ids parted by blanks, commas or semicolons; # starts a comment."""
-    body = F.trim(F.regexp_replace(F.regexp_replace("value", "#.*$", ""), "[,;\\s]+", " "))
-    rows = spark.read.text(path).select(body.alias("line")).where("line <> ''").select(F.split("line", " ").alias("p"), "line")
-    bad = F.raise_error(F.concat(F.lit("no pair of ids: "), "line")).cast("bigint")
-    value = lambda k: F.when((F.size("p") == 2) & F.col("line").rlike(r"^\d+ \d+$"), F.get("p", F.lit(k)).try_cast("bigint")).otherwise(bad)
-    return rows.select(value(0).alias("u"), value(1).alias("v")).where("u <> v")
+
+    pattern, blank = _PAIR, f"^{_PARTED}*$"
+
+    def kernel(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            body = pc.replace_substring_regex(batch.column("value"), pattern="(?s)#.*$", replacement="")
+            found = pc.extract_regex(body, pattern=pattern)
+            if found.null_count:
+                bad = pc.filter(body, pc.and_(found.is_null(), pc.invert(pc.match_substring_regex(body, pattern=blank))))
+                if len(bad):
+                    raise ValueError(f"no pair of ids: {bad[0].as_py()}")
+                found = found.drop_null()
+            yield pa.RecordBatch.from_arrays([pc.cast(pc.struct_field(found, n), pa.int64()) for n in "uv"], names=["u", "v"])
+
+    return spark.read.text(path).mapInArrow(kernel, "u bigint, v bigint").where("u <> v")
 
 
 def gro_lines(atoms: DataFrame) -> DataFrame:

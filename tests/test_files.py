@@ -70,6 +70,17 @@ def test_xyz_dump_and_pairs(spark, tmp_path):
         files.read_frames(spark, str(tmp_path / "a.xtc")).count()
 
 
+def test_pair_lines_are_read_whole_or_refused(spark, tmp_path):
+    (tmp_path / "p.txt").write_text("\ufeff#1 2\n ,7 ,;\t8 ; # 9\n007 8\n8 7#\n7 8\n 5 5\n \t,;\n9223372036854775807 0".lstrip("\ufeff"))
+    read = files.read_pairs(spark, str(tmp_path / "p.txt"))
+    assert sorted(map(tuple, read.collect())) == [(7, 8), (7, 8), (7, 8), (8, 7), (9223372036854775807, 0)]
+    assert "regexp" not in read._jdf.queryExecution().optimizedPlan().toString()  # lines are not matched row by row, several times each
+    for bad in ("1", "1 2 3", "1 b", "-1 2", "1.0 2", "9223372036854775808 1"):  # the last was lost without a word
+        (tmp_path / "q.txt").write_text(f"1 2\n{bad}\n")
+        with pytest.raises(Exception, match="no pair of ids|out of bounds|[Cc]annot|parse"):
+            files.read_pairs(spark, str(tmp_path / "q.txt")).collect()
+
+
 def test_config():
     made = Config.load("oo_cutoff_nm: 0.4\nring_sizes: [5, 6]\ntrack: {gap_frame: 1}\n")
     assert made.ring_sizes == (5, 6) and made.track.gap_frame == 1 and "0.4" in made.resolved()
