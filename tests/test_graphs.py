@@ -1,6 +1,9 @@
 import random
 
-from latticework.operators import graphs
+import pytest
+from pyspark.sql import functions as F
+
+from latticework.operators import graphs, neighbors
 
 EDGES = "group_key string, frame_index int, u long, v long"
 
@@ -51,6 +54,13 @@ def test_two_core_and_largest(spark):
             break
         want = less
     assert got == want
+    few = frame.where("frame_index < 2")
+    for held in (graphs.HELD, 1):  # in one task, and round by round
+        with pytest.MonkeyPatch.context() as patch:
+            patch.setattr(graphs, "HELD", held)
+            once = graphs.canonical_edges(few)
+            assert {(r.frame_index, r.u, r.v) for r in graphs.two_core(once).collect()} == {e for e in want if e[0] < 2}
+            assert graphs.two_core(once.select(*graphs.K, F.concat(F.lit("n"), "u").alias("u"), F.concat(F.lit("n"), "v").alias("v"))).count() == len({e for e in want if e[0] < 2})
     labels = brute(nodes, edges)
     for r in graphs.largest_component(graphs.components(points, frame)).collect():
         parts = {}
@@ -59,3 +69,16 @@ def test_two_core_and_largest(spark):
                 parts.setdefault(c, []).append(n)
         best = min(parts.items(), key=lambda p: (-len(p[1]), p[0]))
         assert r.members == sorted(best[1]) and r["size"] == len(best[1])
+
+
+@pytest.mark.parametrize("held", [2_000_000, 1])
+def test_core_of_points_is_that_of_their_edges(spark, monkeypatch, held):
+    monkeypatch.setattr(graphs, "HELD", held)
+    rng = random.Random(4)
+    rows = [("A", f, n, *(rng.random() for _ in range(3)), *[1.0] * 3) for f in range(2) for n in range(90)]
+    rows += [("A", 0, 200 + n, 5 + n * 0.2, 0.0, 0.0, None, None, None) for n in range(7)]  # a chain, which peels from its ends
+    points = spark.createDataFrame(rows, "group_key string, frame_index int, node long, x double, y double, z double, lx double, ly double, lz double")
+    edges = neighbors.oo_edges(points, 0.21)
+    want = sorted((r.frame_index, r.u, r.v) for r in graphs.two_core(edges).collect())
+    got = sorted((r.frame_index, r.u, r.v) for r in graphs.core_within(points, 0.21).collect())
+    assert got == want and 20 < len(want) < edges.count() - 6
