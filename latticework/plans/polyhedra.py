@@ -104,7 +104,7 @@ def ring_areas(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def cage_volumes(spark: SparkSession, sf_dir: str) -> DataFrame:
     waters, _, found, shells = _found(spark, sf_dir)
-    sound = geometry.sound_cages(shells, found, waters)
+    sound = checkpoint(geometry.sound_cages(shells, found, waters))  # read several times
     made = geometry.cage_volumes(sound, found, waters).join(sound, [*K, "cage_id"])
     return made.groupBy("frame_index", "cage_type").agg(F.count("*").alias("cages"), F.round(F.sum("volume"), 6).alias("volume"))
 

@@ -143,3 +143,11 @@ def test_ring_and_cage_geometry(spark):
     assert all(r.planarity > 0.05 for r in rows if r.ring_id.startswith("ring6"))
     assert abs(geometry.cage_volumes(shells, found, points).first().volume - 0.28**3) < 1e-9
     assert geometry.sound_cages(shells, found, points).count() == 1 and geometry.sound_cages(shells, found, points, volume=1.0).count() == 0
+
+
+def test_sound_cages_and_rims_are_found_once(spark):
+    from latticework.plans import polyhedra, reports
+
+    plan = lambda df: df._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" not in plan(polyhedra.cage_volumes(spark, "/root/testdata/sf0.001"))  # the shapes of rings are not measured again
+    assert "to_json" not in plan(reports.closed_pairs(spark, "/root/testdata/sf0.001"))  # digests of rims are not made for each side of the join
