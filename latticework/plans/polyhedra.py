@@ -12,9 +12,13 @@ from latticework.sources.adapters import polyhedra
 from latticework.sources.files import membership
 
 
-def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+def _rings(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     waters, guests = polyhedra(spark, sf_dir)
-    found = checkpoint(rings.find_rings(checkpoint(neighbors.oo_edges(waters))))
+    return waters, guests, checkpoint(rings.find_rings(checkpoint(neighbors.oo_edges(waters))))
+
+
+def _found(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    waters, guests, found = _rings(spark, sf_dir)
     return waters, guests, found, checkpoint(cages.find_cages(found))
 
 
@@ -90,7 +94,7 @@ def half_cages(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Open patches by type; every face of a dodecahedron is the base of one."""
     waters, _, found, shells = _found(spark, sf_dir)
     none = [F.lit(None).cast("double").alias(f"l{c}") for c in "xyz"]
-    open_ = patches.find_patches(found, rings.ring_centers(found, waters).select("*", *none))
+    open_ = checkpoint(patches.find_patches(found, rings.ring_centers(found, waters).select("*", *none)))
     free = patches.free_patches(open_, shells).select(*K, "patch_id", F.lit(1).alias("free"))
     return open_.join(free, [*K, "patch_id"], "left").groupBy("frame_index", "kind", "patch_type").agg(F.count("*").alias("patches"), F.count("free").alias("free"))
 

@@ -10,7 +10,7 @@ from latticework.operators import tables as report
 from latticework.operators.checkpoints import checkpoint
 from latticework.operators.graphs import K
 from latticework.plans import points, polyhedra
-from latticework.plans.polyhedra import _found
+from latticework.plans.polyhedra import _found, _rings
 from latticework.sources import adapters, structures
 
 _TYPES = ["4^6", "4^6-6^2", "512", "4^6-6^8"]
@@ -43,7 +43,7 @@ def quasi_cages(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def layered_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Half cages of dodecahedra, and all ways to grow them by one or two rings that touch."""
-    waters, _, found, _ = _found(spark, sf_dir)
+    waters, _, found = _rings(spark, sf_dir)
     own = _shape(found, 2)
     open_ = patches.find_patches(own, _centers(own, waters), layers=2, layer_rings=2, layer_states=10_000, exact=True)
     return open_.groupBy("frame_index", "kind", "patch_type").agg(F.count("*").alias("patches"))
@@ -51,14 +51,14 @@ def layered_patches(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def patch_limits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Frames whose layers were cut off at two sets a patch."""
-    waters, _, found, _ = _found(spark, sf_dir)
+    waters, _, found = _rings(spark, sf_dir)
     own = _shape(found, 2)
     return patches.patches_and_warnings(own, _centers(own, waters), layers=2, layer_rings=2, layer_states=2, exact=True)[1].select("frame_index", "warning")
 
 
 def closed_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of half cages with the same rim: six for each dodecahedron."""
-    waters, _, found, _ = _found(spark, sf_dir)
+    waters, _, found = _rings(spark, sf_dir)
     own = _shape(found, 2)
     made = patches.closed_pairs(checkpoint(patches.find_patches(own, _centers(own, waters))), own)
     return made.groupBy("frame_index", F.size("rings").alias("faces")).agg(F.count("*").alias("pairs"))
